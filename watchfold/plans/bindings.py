@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from watchfold.functions.sshlog import evaluate_once
 from watchfold.sources.tables import load
 
 K = F.get_json_object("props", "$.k").cast("int")
@@ -121,10 +122,10 @@ def auth_log(spark: SparkSession, sf: str) -> DataFrame:
     raw = {"failed_login": "error", "successful_login": "signup", "invalid_user": "click",
            "disconnect": "view", "breakin_warning": "purchase"}
     mapping = F.create_map(*[F.lit(x) for kv in raw.items() for x in kv])
-    return (base.withColumn("raw_type", mapping[F.col("event_type")])
-                .withColumnsRenamed({"timestamp": "ts", "line_number": "event_id"})
-                .select(F.col("event_id").alias("line_number"),
-                        F.expr(LINE_EXPR.format(msg=_message_case(True))).alias("value")))
+    raw_events = (base.withColumn("raw_type", mapping[F.col("event_type")])
+                  .withColumnsRenamed({"timestamp": "ts", "line_number": "event_id"}))
+    return (evaluate_once(raw_events, {"value_text": F.expr(LINE_EXPR.format(msg=_message_case(True)))})
+            .select(F.col("event_id").alias("line_number"), F.col("value_text").alias("value")))
 
 
 AUTH_LOG_SQL = AUTH_SQL + f""", raw AS (SELECT line_number AS event_id, "timestamp" AS ts, source_ip, username, k, value, user_id,

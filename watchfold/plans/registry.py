@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     for area in AREAS:
+        if importlib.util.find_spec(f"watchfold.plans.{area}") is None:
+            continue
         importlib.import_module(f"watchfold.plans.{area}")
 
 
