@@ -32,3 +32,24 @@ def pseudonym(key: bytes, prefix: str, value: Column) -> Column:
     keep = value.isNull() | F.upper(value).isin("", "UNKNOWN", "NONE")
     token = F.concat(F.lit(prefix + "-"), F.upper(F.substring(hmac_sha256(key, F.concat(F.lit(prefix + ":"), value)), 1, 10)))
     return F.when(keep, value).otherwise(token)
+
+
+# Identifier patterns in free text.
+IPV4_WORD = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+PERSON_WORD = r"\bP\d{3,8}\b"
+
+
+def mask_text(key: bytes, text: Column) -> Column:
+    """Free text with addresses and person IDs replaced by tokens; longer matches first, so none is cut."""
+    def replace_all(t, prefix, pattern):
+        found = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), lambda a, b: F.length(b) - F.length(a))
+        return F.when(t.rlike(pattern), F.aggregate(found, t, lambda acc, m: F.replace(acc, m, pseudonym(key, prefix, m)))).otherwise(t)
+    return replace_all(replace_all(text, "IP", IPV4_WORD), "PERSON", PERSON_WORD)
+
+
+def token_table(key: bytes, df, text: str):
+    """(token, original): the mapping that makes masking reversible, one row per distinct identifier."""
+    spots = df.select(F.explode(F.array_union(
+        F.transform(F.regexp_extract_all(text, F.lit(IPV4_WORD), F.lit(0)), lambda m: F.struct(F.lit("IP").alias("p"), m.alias("original"))),
+        F.transform(F.regexp_extract_all(text, F.lit(PERSON_WORD), F.lit(0)), lambda m: F.struct(F.lit("PERSON").alias("p"), m.alias("original"))))).alias("x")).select("x.*").distinct()
+    return spots.select(F.when(F.col("p") == "IP", pseudonym(key, "IP", F.col("original"))).otherwise(pseudonym(key, "PERSON", F.col("original"))).alias("token"), "original")

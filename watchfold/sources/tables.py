@@ -71,10 +71,10 @@ def write_periods(df: DataFrame, path: str, keep: DataFrame, key: str, columns:
 
 
 def file_inventory(spark: SparkSession, path: str, serial: str, failure: str) -> DataFrame:
-    """Per daily CSV file: rows, distinct serials, failure rows."""
+    """Per daily CSV file (by path, names may repeat across folders): rows, distinct serials, failure rows."""
     df = spark.read.option("header", True).csv(path)
     require_columns(df, [serial, failure])
-    return (df.select(F.col("_metadata.file_name").alias("file"), serial, failure)
+    return (df.select(F.col("_metadata.file_path").alias("file"), serial, failure)
               .groupBy("file")
               .agg(F.count(F.lit(1)).alias("rows"),
                    F.count_distinct(serial).alias("serials"),

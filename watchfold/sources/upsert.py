@@ -9,12 +9,15 @@ def merge_latest(current: DataFrame | None, incoming: DataFrame, key: list[str],
     """Newest row per key; `first_columns` (such as created_at) keep the value of the first write.
 
     One aggregate with map-side combine, so a key with very many versions is no hot spot."""
-    rows = incoming if current is None else current.unionByName(incoming)
-    rest = [c for c in rows.columns if c not in key]
+    columns = incoming.columns
+    rest = [c for c in columns if c not in key]
+    rows = incoming.withColumn("__new", F.lit(1))
+    if current is not None:
+        rows = rows.unionByName(current.withColumn("__new", F.lit(0)))
     packed = rows.withColumn("__o", order).groupBy(*key).agg(
         F.max_by(F.struct(*rest), F.struct("__o", *rest)).alias("__v"),
-        *[F.min_by(c, "__o").alias(f"__first_{c}") for c in first_columns])
-    return packed.select(*key, *[(F.col(f"__first_{c}") if c in first_columns else F.col(f"__v.{c}")).alias(c) for c in rest]).select(*rows.columns)
+        *[F.min_by(c, F.struct("__new", "__o")).alias(f"__first_{c}") for c in first_columns])
+    return packed.select(*key, *[(F.col(f"__first_{c}") if c in first_columns else F.col(f"__v.{c}")).alias(c) for c in rest]).select(*columns)
 
 
 def insert_or_ignore(current: DataFrame, incoming: DataFrame, key: list[str], order: Column) -> DataFrame:
