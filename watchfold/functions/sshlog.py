@@ -60,30 +60,30 @@ def parse_lines(lines: DataFrame, value: str = "value", year: int = 2000) -> Dat
     All work is regex expressions in one projection chain, so a log scan of any
     size is a map-only stage.
     """
-    line = F.trim(F.col(value))
     carried = [c for c in lines.columns if c != value]
-    base = lines.where(line.rlike(BASE)).select(
-        *carried,
-        F.try_to_timestamp(F.concat_ws(" ", F.lit(year), F.regexp_extract(line, BASE, 1), F.regexp_extract(line, BASE, 2),
-                                       F.regexp_extract(line, BASE, 3)), F.lit("yyyy MMM d HH:mm:ss")).alias("timestamp"),
-        F.regexp_extract(line, BASE, 4).alias("hostname"),
-        F.regexp_extract(line, BASE, 5).cast("int").alias("pid"),
-        F.regexp_extract(line, BASE, 6).alias("message"),
-    )
-    base = evaluate_once(base, {"repeats": capture(F.col("message"), REPEATED).cast("int")})
+    # One regex run per line: the groups are joined by a control character and split again.
+    marked = F.regexp_replace(F.trim(F.col(value)), BASE, "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6")
+    part = lambda i: F.col("parts")[i]
+    base = evaluate_once(lines.select(*carried, F.col(value)), {"parts": F.split(marked, "\u0001")}).where(F.size("parts") == 6)
+    base = base.select(*carried, F.try_to_timestamp(F.concat_ws(" ", F.lit(year), part(0), part(1), part(2)), F.lit("yyyy MMM d HH:mm:ss")).alias("timestamp"),
+                       part(3).alias("hostname"), part(4).cast("int").alias("pid"), part(5).alias("message"))
+    again = F.col("message").contains("message repeated")
+    base = evaluate_once(base, {"repeats": F.when(again, capture(F.col("message"), REPEATED).cast("int"))})
     base = evaluate_once(base, {"body": F.when(F.col("repeats").isNotNull(), F.regexp_extract("message", REPEATED, 2))
                                          .otherwise(F.col("message"))})
 
     body, message, single = F.col("body"), F.col("message"), F.col("repeats").isNull()
-    kind = (F.when(body.rlike(FAILED_INVALID), "failed_invalid")
-            .when(body.rlike(FAILED), "failed")
+    # The literal tests keep most lines away from the regexes they cannot match.
+    failed, has = body.contains("Failed password for "), body.contains
+    kind = (F.when(failed & body.rlike(FAILED_INVALID), "failed_invalid")
+            .when(failed & body.rlike(FAILED), "failed")
             .when(~single, "repeated_message")
-            .when(body.rlike(ACCEPTED), "successful_login")
-            .when(body.rlike(INVALID_USER), "invalid_user")
+            .when(has("Accepted ") & body.rlike(ACCEPTED), "successful_login")
+            .when(has("Invalid user ") & body.rlike(INVALID_USER), "invalid_user")
             .when(F.lower(body).contains("authentication failure"), "auth_failure"))
     for text, name in MARKERS[:2]:
         kind = kind.when(body.contains(text), name)
-    kind = kind.when(body.rlike(PAM_MORE), "pam_more_failures")
+    kind = kind.when(has(" more authentication failures") & body.rlike(PAM_MORE), "pam_more_failures")
     for text, name in MARKERS[2:]:
         kind = kind.when(body.contains(text), name)
     typed = evaluate_once(base, {"kind": kind.otherwise("other")})

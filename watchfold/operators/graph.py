@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchfold.functions.ids import short_sha
-from watchfold.session import materialize
+from watchfold.session import materialize, materialize_counted
 
 MIN_GROUP_MEMBERS = 3
 # Members up to this many are listed and hashed in one row; larger groups are hashed by combination.
@@ -31,8 +31,7 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = (down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        pairs = materialize(small, "cc")
-        seen = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        pairs, seen = materialize_counted(small, "cc", F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         if seen == before:
             break
         before = seen

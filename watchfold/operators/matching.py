@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from watchfold.session import materialize
+from watchfold.session import materialize, materialize_counted
 
 
 def greedy_one_to_one(pairs: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
@@ -17,15 +17,16 @@ def greedy_one_to_one(pairs: DataFrame, left: str, right: str, order: list[str])
     Best-of-end is a partial aggregate: an end with very many pairs costs one row per task.
     """
     rank = F.struct(*[F.col(c) for c in order], F.col(left), F.col(right))
-    rest = materialize(pairs.withColumn("__rank", rank), "pairs")
+    candidates = rest = materialize(pairs.withColumn("__rank", rank), "pairs")
     taken = None
-    while not rest.isEmpty():
+    open_pairs = rest.count()
+    while open_pairs:
         best_left = rest.groupBy(left).agg(F.min("__rank").alias("__rank"))
         best_right = rest.groupBy(right).agg(F.min("__rank").alias("__rank"))
         mutual = best_left.select("__rank").join(best_right.select("__rank"), "__rank")
         picks = materialize(mutual.select(F.col(f"__rank.{left}").alias(left), F.col(f"__rank.{right}").alias(right)), "picks")
         taken = picks if taken is None else taken.unionByName(picks)
-        rest = materialize(rest.join(picks.select(left), left, "left_anti").join(picks.select(right), right, "left_anti"), "pairs")
-    if taken is None:
-        return pairs.limit(0)
-    return pairs.join(taken, [left, right], "left_semi")
+        rest, (open_pairs,) = materialize_counted(rest.join(picks.select(left), left, "left_anti").join(picks.select(right), right, "left_anti"), "pairs",
+                                                  F.count(F.lit(1)))
+    chosen = candidates.limit(0) if taken is None else candidates.join(taken, [left, right], "left_semi")
+    return chosen.drop("__rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_FOLDER: dict[str, str] = {}
 
@@ -57,3 +57,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, tuple]:
+    """`materialize` plus aggregate values of the written rows, observed during the same job."""
+    seen = Observation(name)
+    out = materialize(df.observe(seen, *[m.alias(f"m{i}") for i, m in enumerate(metrics)]), name)
+    values = seen.get
+    return out, tuple(values[f"m{i}"] for i in range(len(metrics)))
