@@ -19,5 +19,5 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
     2 GB row limit must be rotated before the scan, as log collectors do.
     """
     files = spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("file"), F.decode(F.col("content"), F.lit("UTF-8")).alias("value"))
+        F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
     return explode_lines(files, "value", ["file"])
