@@ -114,3 +114,14 @@ def test_operating_curve_matches_per_threshold_evaluation(spark):
 def test_abstention_tie_goes_to_the_higher_threshold(spark):
     df = spark.createDataFrame([(0.2, 0), (0.4, 0), (0.6, 1), (0.9, 1)], "s double, y int")
     assert M.abstention_threshold(df, "s", "y").first().threshold == 0.6
+
+
+def test_positions_of_a_long_group(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(g), float(x), i) for i, (g, x) in enumerate(zip(rng.integers(0, 2, 300), np.round(rng.random(300), 1)))]
+    df = spark.createDataFrame(rows, "g int, x double, i long")
+    for limit in (1000, 20):
+        got = {r.i: r.p for r in ranks.positions(df, ["g"], ["x", "i"], "p", limit, 5).collect()}
+        for g in (0, 1):
+            order = sorted((x, i) for k, x, i in rows if k == g)
+            assert all(got[i] == n for n, (_, i) in enumerate(order))

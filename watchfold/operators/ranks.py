@@ -50,3 +50,20 @@ def percentiles(df: DataFrame, groups: list[str], value: str, points: dict[str,
     return res.select(*groups, "n", *[
         (F.col(f"__{name}_lo") + (F.col(f"__{name}_hi") - F.col(f"__{name}_lo")) * F.col(f"__{name}_w")).alias(name)
         for name in points])
+
+
+def positions(df: DataFrame, groups: list[str], order: list[str], name: str, max_rows: int = 2_000_000, ranges: int = RANGES) -> DataFrame:
+    """Zero-based position of each row in its group by `order` (a strict order, first column numeric).
+
+    Usual case: one window per group. When a group is longer than `max_rows`, its first order
+    column is cut into ranges, rows are counted per range and ranked inside it only."""
+    longest = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if longest <= max_rows:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*groups).orderBy(*order)) - 1)
+    steps = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
+    cuts = df.groupBy(*groups).agg(F.percentile_approx(order[0], steps, F.lit(1000)).alias("__cuts"))
+    cut = df.join(cuts, groups).withColumn("__range", F.size(F.filter("__cuts", lambda b: b < F.col(order[0])))).drop("__cuts")
+    before = W.partitionBy(*groups).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = cut.groupBy(*groups, "__range").agg(F.count(F.lit(1)).alias("__n")).select(*groups, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy(*groups, "__range").orderBy(*order)) - 1
+    return cut.withColumn("__in", inside).join(offsets, [*groups, "__range"]).withColumn(name, F.col("__in") + F.col("__before")).drop("__in", "__before", "__range")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from watchfold.operators import ranks
+
 # Required items and the classes that may belong to a person.
 REQUIRED = ["helmet", "safety-vest"]
 MINIMUM_CONTAINMENT, CENTRE_BONUS, FACE_CONTAINMENT = 0.50, 0.05, 0.80
@@ -16,8 +18,7 @@ def area(x1, y1, x2, y2) -> Column:
 
 def index_people(detections: DataFrame, person: str = "person") -> DataFrame:
     """People of each image numbered from 0 by (x1, y1)."""
-    w = W.partitionBy("image_id").orderBy("x1", "y1", "detection_id")
-    p = detections.where(F.col("class_name") == person).withColumn("person_index", F.row_number().over(w) - 1)
+    p = ranks.positions(detections.where(F.col("class_name") == person), ["image_id"], ["x1", "y1", "detection_id"], "person_index")
     return p.select("image_id", "person_index", *[F.col(c).alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")])
 
 

@@ -353,6 +353,12 @@ def failed_attempts_by_ip(spark, sf):
             .orderBy(F.desc("failed_attempts"), "source_ip").limit(10))
 
 
+@query("top_log_users", PARSE_SQL + " SELECT username, count(*) AS events, count(DISTINCT source_ip) AS source_ips FROM parsed WHERE username IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_log_users(spark, sf):
+    return (parsed_log(spark, sf).where("username IS NOT NULL").groupBy("username").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("source_ip").alias("source_ips"))
+            .orderBy(F.desc("events"), "username").limit(10))
+
+
 @query("failures_per_minute", PARSE_SQL + " SELECT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS minute_s, CAST(sum(event_count) AS BIGINT) AS failures FROM parsed WHERE event_type='failed_login' GROUP BY 1")
 def failures_per_minute(spark, sf):
     return (parsed_log(spark, sf).where("event_type = 'failed_login'")

@@ -10,6 +10,7 @@ from watchfold.plans import bindings as B
 from watchfold.plans.pairs import (ABN_SQL, CAND_SQL, CLEARED_SQL, DOMAIN_SQL, EDGES_SQL, GENERIC_CTE, NODES, all_edges, candidates, image_matches,
                                    live_nodes, model_events, scenario_events)
 from watchfold.plans.registry import query
+from watchfold.session import materialize
 
 # Connected components by transitive closure, for the SQL check only.
 REACH = """, sym AS (SELECT zone_id || '|' || left_kind || ':' || left_id AS a, zone_id || '|' || right_kind || ':' || right_id AS b FROM {edges}
@@ -28,7 +29,7 @@ def node_facts(spark, sf):
 
 
 def grouped(spark, sf):
-    return graph.with_group_ids(graph.group_members(all_edges(spark, sf)))
+    return materialize(graph.with_group_ids(graph.group_members(all_edges(spark, sf))), "groups")
 
 
 def reviewed(spark, sf, members=None):
@@ -43,7 +44,7 @@ def correlation_groups(spark, sf):
 
 @query("correlation_group_edges", GROUPED_SQL + " SELECT group_id, type, source_id, left_kind, left_id, right_kind, right_id FROM edges JOIN grp ON grp.zone_id = edges.zone_id AND kind = left_kind AND id = left_id")
 def correlation_group_edges(spark, sf):
-    edges = all_edges(spark, sf)
+    edges = materialize(all_edges(spark, sf), "edges")
     return graph.group_edges(edges, graph.with_group_ids(graph.group_members(edges))).select(
         "group_id", "type", "source_id", "left_kind", "left_id", "right_kind", "right_id")
 
@@ -171,7 +172,7 @@ def group_decisions(spark, sf):
 @query("annotated_groups", DECISIONS_SQL + """, al AS (SELECT group_id, zone_id, count(*) AS members, count(*) FILTER (NOT cleared_by_human) AS uncleared FROM rv2 GROUP BY 1, 2)
  SELECT al.group_id, zone_id, members, uncleared, base_severity, severity, escalated FROM al LEFT JOIN dec ON dec.group_id = al.group_id WHERE uncleared >= 2""")
 def annotated_groups(spark, sf):
-    return S.annotate_groups(reviewed(spark, sf)).select("group_id", "zone_id", "members", "uncleared", "base_severity", "severity", "escalated")
+    return S.annotate_groups(materialize(reviewed(spark, sf), "reviewed")).select("group_id", "zone_id", "members", "uncleared", "base_severity", "severity", "escalated")
 
 
 @query("standalone_decisions", NODES + CLEARED_SQL + f""", j AS (SELECT n.kind, n.id, CASE WHEN verdict='OVERRIDDEN' THEN effective_status ELSE state END AS state, coalesce(verdict='OVERRIDDEN', false) AS ov, coalesce(verdict='OVERRIDDEN' AND NOT human_abnormal, false) AS cl FROM nodes n LEFT JOIN lv ON lv.kind = n.kind AND lv.id = n.id),
@@ -192,9 +193,9 @@ def standalone_decisions(spark, sf):
   CASE WHEN en THEN 'ENVIRONMENTAL_CONDITION_REQUIRES_SOURCE_REVIEW' END, CASE WHEN fs THEN 'FACE_SSH_CONTEXTUAL_ASSOCIATION_UNVERIFIED' END) AS review_reasons, severity FROM fl LEFT JOIN ty USING (group_id) LEFT JOIN dec USING (group_id))
  SELECT group_id, review_reasons, severity, CASE WHEN review_reasons <> '' THEN 'EVIDENCE_REVIEW_REQUIRED' WHEN severity IN ('MEDIUM','HIGH') THEN 'REVIEW_REQUIRED' ELSE 'OBSERVATION_RECORDED' END AS status FROM rs""")
 def group_review_reasons(spark, sf):
-    edges = all_edges(spark, sf)
+    edges = materialize(all_edges(spark, sf), "edges")
     members = graph.with_group_ids(graph.group_members(edges))
-    r = reviewed(spark, sf, members)
+    r = materialize(reviewed(spark, sf, members), "reviewed")
     decided = S.annotate_groups(r)
     r = r.join(decided.select("group_id"), "group_id", "left_semi")
     return S.group_review_reasons(r, graph.group_edges(edges, members).select("group_id", "type"), decided)
@@ -235,7 +236,7 @@ def alert_members(spark, sf):
     links = bayes.score(candidates(spark, sf)).where("correlated").select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))
     labels = graph.connected_components(links).withColumnRenamed("node", "id")
     ev = model_events(spark, sf).where(assess.is_abnormal(F.col("domain"), F.col("state"), F.col("authorization")))
-    return ev.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return materialize(ev.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "alerts")
 
 
 @query("operator_view", CAND_SQL + LINK_REACH + """, inc AS (SELECT incident, count(*) AS n, count(DISTINCT component) AS comps, min(component) AS c FROM lcomp WHERE incident IS NOT NULL GROUP BY 1), sz AS (SELECT component, count(*) AS n FROM lcomp GROUP BY 1)
@@ -288,6 +289,14 @@ def escalation_separation(spark, sf):
     return out.select("rule", "escalated", "groups", *[F.round(c, 6).alias(c) for c in ("genuine_escalated", "genuine_rest", "separation")])
 
 
+@query("selected_linkage_rule", MGROUP_SQL + """, es AS (""" + " UNION ALL ".join(f"SELECT {i} AS o, '{r}' AS rule, l{i} AS esc, genuine FROM gl" for i, r in enumerate(S.LINKAGE_RULES, 1)) + """),
+ sp AS (SELECT o, rule, avg(genuine::INT) FILTER (esc) - avg(genuine::INT) FILTER (NOT esc) AS separation FROM es GROUP BY 1, 2) SELECT rule FROM sp ORDER BY coalesce(separation, -9) DESC, o LIMIT 1""")
+def selected_linkage_rule(spark, sf):
+    events, truth = model_groups(spark, sf)
+    sig = S.linkage(S.with_event_severity(events).where("severity_rank IS NOT NULL"), "group_id").join(truth, "group_id")
+    return metrics.select_rule(metrics.escalation_separation(sig, {r: (F.col("concern_members") >= 2) & S.linked(r) for r in S.LINKAGE_RULES}, "genuine"))
+
+
 @query("severity_against_incidents", MGROUP_SQL + f""", sv AS (SELECT {SEVN.format(r='CASE WHEN l2 THEN least(base + 1, 3) ELSE base END')} AS severity, genuine FROM gl)
  SELECT severity, count(*) AS groups, count(*) FILTER (genuine) AS genuine_groups, round(avg(genuine::INT), 6) AS genuine_share FROM sv GROUP BY 1""")
 def severity_against_incidents(spark, sf):

@@ -85,6 +85,22 @@ def section_trim(spark, sf):
     return X.trim_to_section(pages(spark, sf), "102").select("document_id", "page", "cut_before", "cut_after", F.md5("text").alias("text_md5"))
 
 
+@query("control_text", """WITH p AS (SELECT source AS document_id, doc_id AS page, doc_id // 20 AS i, 'PE-' || ((doc_id // 20) // 2) || ' CONTROL ' || text AS text FROM documents)
+ SELECT document_id, page, md5(text) AS text_md5 FROM p WHERE i = 6""")
+def control_text(spark, sf):
+    """Two pages open with each control number; the text of PE-3 ends at the very next heading."""
+    d = load(spark, sf, "documents")
+    p = d.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), F.concat(F.lit("PE-"), F.expr("(doc_id div 20) div 2"), F.lit(" CONTROL "), "text").alias("text"))
+    out = X.trim_to_section(p, "3", X.CONTROL_HEADING, stop_at_any=True)
+    return out.where("text <> ''").select("document_id", "page", F.md5("text").alias("text_md5"))
+
+
+@query("replacement_contexts", """WITH t AS (SELECT doc_id, replace(text, 'ä', chr(65533)) AS t FROM documents) SELECT doc_id, len(t) - len(replace(t, chr(65533), '')) AS replacement_characters FROM t""")
+def replacement_contexts(spark, sf):
+    t = load(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("ä"), F.lit("\ufffd")).alias("t"))
+    return t.select("doc_id", F.regexp_count("t", F.lit("\ufffd")).cast("long").alias("replacement_characters"))
+
+
 @query("corpus_audit", REC + r""", rep2 AS (SELECT document_id, count(*) AS repeated_lines FROM cnt JOIN tot USING (document_id) WHERE n >= greatest(3, floor(records * 0.2)) GROUP BY 1),
  g AS (SELECT document_id, count(*) AS record_count, sum(length(text))::BIGINT AS total_characters, min(length(text))::INT AS min_characters, max(length(text))::INT AS max_characters, count(*) FILTER (length(text) < 80) AS short_records, count(*) FILTER (length(text) > 12000) AS long_records,
   count(*) - count(DISTINCT sha256(text)) AS duplicate_records, sum(len(regexp_extract_all(text, '[A-Za-z]-\n[A-Za-z]')))::BIGINT AS hyphen_breaks FROM rec GROUP BY 1)
