@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from watchfold.functions.columns import evaluate_once
+
 # Line patterns and marker texts of the OpenSSH syslog format.
 BASE = r"^(\w{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)\s+sshd\[(\d+)\]:\s+(.*)$"
 FAILED_INVALID = r"Failed password for invalid user (.+?) from (\d{1,3}(?:\.\d{1,3}){3}) port (\d+)"
@@ -48,12 +50,6 @@ def honeypot_username(message: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(message, HONEYPOT_USER, 1)), F.lit(""))
 
 
-def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns behind a generator, so that later uses read the value instead of
-    repeating the expression (projections and filters are not merged across it)."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def parse_lines(lines: DataFrame, value: str = "value", year: int = 2000) -> DataFrame:
     """Raw lines to typed events. Lines of other shapes are dropped; count them with `parse_report`.
 

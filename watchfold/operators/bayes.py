@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from watchfold.functions.columns import evaluate_once
 from watchfold.operators.assess import lookup
-from watchfold.session import materialize
 
 # Expert prior, conditional tables (state, given related, given unrelated) and threshold.
 PRIOR = 0.2
@@ -87,7 +87,7 @@ def evidence_strength(l: str, r: str) -> Column:
 
 
 def factors(pairs: DataFrame, l: str = "left", r: str = "right") -> DataFrame:
-    return pairs.withColumns({
+    return evaluate_once(pairs, {
         "TimeGap": time_gap(F.col("time_difference_seconds")), "Topology": topology(l, r),
         "DomainMechanism": mechanism(F.col(f"{l}_domain"), F.col(f"{r}_domain")), "EvidenceStrength": evidence_strength(l, r)})
 
@@ -116,8 +116,8 @@ def contributions() -> Column:
 
 
 def score(pairs: DataFrame, use: list[str] = FACTORS) -> DataFrame:
-    p = posterior(use)
-    return pairs.withColumns({"probability_related": F.round(p, 4), "correlated": p >= THRESHOLD})
+    p = F.col("__posterior")
+    return evaluate_once(pairs, {"__posterior": posterior(use)}).withColumns({"probability_related": F.round(p, 4), "correlated": p >= THRESHOLD}).drop("__posterior")
 
 
 def score_live(pairs: DataFrame) -> DataFrame:

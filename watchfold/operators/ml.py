@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from watchfold.operators import ranks
+from watchfold.session import scratch_path
 
 # Forest settings.
 FOREST_TREES, FOREST_LEAF, ISOLATION_TREES, ISOLATION_SAMPLE = 300, 2, 200, 256
@@ -55,6 +56,14 @@ def boosted_pipeline(features: list[str], category: str | None = None, label: st
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, seed=seed)])
 
 
+def fit_and_store(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Fit, write the model to the shared folder and load it back. The loaded model carries no training
+    summary, which holds on to the session and cannot be shipped to tasks once a query was observed."""
+    path = scratch_path(train.sparkSession, "model")
+    pipeline.fit(train).write().save(path)
+    return PipelineModel.load(path)
+
+
 def score(model, df: DataFrame, required: list[str]) -> DataFrame:
     """Batch scoring with a column contract; probability of the positive class."""
     missing = sorted(set(required) - set(df.columns))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from watchfold.functions.sshlog import evaluate_once
+from watchfold.functions.columns import evaluate_once
 from watchfold.sources.tables import load
 
 K = F.get_json_object("props", "$.k").cast("int")

@@ -65,7 +65,7 @@ def drive_rows(spark, sf):
 def fitted(spark, sf, pipeline):
     rows = drive_rows(spark, sf)
     train = D.downsample_negatives(rows.where("period < '1999H1'"), 10)
-    return pipeline.fit(train), rows
+    return ml.fit_and_store(pipeline, train), rows
 
 
 @query("random_forest_scores")

@@ -259,7 +259,7 @@ JSON_SPARK = """concat('{"event_id":"', CASE WHEN k = 99 THEN '' ELSE id END, '"
   CASE WHEN len(kw) > 0 AND NOT list_contains(kw, 'end') THEN 'window.end: required' END, CASE WHEN list_contains(ke, 'pet') THEN 'entities: unexpected key' END, CASE WHEN NOT list_contains(ka, 'confidence') THEN 'assessment.confidence: required' END,
   CASE WHEN t->>'$.provenance.source_type' NOT IN ('REAL_DATASET','PUBLIC_DATASET','SYNTHETIC','CONTROLLED_TEST','LIVE') THEN 'provenance.source_type: not in enum' END, CASE WHEN t->>'$.provenance.mapping_type' NOT IN ('NONE','SYNTHETIC_TOPOLOGY','SYNTHETIC_SCENARIO') THEN 'provenance.mapping_type: not in enum' END) AS errors FROM kx""")
 def envelope_validation(spark, sf):
-    from watchfold.functions.sshlog import evaluate_once
+    from watchfold.functions.columns import evaluate_once
     j = evaluate_once(B.nodes(spark, sf).select("id", "k", "state"), {"t": F.expr(JSON_SPARK)})
     return j.select("id", F.array_join(E.envelope_errors(F.col("t")), "; ").alias("errors"))
 
