@@ -2,6 +2,7 @@
 
 Each view is written twice, for Spark and for the SQL check, and always covers
 the whole source table. Counts of entities, zones and servers grow with the data.
+Views that also feed streams take the table loader as an argument.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ K = F.get_json_object("props", "$.k").cast("int")
 K_SQL = "CAST(json_extract_string(props, '$.k') AS INT)"
 
 
-def auth_events(spark: SparkSession, sf: str) -> DataFrame:
+def auth_events(spark: SparkSession, sf: str, load=load) -> DataFrame:
     """Authentication events: ten users share one source address."""
     entity = F.expr("user_id div 10")
     return load(spark, sf, "events").select(
@@ -134,7 +135,7 @@ AUTH_LOG_SQL = AUTH_SQL + f""", raw AS (SELECT line_number AS event_id, "timesta
 log AS (SELECT event_id AS line_number, {LINE_EXPR_SQL.format(msg='(' + _message_case(False) + ')')} AS line FROM raw)"""
 
 
-def nodes(spark: SparkSession, sf: str) -> DataFrame:
+def nodes(spark: SparkSession, sf: str, load=load) -> DataFrame:
     """Live evidence nodes of five kinds; ten users form a zone, three a rack, each user is a server."""
     return load(spark, sf, "events").withColumn("k", K).select(
         F.expr("""CASE event_type WHEN 'error' THEN 'ssh' WHEN 'signup' THEN 'face' WHEN 'click' THEN 'ppe'

@@ -14,16 +14,6 @@ from watchfold.session import scratch_path
 from watchfold.streaming import ingest, stateful, windows as SW
 
 
-def streamed(spark, sf, view, name="events"):
-    """A binding view computed over the file stream of its table."""
-    original = B.load
-    B.load = lambda s, folder, table: SW.read_table_stream(s, folder, table)
-    try:
-        return view(spark, sf)
-    finally:
-        B.load = original
-
-
 def drain(spark, stream, name):
     return SW.run_to_table(stream, scratch_path(spark, name), scratch_path(spark, f"{name}-state"))
 
@@ -31,7 +21,7 @@ def drain(spark, stream, name):
 @query("streaming_window_features", "WITH " + B.AUTH_FEATURES_SQL + f" SELECT {FEATURE_OUT} FROM feat WHERE window_start_s + 86400 <= (SELECT epoch(max(ts)) - 600 FROM events)")
 def streaming_window_features(spark, sf):
     """Append mode: a window comes out once the watermark (ten minutes behind) passes its end."""
-    out = drain(spark, SW.streaming_features(streamed(spark, sf, B.auth_events), "1 day", 1440.0), "features")
+    out = drain(spark, SW.streaming_features(B.auth_events(spark, sf, SW.read_table_stream), "1 day", 1440.0), "features")
     ints = [c for c in windows.FEATURES if c not in ("failure_ratio", "attempt_rate", "root_attempt_ratio")]
     return out.select("source_ip", secs("window_start"), *ints, *r6("failure_ratio", "attempt_rate", "root_attempt_ratio"))
 
@@ -39,7 +29,7 @@ def streaming_window_features(spark, sf):
 @query("streaming_dedupe", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_dedupe(spark, sf):
     """Every event arrives twice; the event ID within the watermark keeps one."""
-    e = streamed(spark, sf, lambda s, f: B.load(s, f, "events"))
+    e = SW.read_table_stream(spark, sf, "events")
     twice = e.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("arrival"))
     out = drain(spark, SW.deduplicated(twice, ["event_id"], "ts").select("event_id", "user_id", "event_type"), "dedupe")
     return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -47,7 +37,7 @@ def streaming_dedupe(spark, sf):
 
 @query("streaming_interval_join", NODES + GENERIC_CTE + " SELECT zone_id, left_kind, left_id, right_kind, right_id FROM generic")
 def streaming_interval_join(spark, sf):
-    view = lambda: streamed(spark, sf, B.nodes).where(detector_abnormal(F.col("state"))).select("zone_id", "kind", "id", "ts")
+    view = lambda: B.nodes(spark, sf, SW.read_table_stream).where(detector_abnormal(F.col("state"))).select("zone_id", "kind", "id", "ts")
     out = drain(spark, SW.interval_join(view(), view()), "pairs")
     return out.select(F.col("left_zone_id").alias("zone_id"), "left_kind", "left_id", "right_kind", "right_id")
 
@@ -56,13 +46,13 @@ def streaming_interval_join(spark, sf):
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY source_ip ORDER BY "timestamp" ROWS UNBOUNDED PRECEDING) AS sid FROM g), a AS (SELECT source_ip, sid, epoch_us(min("timestamp")) AS start_us, epoch_us(max("timestamp")) + 1800000000 AS end_us, count(*) AS event_count, count(*) FILTER (event_type='failed_login') AS failed FROM s GROUP BY 1, 2)
  SELECT source_ip, start_us, event_count, failed FROM a WHERE end_us <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 - 600000000 FROM events)""")
 def streaming_sessions(spark, sf):
-    out = drain(spark, SW.session_windows(streamed(spark, sf, B.auth_events)), "sessions")
+    out = drain(spark, SW.session_windows(B.auth_events(spark, sf, SW.read_table_stream)), "sessions")
     return out.select("source_ip", F.unix_micros("session_start").alias("start_us"), "event_count", "failed")
 
 
 @query("streaming_latest_upsert", "SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS verdict FROM events GROUP BY 1")
 def streaming_latest_upsert(spark, sf):
-    rows = streamed(spark, sf, lambda s, f: B.load(s, f, "events")).select("user_id", F.col("event_type").alias("verdict"), "ts", "event_id")
+    rows = SW.read_table_stream(spark, sf, "events").select("user_id", F.col("event_type").alias("verdict"), "ts", "event_id")
     target = scratch_path(spark, "latest")
     ingest.latest_upsert_stream(rows, target, ["user_id"], F.struct("ts", "event_id"), scratch_path(spark, "latest-state")).awaitTermination()
     return spark.read.parquet(target).select("user_id", "verdict")
@@ -72,7 +62,7 @@ def streaming_latest_upsert(spark, sf):
  SELECT serial_number, date, round(value - lag(value) OVER w, 4) AS value_delta_1, round(value - lag(value, 7) OVER w, 4) AS value_delta_7, round(CASE WHEN count(value) OVER r >= 2 THEN avg(value) OVER r END, 5) AS value_7obs_mean FROM o
  WINDOW w AS (PARTITION BY serial_number ORDER BY date), r AS (PARTITION BY serial_number ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
 def streaming_temporal_features(spark, sf):
-    o = streamed(spark, sf, lambda s, f: B.load(s, f, "orders"))
+    o = SW.read_table_stream(spark, sf, "orders")
     days = o.select(F.col("o_custkey").alias("serial_number"), F.concat_ws("-", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("date"), F.col("o_totalprice").alias("value"))
     out = drain(spark, stateful.temporal_stream(days), "temporal")
     return out.select("serial_number", "date", *[F.round(c, 4).alias(c) for c in ("value_delta_1", "value_delta_7")], F.round("value_7obs_mean", 5).alias("value_7obs_mean"))
@@ -80,7 +70,7 @@ def streaming_temporal_features(spark, sf):
 
 @query("streaming_lifecycle")
 def streaming_lifecycle(spark, sf):
-    c = streamed(spark, sf, lambda s, f: B.load(s, f, "conversations"))
+    c = SW.read_table_stream(spark, sf, "conversations")
     requests = c.select(F.col("conv_id").alias("subject_id"), F.col("turn").alias("position"),
                         F.when(F.col("role") == "user", "START_REVIEW").when(F.col("role") == "assistant", "RESOLVE").otherwise("REOPEN").alias("action"),
                         F.when(F.length("text") % 3 > 0, "ann").otherwise("bob").alias("actor"), (F.length("text") % 5 == 0).alias("is_admin"), F.lit("NO_FINDING").alias("resolution"), F.col("text").alias("rationale"), F.lit(True).alias("acknowledged"))
