@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Rows of one (keys, time cell) that may meet in one task before the cell is salted.
 MAX_CELL_ROWS = 200_000
 
 
-def micros(column: str):
-    return F.unix_micros(column)
+def time_cell(us: Column, window_us: int) -> Column:
+    """Number of the window-long cell of a microsecond instant, in exact integer arithmetic."""
+    return ((us - F.pmod(us, F.lit(window_us))) / window_us).cast("long")
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_us: str, right_us: str, window_us: int,
@@ -21,7 +22,7 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_us: str,
     Cells with too many left rows are salted: left rows spread by hash, right rows are
     copied to every salt of such a cell. Columns other than `keys` must differ by name.
     """
-    cell = lambda us: F.floor(F.col(us) / F.lit(window_us))
+    cell = lambda us: time_cell(F.col(us), window_us)
     l = left.withColumn("__cell", cell(left_us))
     r = right.withColumn("__cell", F.explode(F.sequence(cell(right_us) - 1, cell(right_us) + 1)))
     on = [*keys, "__cell"]

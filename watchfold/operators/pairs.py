@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from watchfold.functions.ids import pair_id
 from watchfold.operators.assess import detector_abnormal
-from watchfold.operators.bandjoin import band_join, side
+from watchfold.operators.bandjoin import band_join, side, time_cell
 from watchfold.operators.matching import greedy_one_to_one
 
 WINDOW_US = 900 * 1_000_000
@@ -126,8 +126,7 @@ def spanning_links(nodes: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     themselves within the window; so a dense burst needs no quadratic number of links.
     """
     n = instants(eligible(nodes).select("zone_id", "kind", "id", "times"))
-    cell = F.floor(F.col("us") / F.lit(window_us))
-    placed = n.withColumn("cell", cell)
+    placed = n.withColumn("cell", time_cell(F.col("us"), window_us))
     ends = placed.groupBy("zone_id", "cell", "kind").agg(
         F.min(F.struct("us", "id")).alias("first"), F.max(F.struct("us", "id")).alias("last"))
     target = F.explode(F.array(

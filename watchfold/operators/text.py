@@ -7,31 +7,44 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from watchfold.functions.columns import evaluate_once
+
 # Limits of cleaning, audit and chunking.
 REPEAT_MIN_RECORDS, REPEAT_RATIO, REPEAT_MIN_CHARS, REPEAT_MAX_CHARS = 3, 0.20, 8, 140
 MIN_RECORD_CHARS, LONG_RECORD_CHARS, MAX_EMPTY_RATIO = 80, 12000, 0.05
 TARGET_WORDS, MAX_WORDS, OVERLAP_WORDS, MIN_WORDS = 850, 1000, 100, 80
 # Mojibake sequences and their repairs.
 MOJIBAKE = [("â€™", "'"), ("â€œ", '"'), ("â€\u009d", '"'), ("â€“", "-"), ("â€”", "-")]
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+# Characters besides the line feed that end a line.
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 HYPHEN_BREAK = r"(?<=[A-Za-z])-[ \t]*\n[ \t]*(?=[A-Za-z])"
 CFR_HEADING = r"[§�]\s*1910\.(\d+[a-z]?) +(?:\[|[A-Z][a-z])"
 CONTROL_HEADING = r"(?m)^\s*PE-(\d+)\s+[A-Z]"
 
 
 def normalize_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"\s+", " "))
+    """Runs of white space become one space. Single spaces, by far the most, are not matched at all."""
+    return F.trim(F.regexp_replace(line, r"\s{2,}|[\t\n\x0b\f\r]", " "))
 
 
 def lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK)
+    """Lines of a text; a final line end opens no extra line. Rare line ends are mapped to the line
+    feed first, so the split is on one literal character."""
+    t = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    t = F.when(t.rlike(f"[{OTHER_BREAKS}]"), F.translate(t, OTHER_BREAKS, "\n" * len(OTHER_BREAKS))).otherwise(t)
+    return F.split(F.when(F.endswith(t, F.lit("\n")), F.left(t, F.length(t) - 1)).otherwise(t), "\n")
+
+
+def _record_lines(records: DataFrame) -> DataFrame:
+    """(document_id, record_id, line): normalised lines long enough to be headers or footers."""
+    raw = records.select("document_id", "record_id", F.explode(lines(F.col("text"))).alias("line"))
+    return raw.select("document_id", "record_id", normalize_line(F.col("line")).alias("line")).where(F.length("line") >= REPEAT_MIN_CHARS)
 
 
 def repeated_lines(records: DataFrame) -> DataFrame:
     """(document_id, line): header and footer lines, found in at least max(3, 20%) of a document's records."""
     total = records.groupBy("document_id").agg(F.count(F.lit(1)).alias("records"))
-    per_record = records.select("document_id", "record_id", F.explode(F.array_distinct(F.transform(lines(F.col("text")), normalize_line))).alias("line"))
-    counts = per_record.where(F.length("line") >= REPEAT_MIN_CHARS).groupBy("document_id", "line").agg(F.count_distinct("record_id").alias("n"))
+    counts = _record_lines(records).groupBy("document_id", "line").agg(F.count_distinct("record_id").alias("n"))
     limit = F.greatest(F.lit(REPEAT_MIN_RECORDS), F.floor(F.col("records") * REPEAT_RATIO))
     return counts.join(total, "document_id").where((F.col("records") >= REPEAT_MIN_RECORDS) & (F.col("n") >= limit) & (F.length("line") <= REPEAT_MAX_CHARS)) \
                  .select("document_id", "line", "n")
@@ -45,8 +58,10 @@ def remove_repeated_lines(records: DataFrame, repeated: DataFrame) -> DataFrame:
     texts themselves are not shuffled apart and put together again."""
     packed = repeated.groupBy("document_id").agg(F.collect_set("line").alias("__drop"))
     j = records.join(packed, "document_id", "left").withColumn("__drop", F.coalesce("__drop", F.array().cast("array<string>")))
-    kept = F.filter(lines(F.col("text")), lambda x: ~F.array_contains("__drop", normalize_line(x)))
-    return j.withColumn("removed_lines", F.size(lines(F.col("text"))) - F.size(kept)).withColumn("text", F.array_join(kept, "\n")).drop("__drop")
+    j = evaluate_once(j, {"__lines": lines(F.col("text"))})
+    # A short line cannot be repeated, so it is not normalised at all.
+    j = evaluate_once(j, {"__kept": F.filter("__lines", lambda x: (F.length(x) < REPEAT_MIN_CHARS) | (F.size("__drop") == 0) | ~F.array_contains("__drop", normalize_line(x)))})
+    return j.withColumn("removed_lines", F.size("__lines") - F.size("__kept")).withColumn("text", F.array_join("__kept", "\n")).drop("__drop", "__lines", "__kept")
 
 
 def dehyphenate(text: Column) -> Column:
@@ -124,8 +139,7 @@ def audit(records: DataFrame) -> DataFrame:
         count(r"\x00").alias("nul_characters"), count(r"[A-Za-z]-\n[A-Za-z]").alias("hyphen_breaks"))
     # The audit counts every repeated line, however long.
     total = records.groupBy("document_id").agg(F.count(F.lit(1)).alias("records"))
-    per = records.select("document_id", "record_id", F.explode(F.array_distinct(F.transform(lines(F.col("text")), normalize_line))).alias("line")).where(F.length("line") >= REPEAT_MIN_CHARS)
-    rep = per.groupBy("document_id", "line").agg(F.count_distinct("record_id").alias("n")).join(total, "document_id") \
+    rep = _record_lines(records).groupBy("document_id", "line").agg(F.count_distinct("record_id").alias("n")).join(total, "document_id") \
              .where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("records") * REPEAT_RATIO))).groupBy("document_id").agg(F.count(F.lit(1)).alias("repeated_lines"))
     j = g.join(rep, "document_id", "left").na.fill(0, ["repeated_lines"])
     review = (F.col("short_records") / F.col("record_count") > MAX_EMPTY_RATIO) | (F.col("long_records") + F.col("repeated_lines") + F.col("duplicate_records") + F.col("replacement_characters") + F.col("hyphen_breaks") > 0)
@@ -139,7 +153,7 @@ def paragraphs(text: Column) -> Column:
 
 def word_pieces(paragraph: Column, limit: int = MAX_WORDS) -> Column:
     """Pieces of at most `limit` words."""
-    words = F.split(paragraph, r"\s+")
+    words = F.split(paragraph, " ")  # paragraphs are normalised: one space between words
     starts = F.sequence(F.lit(1), F.size(words), F.lit(limit))
     return F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(limit)), " "))
 
@@ -148,7 +162,7 @@ def units(records: DataFrame, limit: int = MAX_WORDS) -> DataFrame:
     """(document_id, record_order, record_id, page, unit_order, text, words), paragraphs split at the word limit."""
     pieces = F.flatten(F.transform(paragraphs(F.col("text")), lambda p: word_pieces(p, limit)))
     return records.select("document_id", "record_order", "record_id", "page", F.posexplode(pieces).alias("unit_order", "text")) \
-                  .withColumn("words", F.size(F.split("text", r"\s+")))
+                  .withColumn("words", F.size(F.split("text", " ")))
 
 
 CHUNK_SCHEMA = "chunk_id string, document_id string, chunk_index int, word_count int, pages array<int>, source_record_ids array<string>, text string"
