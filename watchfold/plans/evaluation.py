@@ -289,7 +289,11 @@ def entity_split(spark, sf):
     return V.entity_split(e, "entity", 42)
 
 
-@query("split_leakage", """SELECT 'train/validation' AS pair, 0::BIGINT AS shared_entities UNION ALL SELECT 'train/test', 0 UNION ALL SELECT 'validation/test', 0""")
+_SETS = [("train", "validation"), ("train", "test"), ("validation", "test")]
+
+
+@query("split_leakage", """WITH u AS (SELECT user_id AS entity, (CAST('0x' || substr(md5(user_id || '|42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) AS u FROM events), p AS (SELECT entity, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS split FROM u) """ +
+       " UNION ALL ".join(f"SELECT '{x}/{y}' AS pair, count(*) AS shared_entities FROM (SELECT entity FROM p WHERE split = '{x}' INTERSECT SELECT entity FROM p WHERE split = '{y}')" for x, y in _SETS))
 def split_leakage(spark, sf):
     e = load(spark, sf, "events").select(F.col("user_id").alias("entity"))
     return V.split_leakage(V.entity_split(e, "entity", 42), "entity", "split", ["train", "validation", "test"])

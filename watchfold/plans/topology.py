@@ -94,7 +94,7 @@ def event_edges(spark, sf):
     return good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
 
 
-@query("topology_validation", TOPO + """ SELECT 'UNKNOWN_TARGET' AS rule, sensor_id AS item FROM sensors WHERE zone_id || 'x' IN ('') UNION ALL SELECT 'DUPLICATE_SEGMENT', c_mktsegment FROM customer GROUP BY c_mktsegment HAVING count(*) > 1 UNION ALL SELECT 'UNKNOWN_ZONE', person_id FROM grants WHERE zone_id NOT IN (SELECT zone_id FROM zones WHERE data_center_id <> 'ASIA')""")
+@query("topology_validation", TOPO + """ SELECT 'UNKNOWN_TARGET' AS rule, sensor_id AS item FROM sensors WHERE zone_id NOT IN (SELECT zone_id FROM zones) UNION ALL SELECT 'DUPLICATE_SEGMENT', c_mktsegment FROM customer GROUP BY c_mktsegment HAVING count(*) > 1 UNION ALL SELECT 'UNKNOWN_ZONE', person_id FROM grants WHERE zone_id NOT IN (SELECT zone_id FROM zones WHERE data_center_id <> 'ASIA')""")
 def topology_validation(spark, sf):
     seg = load(spark, sf, "customer").select("c_mktsegment")
     known = zones(spark, sf).where("data_center_id <> 'ASIA'")
