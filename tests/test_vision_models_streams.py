@@ -105,3 +105,11 @@ def test_lifecycle_machine(spark, tmp_path):
 def test_every_query_with_sql_is_registered():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 200
+
+
+def test_registration_needs_no_session():
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and len(e.oracle_sql()) > 200"
+    root = __file__.rsplit("/tests/", 1)[0]
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0

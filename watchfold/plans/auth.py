@@ -368,7 +368,7 @@ def failures_per_minute(spark, sf):
 # ---- sensor and drive assessments ---------------------------------------------------
 
 def readings(spark, sf):
-    e = load(spark, sf, "events").withColumn("k", B.K)
+    e = load(spark, sf, "events").withColumn("k", B.k_value())
     return e.select("event_id", F.concat(F.lit("SENSOR-"), F.expr("user_id div 10")).alias("source_id"), F.col("ts").alias("timestamp"),
                     F.when(F.col("k") % 11 != 0, F.col("value")).alias("temperature_c"),
                     F.when(F.col("k") % 22 != 0, F.col("k").cast("double") * 1.02).alias("humidity_pct"),

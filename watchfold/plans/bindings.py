@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from watchfold.functions.columns import evaluate_once
 from watchfold.sources.tables import load
 
-K = F.get_json_object("props", "$.k").cast("int")
+def k_value():
+    """Number inside `props`. A function, because columns need a session and imports must not."""
+    return F.get_json_object("props", "$.k").cast("int")
+
+
 K_SQL = "CAST(json_extract_string(props, '$.k') AS INT)"
 
 
@@ -26,9 +30,9 @@ def auth_events(spark: SparkSession, sf: str, load=load) -> DataFrame:
                     F.expr("(user_id div 10) div 256 % 256"), entity % 256).alias("source_ip"),
         F.expr("""CASE event_type WHEN 'error' THEN 'failed_login' WHEN 'signup' THEN 'successful_login'
                   WHEN 'click' THEN 'invalid_user' WHEN 'view' THEN 'disconnect' ELSE 'breakin_warning' END""").alias("event_type"),
-        F.when(K % 4 == 0, F.lit("root")).otherwise(F.concat(F.lit("u"), K % 20)).alias("username"),
-        (1 + K % 3).cast("long").alias("event_count"),
-        K.alias("k"), "value", "user_id",
+        F.when(k_value() % 4 == 0, F.lit("root")).otherwise(F.concat(F.lit("u"), k_value() % 20)).alias("username"),
+        (1 + k_value() % 3).cast("long").alias("event_count"),
+        k_value().alias("k"), "value", "user_id",
     )
 
 
@@ -137,7 +141,7 @@ log AS (SELECT event_id AS line_number, {LINE_EXPR_SQL.format(msg='(' + _message
 
 def nodes(spark: SparkSession, sf: str, load=load) -> DataFrame:
     """Live evidence nodes of five kinds; ten users form a zone, three a rack, each user is a server."""
-    return load(spark, sf, "events").withColumn("k", K).select(
+    return load(spark, sf, "events").withColumn("k", k_value()).select(
         F.expr("""CASE event_type WHEN 'error' THEN 'ssh' WHEN 'signup' THEN 'face' WHEN 'click' THEN 'ppe'
                   WHEN 'view' THEN 'maintenance' ELSE 'environment' END""").alias("kind"),
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"),

@@ -23,14 +23,14 @@ def csv_event_scan(spark, sf):
 
 @query("coerced_timestamps", f"SELECT event_type, count(*) AS rows, count(*) FILTER ({B.K_SQL} >= 10) AS parsed, count(*) FILTER ({B.K_SQL} < 10) AS coerced FROM events GROUP BY 1")
 def coerced_timestamps(spark, sf):
-    e = load(spark, sf, "events").withColumn("k", B.K)
+    e = load(spark, sf, "events").withColumn("k", B.k_value())
     raw = e.select("event_type", F.when(F.col("k") < 5, "not a time").when(F.col("k") < 10, "2024-13-45T00:00:00Z").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"))
     return T.timestamp_report(raw, "timestamp", ["event_type"])
 
 
 @query("quarantined_timestamps", f"SELECT event_id, CASE WHEN {B.K_SQL} < 5 THEN 'not a time' ELSE '2024-13-45' END AS timestamp FROM events WHERE {B.K_SQL} < 10")
 def quarantined_timestamps(spark, sf):
-    e = load(spark, sf, "events").withColumn("k", B.K)
+    e = load(spark, sf, "events").withColumn("k", B.k_value())
     raw = e.select("event_id", F.when(F.col("k") < 5, "not a time").when(F.col("k") < 10, "2024-13-45").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"))
     return T.split_bad_timestamps(raw, "timestamp")[1]
 
