@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchfold.functions.ids import short_sha
-from watchfold.session import materialize, materialize_counted
+from watchfold.session import Scratch
 
 MIN_GROUP_MEMBERS = 3
 # Members up to this many are listed and hashed in one row; larger groups are hashed by combination.
@@ -18,20 +18,23 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
     Large-star links every larger neighbour to the smallest one, small-star links the smaller
     ones; both are a `min` aggregate (partial before the shuffle) and one join. The number of
     rounds grows with the logarithm of the component size. Each round is written to the
-    shared folder, so plans stay short and lost executors cost one round.
+    shared folder and the round before is dropped, so plans and disk stay small and lost
+    executors cost one round. Null ends and self loops are left out.
     """
-    pairs = materialize(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "cc")
-    before = None
-    while True:
+    scratch = Scratch(edges.sparkSession, "cc")
+    state = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    pairs, before = scratch.table(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), *state)
+    while before[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # every u > v here: the smaller neighbours of u all meet in its smallest one
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        pairs, seen = materialize_counted(small, "cc", F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        after, seen = scratch.table(small, *state)
+        scratch.drop(pairs)
+        pairs = after
         if seen == before:
             break
         before = seen

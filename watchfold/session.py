@@ -65,3 +65,28 @@ def materialize_counted(df: DataFrame, name: str, *metrics: Column) -> tuple[Dat
     out = materialize(df.observe(seen, *[m.alias(f"m{i}") for i, m in enumerate(metrics)]), name)
     values = seen.get
     return out, tuple(values[f"m{i}"] for i in range(len(metrics)))
+
+
+class Scratch:
+    """Tables of one operator run below the shared folder.
+
+    `table` writes a DataFrame and reads it back like `materialize`; `drop` removes a table that
+    nothing reads any more, so an iterative operator keeps one round on disk instead of all.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self._paths = spark, scratch_path(spark, name), {}
+
+    def table(self, df: DataFrame, *metrics: Column) -> DataFrame | tuple[DataFrame, tuple]:
+        """With metrics: also their values over the written rows, observed during the same job."""
+        path = f"{self.root}/{len(self._paths)}"
+        seen = Observation() if metrics else None
+        (df.observe(seen, *[m.alias(f"m{i}") for i, m in enumerate(metrics)]) if metrics else df).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return (out, tuple(seen.get[f"m{i}"] for i in range(len(metrics)))) if metrics else out
+
+    def drop(self, df: DataFrame) -> None:
+        _, path = self._paths[id(df)]
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
