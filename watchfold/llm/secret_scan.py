@@ -166,5 +166,6 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 @query("op4_secrets")
 def op4_secrets(spark, sf_dir):
     found = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("__base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"), _listed(F.col("__spans")).alias("spans"))
