@@ -26,6 +26,8 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     for module in MODULES:
         importlib.import_module(f"watchfold.llm.{module}")
+    pipeline = importlib.import_module("corpus_pipeline")
+    query("pipeline", pipeline.ORACLE_SQL)(pipeline.run)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
