@@ -142,8 +142,8 @@ def filtered(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: fl
     scratch = Scratch(docs.sparkSession, "quality")
     rows = measured(docs.select("doc_id", F.col(stratum).alias("stratum"), "text")).drop("text")
     cutoffs = scratch.table(certified_cutoffs(rows, labels, rate, error))
-    found = judged(measured(docs).withColumn("stratum", F.col(stratum)), cutoffs)
-    return found.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(stratum).alias("stratum"), "text")
+    return judged(measured(whole).drop("text"), cutoffs).where("kept").select("__row.*")
 
 
 @query("op6_quality")

@@ -3,15 +3,15 @@
 Base spans are the leftmost non-overlapping matches of three patterns (the whole match is the span), kept when long
 enough. Positions come from cutting the text at the pattern: the lengths of the cuts and of the matches add up.
 
-Model: two character Markov models (transition counts with add-one smoothing over the token alphabet), one of random strings and one
+Model: two character Markov models (transition shares, backed off to the shares of single characters), one of random strings and one
 of ordinary identifiers. A token of at least `MIN_TOKEN` characters outside the base spans is a secret when its mean log-likelihood
 ratio for a transition is above the threshold and it mixes at least two character classes, one of them digits. Training counts all
 rows: random strings are the base values found in the corpus and generated ones in common alphabets
 (`GENERATED` for each row of a bounded sample); identifiers are the words of the same sample, at most `SAMPLE_DOCS` documents chosen by hash.
 The threshold is the midpoint between the mean scores of both labelled sets. The driver sees transition counts only (alphabet squared).
 
-Edge cases: a null text is empty and has no spans. Without rows or without identifiers to train on, smoothing leaves both models flat where nothing
-was seen and the method adds nothing. Repeated rows and null doc_ids are kept. Columns other than doc_id and text
+Edge cases: a null text is empty and has no spans. Without rows both models are flat and the
+method adds nothing. Repeated rows and null doc_ids are kept. Columns other than doc_id and text
 are not read; `redacted` returns all columns, with text (and n_chars, where there is such a column) replaced.
 """
 
@@ -34,6 +34,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = r"[A-Za-z0-9_-]{4,}"
 SAMPLE_DOCS = 20_000
+BACK_OFF = 5.0
 MIN_SCORE = 0.35
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -108,13 +109,18 @@ def labelled_tokens(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
 def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     counts = _transitions(labelled_tokens(docs, sample_docs)).collect()  # at most 2 x alphabet squared rows
     size = len(ALPHABET)
-    n = {0: [[1.0] * size for _ in range(size)], 1: [[1.0] * size for _ in range(size)]}
+    n = {label: [[0.0] * size for _ in range(size)] for label in (0, 1)}
     for row in counts:
         n[row["label"]][row["a"] - 1][row["b"] - 1] += row["n"]
-    ratio = [log(n[1][a][b] / sum(n[1][a])) - log(n[0][a][b] / sum(n[0][a])) for a in range(size) for b in range(size)]
+    chance = {}
+    for label, table in n.items():  # a character's own share stands in where a transition was rarely or never seen
+        follows = [sum(r[b] for r in table) + 0.5 for b in range(size)]
+        share = [f / sum(follows) for f in follows]
+        chance[label] = [[(r[b] + BACK_OFF * share[b]) / (sum(r) + BACK_OFF) for b in range(size)] for r in table]
+    ratio = [log(chance[1][a][b] / chance[0][a][b]) for a in range(size) for b in range(size)]
     means = {}
     for label in (0, 1):
-        seen = [(n[label][a][b] - 1, ratio[a * size + b]) for a in range(size) for b in range(size)]
+        seen = [(n[label][a][b], ratio[a * size + b]) for a in range(size) for b in range(size)]
         means[label] = sum(k * r for k, r in seen) / max(1.0, sum(k for k, _ in seen))
     return Model(tuple(ratio), max(MIN_SCORE, (means[0] + means[1]) / 2))
 
