@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from watchfold.llm.common import spread_join
 from watchfold.llm.registry import query, table
 from watchfold.operators.graph import connected_components
 from watchfold.session import Scratch
@@ -205,13 +206,13 @@ def components(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = S
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id of all linked documents."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs, words_per_shingle))
-    firsts = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    firsts, (n,) = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), F.sum("n"))
     labels = connected_components(near_links(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
     near = labels.join(firsts, "fp")
     lows = near.groupBy("component").agg(F.min("first_id").alias("component_id"))
     moved = near.join(lows, "component").select("fp", "component_id")
-    ids = firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = scratch.table(firsts.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id")))
+    return spread_join(rows, ids, "fp", "n", n or 0, ["component_id"])
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
