@@ -15,7 +15,7 @@ joined to responses and revisits, which keep their payload. Revisits meet the re
 
 Edge cases: a null html is an empty payload. A null url gives no WARC-Target-URI, line breaks in one are percent-encoded.
 Null page_ids come last and have no page-id field; they read back as null. Rows that share payload and smallest page_id are all responses; repeated
-rows give repeated captures. A truncated last record is returned with complete = false. Empty tables give an empty result.
+rows give repeated captures. A last record that breaks off in its block is returned with complete = false, one that breaks off in its header is none. Empty tables give an empty result.
 """
 
 from __future__ import annotations
