@@ -186,3 +186,17 @@ def test_file_ledger(spark, tmp_path):
     (box / "b.csv").write_text("now")
     time.sleep(1.1)
     assert ("n/b.csv", "COMPLETE") in scan() and len(scan()) == 5
+
+
+def test_envelope_nulls_and_types_are_errors(spark):
+    bad = {"event_id": None, "schema_version": None, "timestamp": None, "window": 3, "domain": None, "event_type": None, "source": 5, "entities": {"server_id": 7}, "location": [], "assessment": None, "evidence": {},
+           "provenance": {"source_type": None, "synthetic_mapping": "x", "mapping_type": None, "original_timestamp": None, "scenario_id": None}}
+    row = spark.createDataFrame([(json.dumps(bad),)], "t string").select(E.envelope_errors(F.col("t")).alias("e")).first()
+    assert set(row.e) == {"event_id: null", "schema_version: null", "timestamp: null", "window: wrong type", "domain: null", "event_type: null", "source: wrong type", "entities.server_id: wrong type",
+                          "location: wrong type", "assessment: null", "provenance.source_type: null", "provenance.synthetic_mapping: wrong type"}
+
+
+def test_minimize_keeps_undeclared_keys_at_any_depth(spark):
+    texts = ['{"a":1,"keep_me":2,"token":"x","deep":[{"token":1,"other":{"kept":[1.5,null,"é"]}}]}', "[]", "broken", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", E.minimize(F.col("t")).alias("m")).orderBy("k").collect()
+    assert [r.m for r in rows] == ['{"a":1,"keep_me":2,"deep":[{"other":{"kept":[1.5,null,"é"]}}]}', "[]", None, None]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from watchfold.operators.assess import ABNORMAL_STATES, DRIVE_THRESHOLD, lookup
@@ -88,15 +90,39 @@ def flatten(events: DataFrame) -> DataFrame:
         F.col("provenance.original_event_id").alias("original_event_id"), F.col("provenance.scenario_id").alias("scenario_id"), "evidence")
 
 
+# JSON type of each key (N number, S string, B boolean, O object; ? also null).
+TYPES = {
+    "event_id": "S", "schema_version": "S", "timestamp": "S", "window": "O?", "domain": "S", "event_type": "S", "source": "O", "entities": "O", "location": "O", "assessment": "O", "evidence": "O", "provenance": "O",
+    "window.start": "S", "window.end": "S", "source.component": "S", "source.component_version": "S", "source.model_name": "S?",
+    **{f"entities.{k}": "S?" for k in NESTED["entities"][1]}, **{f"location.{k}": "S?" for k in NESTED["location"][1]},
+    "assessment.state": "S", "assessment.confidence": "SN?", "assessment.score": "N?", "assessment.anomaly_detected": "B?",
+    "provenance.source_type": "S", "provenance.dataset_name": "S?", "provenance.original_event_id": "S?", "provenance.synthetic_mapping": "B", "provenance.mapping_type": "S?",
+    "provenance.original_timestamp": "S?", "provenance.scenario_id": "S?",
+}
+_KINDS = {"S": "STRING", "N": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "B": "BOOLEAN", "O": "OBJECT.*", "?": "VOID"}
+
+
+def _types_ok(kind: Column, allowed: str) -> Column:
+    return F.regexp_like(kind, F.lit("^(" + "|".join(_KINDS[c] for c in allowed) + ")$"))
+
+
 def envelope_errors(text: Column) -> Column:
-    """All contract errors of a JSON envelope, each with its path."""
+    """All contract errors of a JSON envelope, each with its path: missing, null or mistyped keys, unknown keys, values outside their lists."""
     at = lambda path: F.get_json_object(text, "$." + path)
+    whole = F.try_parse_json(text)
+    # Null where the key is absent, VOID where it holds a JSON null.
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(whole, "$." + path, "variant"))
     keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    errors = [F.when(F.json_object_keys(text).isNull(), "$: not an object")]
-    # A key with a JSON null is present for the key list; get_json_object shows it as null.
+    is_object = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
+    errors = [F.when(~is_object, "$: not an object")]
     errors += [F.when(~F.array_contains(keys, k), f"{k}: required") for k in ROOT_REQUIRED]
     errors.append(F.when(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in sorted(ROOT)]))) > 0, "$: unexpected key"))
+    null = lambda path: F.coalesce(kind(path) == "VOID", F.lit(False))
+    bad = lambda path: F.coalesce(~_types_ok(kind(path), TYPES[path]), F.lit(False))
+    typed = lambda path: F.when(bad(path) & null(path), f"{path}: null").when(bad(path), f"{path}: wrong type")
+    errors += [typed(k) for k in TYPES if "." not in k]
     errors.append(F.when(at("event_id") == "", "event_id: empty"))
+    errors.append(F.when(at("event_type") == "", "event_type: empty"))
     errors.append(F.when(at("schema_version") != SCHEMA_VERSION, "schema_version: not 1.0"))
     errors.append(F.when(~at("domain").isin(*DOMAINS), "domain: not in enum"))
     errors.append(F.when(at("timestamp").isNotNull() & F.try_to_timestamp(at("timestamp")).isNull(), "timestamp: not a date-time"))
@@ -104,23 +130,32 @@ def envelope_errors(text: Column) -> Column:
         sub = F.json_object_keys(at(name))
         errors += [F.when(sub.isNotNull() & ~F.array_contains(sub, k), f"{name}.{k}: required") for k in required]
         errors.append(F.when(F.size(F.array_except(F.coalesce(sub, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in required + allowed]))) > 0, f"{name}: unexpected key"))
+        errors += [typed(f"{name}.{k}") for k in required + allowed]
     errors.append(F.when(~at("provenance.source_type").isin(*SOURCE_TYPES), "provenance.source_type: not in enum"))
     errors.append(F.when(~at("provenance.mapping_type").isin(*MAPPING_TYPES), "provenance.mapping_type: not in enum"))
     return F.array_compact(F.array(*errors))
 
 
-def prune(schema: T.DataType, denied: set[str]) -> T.DataType:
-    """Schema without the denied keys at any depth."""
-    if isinstance(schema, T.StructType):
-        return T.StructType([T.StructField(f.name, prune(f.dataType, denied), f.nullable) for f in schema.fields if f.name not in denied])
-    if isinstance(schema, T.ArrayType):
-        return T.ArrayType(prune(schema.elementType, denied), schema.containsNull)
-    return schema
+def without_keys(value, denied: set[str]):
+    """A parsed JSON value without the denied object keys at any depth."""
+    if isinstance(value, dict):
+        return {k: without_keys(v, denied) for k, v in value.items() if k not in denied}
+    return [without_keys(v, denied) for v in value] if isinstance(value, list) else value
+
+
+def minimize(text: Column, denied: set[str] = frozenset(DENIED_KEYS)) -> Column:
+    """JSON text without the denied keys at any depth; every other key stays, declared or not. Invalid JSON gives null."""
+    denied = set(denied)
 
+    def cleaned(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return None if t is None else json.dumps(without_keys(json.loads(t), denied), ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return None
+        return texts.map(one)
 
-def minimize(text: Column, schema: T.StructType, denied: set[str] = frozenset(DENIED_KEYS)) -> Column:
-    """JSON text rebuilt from the schema without denied keys."""
-    return F.to_json(F.from_json(text, prune(schema, set(denied))))
+    return F.pandas_udf(cleaned, "string")(text)
 
 
 def project_evidence(text: Column, allowed: T.StructType, list_caps: dict[str, int] | None = None) -> Column:

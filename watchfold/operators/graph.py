@@ -8,8 +8,6 @@ from watchfold.functions.ids import short_sha
 from watchfold.session import Scratch
 
 MIN_GROUP_MEMBERS = 3
-# Members up to this many are listed and hashed in one row; larger groups are hashed by combination.
-LISTED_MEMBERS = 10_000
 
 
 def connected_components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
@@ -48,34 +46,28 @@ def node_key(zone: Column, kind: Column, oid: Column) -> Column:
 
 
 def group_members(edges: DataFrame) -> DataFrame:
-    """(zone_id, kind, id, component) for every end of every edge; zones never mix."""
-    ends = edges.select("zone_id", node_key(F.col("zone_id"), F.col("left_kind"), F.col("left_id")).alias("src"),
-                        node_key(F.col("zone_id"), F.col("right_kind"), F.col("right_id")).alias("dst"))
-    labels = connected_components(ends)
-    parts = F.split("node", r"\|")
-    member = F.regexp_extract("node", r"^([^|]*)\|([^:]*):(.*)$", 2)
-    return labels.select(parts[0].alias("zone_id"), member.alias("kind"), F.regexp_extract("node", r"^([^|]*)\|([^:]*):(.*)$", 3).alias("id"), "component")
+    """(zone_id, kind, id, component) for every end of every edge; zones never mix.
+
+    Nodes stay structs throughout, so any character may stand in a zone, kind or id. `component` is the smallest member.
+    """
+    end = lambda side: F.struct("zone_id", F.col(f"{side}_kind").alias("kind"), F.col(f"{side}_id").alias("id"))
+    labels = connected_components(edges.select(end("left").alias("src"), end("right").alias("dst")))
+    return labels.select("node.*", "component")
 
 
-def with_group_ids(members: DataFrame, min_members: int = MIN_GROUP_MEMBERS, prefix: str = "GROUP-", listed: int = LISTED_MEMBERS) -> DataFrame:
+def with_group_ids(members: DataFrame, min_members: int = MIN_GROUP_MEMBERS, prefix: str = "GROUP-") -> DataFrame:
     """Members of groups with at least `min_members`, with a group ID that depends only on membership.
 
-    The ID is SHA-256 over zone and sorted members. Groups above `listed` members are not
-    gathered in one row: their ID hashes the count and order-free sums of member hashes.
+    The ID is a hash of zone, member count, and the sum and exclusive or of 60-bit hashes of the members: partial
+    aggregates that need no order, so groups of any size get theirs the same way and none is gathered in one row.
     """
-    ref = F.concat_ws(":", "kind", "id")
+    ref = F.to_json(F.array("kind", "id"))
     by = ["zone_id", "component"]
-    h = F.xxhash64(ref)
-    sizes = members.groupBy(*by).agg(F.count(F.lit(1)).alias("member_count"), F.sum(h.cast("decimal(38,0)")).alias("s1"),
-                                     F.bit_xor(h).alias("s2")).where(F.col("member_count") >= min_members)
-    kept = members.join(sizes, by)
-    small = (kept.where(F.col("member_count") <= listed).groupBy(*by)
-             .agg(F.array_sort(F.collect_list(F.struct("kind", "id"))).alias("refs")))
-    listed_text = F.array_join(F.transform("refs", lambda r: F.concat_ws(":", r["kind"], r["id"])), "|")
-    small_ids = small.select(*by, F.concat(F.lit(prefix), short_sha(F.concat_ws("|", "zone_id", listed_text))).alias("group_id"))
-    large_ids = sizes.where(F.col("member_count") > listed).select(
-        *by, F.concat(F.lit(prefix), short_sha(F.concat_ws("|", "zone_id", "member_count", "s1", "s2"))).alias("group_id"))
-    return kept.drop("s1", "s2").join(small_ids.unionByName(large_ids), by)
+    h = F.conv(F.substring(F.sha2(ref, 256), 1, 15), 16, 10).cast("long")
+    sizes = members.groupBy(*by).agg(F.count(F.lit(1)).alias("member_count"), F.sum(h.cast("decimal(38,0)")).alias("s1"), F.bit_xor(h).alias("s2"))
+    ids = sizes.where(F.col("member_count") >= min_members).select(
+        *by, "member_count", F.concat(F.lit(prefix), short_sha(F.concat_ws("|", "zone_id", "member_count", "s1", "s2"))).alias("group_id"))
+    return members.join(ids, by)
 
 
 def group_edges(edges: DataFrame, grouped: DataFrame) -> DataFrame:

@@ -34,7 +34,10 @@ def instants(nodes: DataFrame) -> DataFrame:
 
 
 def cross_domain_pairs(events: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
-    """Abnormal events of one scenario and zone, different domains, close in time; deepest shared scope."""
+    """Abnormal events of one scenario and zone, different domains, close in time; deepest shared scope.
+
+    Event ids are unique within a scenario, and the band join meets each pair once, so no pair comes twice.
+    """
     keys = ["scenario_id", "zone_id"]
     cols = events.where("abnormal").select(*keys, "id", "domain", "server_id", "rack_id", "us")
     both = band_join(side(cols, "left", keys), side(cols, "right", keys), keys, "left_us", "right_us", window_us)
@@ -43,7 +46,7 @@ def cross_domain_pairs(events: DataFrame, window_us: int = WINDOW_US) -> DataFra
              .when(F.col("left_rack_id") == F.col("right_rack_id"), "RACK").otherwise("ZONE"))
     entity = F.when(scope == "SERVER", F.col("left_server_id")).when(scope == "RACK", F.col("left_rack_id")).otherwise(F.col("zone_id"))
     return kept.select(*keys, "left_id", "right_id", "left_domain", "right_domain", scope.alias("scope"), entity.alias("shared_entity"),
-                       (F.abs(F.col("left_us") - F.col("right_us")) / 1e6).alias("time_difference_seconds")).distinct()
+                       (F.abs(F.col("left_us") - F.col("right_us")) / 1e6).alias("time_difference_seconds"))
 
 
 def generic_pairs(nodes: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
@@ -94,8 +97,8 @@ def image_pairs(observations: DataFrame, window_us: int = WINDOW_US) -> DataFram
                              ["not_same_source", "time_difference_seconds", "receipt_difference_seconds", "newest_first"])
 
 
-def face_ssh_candidates(faces: DataFrame, logs: DataFrame, window_us: int = WINDOW_US, top: int = 100) -> DataFrame:
-    """Face x log evidence of one zone, closest first, the first `top` of the report.
+def face_ssh_candidates(faces: DataFrame, logs: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
+    """Face x log evidence of one zone within the window: every candidate; how many to show is up to the reader.
 
     A declared time replaces the log time; an uncertain or pre-2020 log time is not used."""
     trusted = F.when(F.col("declared_ts").isNotNull(), F.col("declared_ts")) \
@@ -105,8 +108,7 @@ def face_ssh_candidates(faces: DataFrame, logs: DataFrame, window_us: int = WIND
     keys = ["zone_id"]
     both = band_join(side(f, "left", keys), side(l, "right", keys), keys, "left_us", "right_us", window_us)
     return (both.select("zone_id", "left_id", "right_id", (F.abs(F.col("left_us") - F.col("right_us")) / 1e6).alias("time_difference_seconds"),
-                        F.concat(F.lit("FACE-SSH-"), "left_id", F.lit("-"), "right_id").alias("source_id"))
-            .orderBy("time_difference_seconds", "source_id").limit(top))
+                        F.concat(F.lit("FACE-SSH-"), "left_id", F.lit("-"), "right_id").alias("source_id")))
 
 
 def as_edges(pairs: DataFrame, kind: str, left_kind: str, right_kind: str) -> DataFrame:

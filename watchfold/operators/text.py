@@ -83,8 +83,8 @@ def mojibake_count(text: Column) -> Column:
 
 
 def replacement_contexts(text: Column) -> Column:
-    """Up to sixty characters on both sides of the first twenty U+FFFD (a report sample)."""
-    return F.slice(F.regexp_extract_all(text, F.lit("(?s)(.{0,60}�.{0,60})")), 1, 20)
+    """Up to sixty characters on both sides of every U+FFFD; one that stands in the context before it has none of its own."""
+    return F.regexp_extract_all(text, F.lit("(?s)(.{0,60}�.{0,60})"))
 
 
 def normalize_whitespace(text: Column) -> Column:

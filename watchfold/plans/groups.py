@@ -19,7 +19,8 @@ reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym
 comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)"""
 GROUPS = REACH + """, mem AS (SELECT node, component, split_part(node, '|', 1) AS zone_id, split_part(split_part(node, '|', 2), ':', 1) AS kind, split_part(split_part(node, '|', 2), ':', 2) AS id,
   count(*) OVER (PARTITION BY component) AS member_count FROM comp),
-gid AS (SELECT component, 'GROUP-' || upper(substr(sha256(min(zone_id) || '|' || string_agg(kind || ':' || id, '|' ORDER BY kind, id)), 1, 20)) AS group_id FROM mem WHERE member_count >= 3 GROUP BY 1),
+mh AS (SELECT *, ('0x' || substr(sha256('["' || kind || '","' || id || '"]'), 1, 15))::BIGINT AS h FROM mem),
+gid AS (SELECT component, 'GROUP-' || upper(substr(sha256(min(zone_id) || '|' || count(*) || '|' || sum(h) || '|' || bit_xor(h)), 1, 20)) AS group_id FROM mh WHERE member_count >= 3 GROUP BY 1),
 grp AS (SELECT zone_id, kind, id, mem.component, member_count, group_id FROM mem JOIN gid ON gid.component = mem.component)"""
 GROUPED_SQL = EDGES_SQL + GROUPS.format(edges="edges")
 
@@ -53,7 +54,8 @@ def correlation_group_edges(spark, sf):
 def generic_components(spark, sf):
     """Components of the generic rule from linear-size spanning links; the check uses all pairs."""
     m = graph.group_members(P.spanning_links(live_nodes(spark, sf)))
-    return m.select(graph.node_key(F.col("zone_id"), F.col("kind"), F.col("id")).alias("node"), "component")
+    key = lambda c: graph.node_key(F.col(f"{c}zone_id"), F.col(f"{c}kind"), F.col(f"{c}id"))
+    return m.select(key("").alias("node"), key("component.").alias("component"))
 
 
 @query("published_groups", GROUPED_SQL + """ SELECT DISTINCT group_id FROM grp JOIN nodes USING (kind, id) WHERE state IN ('EXPLICIT_SECURITY_EVENT','SMOKE_DETECTED')""")

@@ -95,10 +95,13 @@ def control_text(spark, sf):
     return out.where("text <> ''").select("document_id", "page", F.md5("text").alias("text_md5"))
 
 
-@query("replacement_contexts", """WITH t AS (SELECT doc_id, replace(text, 'ä', chr(65533)) AS t FROM documents) SELECT doc_id, len(t) - len(replace(t, chr(65533), '')) AS replacement_characters FROM t""")
+@query("replacement_contexts", """WITH t AS (SELECT doc_id, replace(text, 'ä', chr(65533)) AS t FROM documents),
+ c AS (SELECT doc_id, len(t) - len(replace(t, chr(65533), '')) AS n, regexp_extract_all(t, '(?s).{0,60}' || chr(65533) || '.{0,60}') AS x FROM t)
+ SELECT doc_id, n AS replacement_characters, unnest(x) AS context, unnest(range(len(x)))::INT AS place FROM c""")
 def replacement_contexts(spark, sf):
     t = load(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("ä"), F.lit("\ufffd")).alias("t"))
-    return t.select("doc_id", F.regexp_count("t", F.lit("\ufffd")).cast("long").alias("replacement_characters"))
+    counted = t.withColumn("replacement_characters", F.regexp_count("t", F.lit("\ufffd")).cast("long"))
+    return counted.select("doc_id", "replacement_characters", F.posexplode(X.replacement_contexts(F.col("t"))).alias("place", "context"))
 
 
 @query("corpus_audit", REC + r""", rep2 AS (SELECT document_id, count(*) AS repeated_lines FROM cnt JOIN tot USING (document_id) WHERE n >= greatest(3, floor(records * 0.2)) GROUP BY 1),

@@ -50,7 +50,9 @@ def reconstruction_anomalies(spark, sf):
     model = ml.fit_linear_encoder(s.where("split = 'train'"), FEATURES, 3)
     scored = materialize(ml.reconstruction_error(model, s, FEATURES), "errors")
     held = scored.where("split = 'validation'")
-    return ml.flag_by_error(scored, scored if held.isEmpty() else held).select("source_ip", secs("window_start"), F.round("reconstruction_error", 6).alias("reconstruction_error"), "ae_prediction")
+    if held.isEmpty():
+        raise ValueError("the validation split has no rows: no threshold can be set")
+    return ml.flag_by_error(scored, held).select("source_ip", secs("window_start"), F.round("reconstruction_error", 6).alias("reconstruction_error"), "ae_prediction")
 
 
 TEMPORAL = ["value", "value_delta_1", "value_delta_7", "value_7obs_mean", "value_7obs_range"]

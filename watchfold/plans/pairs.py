@@ -32,8 +32,7 @@ img(n, used) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT o.n, CASE WHEN
  FROM img g JOIN imn o ON o.n = g.n + 1),
 im AS (SELECT imn.* FROM imn, (SELECT used FROM img ORDER BY n DESC LIMIT 1) f WHERE list_contains(f.used, 'n' || imn.n))"""
 FS_CTE = """, lg AS (SELECT zone_id, id, state, epoch_us(CASE WHEN k >= 90 THEN ts + INTERVAL 2 MINUTE WHEN k < 5 THEN NULL WHEN k < 10 THEN NULL ELSE ts END) AS us FROM nodes WHERE kind = 'ssh' AND state <> 'NO_ANOMALY_EVIDENCE'),
-fsc AS (SELECT f.zone_id, f.id AS left_id, l.id AS right_id, abs(f.us - l.us) / 1e6::DOUBLE AS dt, 'FACE-SSH-' || f.id || '-' || l.id AS source_id FROM nodes f JOIN lg l ON f.kind = 'face' AND f.zone_id = l.zone_id AND l.us IS NOT NULL AND abs(f.us - l.us) <= 900000000
- ORDER BY dt, source_id LIMIT 100)"""
+fsc AS (SELECT f.zone_id, f.id AS left_id, l.id AS right_id, abs(f.us - l.us) / 1e6::DOUBLE AS dt, 'FACE-SSH-' || f.id || '-' || l.id AS source_id FROM nodes f JOIN lg l ON f.kind = 'face' AND f.zone_id = l.zone_id AND l.us IS NOT NULL AND abs(f.us - l.us) <= 900000000)"""
 EDGES_SQL = NODES + GENERIC_CTE + OP_CTE + IMG_CTE + FS_CTE + """, edges AS (
  SELECT zone_id, left_kind, left_id, right_kind, right_id, scope, dt, source_id, 'REASONING_CONTEXT' AS type FROM generic
  UNION ALL SELECT zone_id, 'maintenance', left_id, 'environment', right_id, 'ZONE', dt, source_id, 'OPERATIONAL' FROM op

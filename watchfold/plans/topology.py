@@ -269,17 +269,15 @@ EVIDENCE_JSON = """concat('{"failure_probability":', k / 100.0, ',"token":"secre
 
 @query("denied_keys_removed", NODES + f""", j AS (SELECT id, k FROM nodes) SELECT id, '{{"failure_probability":' || (k / 100.0::DOUBLE) || ',"smart":{{"smart_5_raw":' || k || '}},"people":[{{"person_index":0}}' || CASE WHEN k < 50 THEN '' ELSE ',{{"person_index":1}}' END || ']}}' AS evidence FROM j""".replace("{{", "{").replace("}}", "}"))
 def denied_keys_removed(spark, sf):
-    payload = "failure_probability DOUBLE, token STRING, smart STRUCT<smart_5_raw: INT, owner: STRING>, people ARRAY<STRUCT<person_index: INT, image: STRING, landmarks: ARRAY<INT>>>"
     t = B.nodes(spark, sf).select("id", F.expr(EVIDENCE_JSON).alias("t"))
-    st = spark.createDataFrame([], payload).schema
-    return t.select("id", E.minimize(F.col("t"), st).alias("evidence"))
+    return t.select("id", E.minimize(F.col("t")).alias("evidence"))
 
 
-@query("allowed_evidence", NODES + """ SELECT id, '{"smart":{"smart_5_raw":' || k || '},"people":[{"person_index":0}]}' AS evidence FROM nodes""")
+@query("allowed_evidence", NODES + """ SELECT id, '{"smart":{"smart_5_raw":' || k || '},"people":[{"person_index":0}' || CASE WHEN k < 50 THEN '' ELSE ',{"person_index":1}' END || ']}' AS evidence FROM nodes""")
 def allowed_evidence(spark, sf):
     allowed = spark.createDataFrame([], "smart STRUCT<smart_5_raw: INT>, people ARRAY<STRUCT<person_index: INT>>").schema
     t = B.nodes(spark, sf).select("id", F.expr(EVIDENCE_JSON).alias("t"))
-    return t.select("id", E.project_evidence(F.col("t"), allowed, {"people": 1}).alias("evidence"))
+    return t.select("id", E.project_evidence(F.col("t"), allowed).alias("evidence"))
 
 
 @query("normalised_times", NODES + """, t AS (SELECT id, CASE WHEN k < 20 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN k < 30 THEN 'yesterday' WHEN k < 60 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S+02:00') END AS raw, k, date_trunc('second', ts) AS s FROM nodes)
