@@ -102,6 +102,53 @@ def test_lifecycle_machine(spark, tmp_path):
         (True, "RESOLVED", None), (False, "RESOLVED", "RATIONALE_TOO_SHORT"), (True, "REOPENED", None), (True, "IN_REVIEW", None)]
 
 
+def test_unknown_action_is_refused_and_the_stream_goes_on(spark, tmp_path):
+    schema = "subject_id long, position long, action string, actor string, is_admin boolean, resolution string, rationale string, acknowledged boolean"
+    rows = [(1, 0, "DELETE", "ann", False, None, "", False), (1, 1, None, "ann", False, None, "", False), (1, 2, "START_REVIEW", "ann", False, None, "", False)]
+    got = sorted(collect(spark, stateful.lifecycle_stream(stream_of(spark, tmp_path, [rows], schema)), tmp_path), key=lambda r: r.position)
+    assert [(r.accepted, r.to_state, r.reason) for r in got] == [(False, "OPEN", "UNKNOWN_ACTION"), (False, "OPEN", "UNKNOWN_ACTION"), (True, "IN_REVIEW", None)]
+
+
+def test_late_rows_come_out_marked(spark, tmp_path):
+    schema = "serial_number long, date string, value double"
+    got = collect(spark, stateful.temporal_stream(stream_of(spark, tmp_path, [[(1, "2024-01-02", 1.0)], [(1, "2024-01-01", 9.0), (1, "2024-01-03", 4.0)]], schema)), tmp_path)
+    assert {(r.date, r.late) for r in got} == {("2024-01-02", False), ("2024-01-01", True), ("2024-01-03", False)}
+    assert [r.value_delta_1 for r in got if r.date == "2024-01-03"] == [3.0]
+
+
+def test_ingestion_retries_failures_and_never_reads_large_files(spark, tmp_path):
+    from watchfold.streaming import ingest
+
+    inbox, ledger = tmp_path / "in", str(tmp_path / "ledger")
+    inbox.mkdir()
+    for name, text in [("a.txt", "fine"), ("b.txt", "bad"), ("c.txt", "left out"), ("d.txt", "x" * 500)]:
+        (inbox / name).write_text(text)
+    mended = []
+
+    def handle(files):
+        ok = F.col("content").cast("string") != ("nothing" if mended else "bad")
+        if mended == ["raise"]:
+            raise ValueError("broken handler")
+        return files.where("path NOT LIKE '%c.txt'").select("path", "content_sha256", F.when(ok, "COMPLETE").otherwise("FAILED").alias("status"))
+
+    run = lambda: ingest.ingest_stream(spark, str(inbox), "*.txt", "k", ledger, str(tmp_path / "cp"), handle, 100, min_age_seconds=0).awaitTermination()
+    last = lambda: {r.path[-5:]: r.s for r in ingest._ledger(spark, ledger, "k").groupBy("path").agg(F.max_by("status", "recorded_at").alias("s")).collect()}
+    run()
+    assert last() == {"a.txt": "COMPLETE", "b.txt": "FAILED", "c.txt": "FAILED", "d.txt": "TOO_LARGE"}
+    mended.append("raise")
+    run()
+    assert last()["b.txt"] == "FAILED"
+    mended[:] = ["mended"]
+    run()
+    assert last() == {"a.txt": "COMPLETE", "b.txt": "COMPLETE", "c.txt": "FAILED", "d.txt": "TOO_LARGE"}
+    assert ingest._ledger(spark, ledger, "k").where("path LIKE '%a.txt'").count() == 1
+    (inbox / "e.txt").write_text("young")
+    ingest.scan_once(spark, str(inbox), "e.txt", "k", ledger, handle, 100, 3600)
+    assert last()["e.txt"] == "PENDING"
+    ingest.scan_once(spark, str(inbox), "e.txt", "k", ledger, handle, 100, 0)
+    assert last()["e.txt"] == "COMPLETE"
+
+
 def test_every_query_with_sql_is_registered():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 200

@@ -59,16 +59,28 @@ def streaming_latest_upsert(spark, sf):
 
 
 @query("streaming_temporal_features", """WITH o AS (SELECT o_custkey AS serial_number, strftime(o_orderdate, '%Y-%m-%d') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS date, o_totalprice AS value FROM orders)
- SELECT serial_number, date, round(value - lag(value) OVER w, 4) AS value_delta_1, round(value - lag(value, 7) OVER w, 4) AS value_delta_7, round(CASE WHEN count(value) OVER r >= 2 THEN avg(value) OVER r END, 5) AS value_7obs_mean FROM o
+ SELECT serial_number, date, round(value - lag(value) OVER w, 4) AS value_delta_1, round(value - lag(value, 7) OVER w, 4) AS value_delta_7, round(CASE WHEN count(value) OVER r >= 2 THEN avg(value) OVER r END, 5) AS value_7obs_mean, false AS late FROM o
  WINDOW w AS (PARTITION BY serial_number ORDER BY date), r AS (PARTITION BY serial_number ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
 def streaming_temporal_features(spark, sf):
     o = SW.read_table_stream(spark, sf, "orders")
     days = o.select(F.col("o_custkey").alias("serial_number"), F.concat_ws("-", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("date"), F.col("o_totalprice").alias("value"))
     out = drain(spark, stateful.temporal_stream(days), "temporal")
-    return out.select("serial_number", "date", *[F.round(c, 4).alias(c) for c in ("value_delta_1", "value_delta_7")], F.round("value_7obs_mean", 5).alias("value_7obs_mean"))
+    return out.select("serial_number", "date", *[F.round(c, 4).alias(c) for c in ("value_delta_1", "value_delta_7")], F.round("value_7obs_mean", 5).alias("value_7obs_mean"), "late")
 
 
-@query("streaming_lifecycle")
+# Requests in order of their turn; the state and the assignee are carried along by recursion.
+LIFECYCLE_SQL = """WITH RECURSIVE q AS (SELECT conv_id AS subject_id, turn AS position, CASE role WHEN 'user' THEN 'START_REVIEW' WHEN 'assistant' THEN 'RESOLVE' WHEN 'system' THEN 'REOPEN' END AS action,
+  CASE WHEN length(text) % 3 > 0 THEN 'ann' ELSE 'bob' END AS actor, length(text) % 5 = 0 AS is_admin, length(trim(text)) < 15 AS short, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+ run AS (SELECT subject_id, 0::BIGINT AS n, NULL::BIGINT AS position, NULL::VARCHAR AS action, NULL::VARCHAR AS from_state, 'OPEN' AS to_state, NULL::VARCHAR AS assignee, NULL::BOOLEAN AS accepted, NULL::VARCHAR AS reason FROM q GROUP BY 1
+  UNION ALL SELECT subject_id, n, position, action, was, CASE WHEN reason IS NOT NULL THEN was WHEN action = 'START_REVIEW' THEN 'IN_REVIEW' WHEN action = 'RESOLVE' THEN 'RESOLVED' ELSE 'REOPENED' END,
+   CASE WHEN reason IS NULL AND action = 'START_REVIEW' THEN actor ELSE assignee END, reason IS NULL, reason FROM (
+   SELECT q.*, run.to_state AS was, run.assignee, CASE WHEN q.action IS NULL THEN 'UNKNOWN_ACTION' WHEN NOT CASE q.action WHEN 'START_REVIEW' THEN run.to_state IN ('OPEN','REOPENED') WHEN 'RESOLVE' THEN run.to_state = 'IN_REVIEW' ELSE run.to_state = 'RESOLVED' END THEN 'NOT_ALLOWED_FROM_STATE'
+    WHEN q.action = 'RESOLVE' AND actor IS DISTINCT FROM run.assignee AND NOT is_admin THEN 'NOT_ASSIGNED_REVIEWER' WHEN q.action = 'RESOLVE' AND short THEN 'INCOMPLETE_RESOLUTION' WHEN q.action = 'REOPEN' AND short THEN 'RATIONALE_TOO_SHORT' END AS reason
+   FROM run JOIN q ON q.subject_id = run.subject_id AND q.n = run.n + 1))
+ SELECT subject_id, position, action, from_state, to_state, accepted, reason FROM run WHERE n > 0"""
+
+
+@query("streaming_lifecycle", LIFECYCLE_SQL)
 def streaming_lifecycle(spark, sf):
     c = SW.read_table_stream(spark, sf, "conversations")
     requests = c.select(F.col("conv_id").alias("subject_id"), F.col("turn").alias("position"),
@@ -77,7 +89,8 @@ def streaming_lifecycle(spark, sf):
     return drain(spark, stateful.lifecycle_stream(requests), "lifecycle")
 
 
-@query("file_ingestion_ledger")
+@query("file_ingestion_ledger", """WITH s AS (SELECT DISTINCT string_split(regexp_replace(url, '^https?://', ''), '.')[1] AS site FROM pages)
+ SELECT 'COMPLETE' AS status, count(*) AS files, count(*) AS distinct_files FROM s""")
 def file_ingestion_ledger(spark, sf):
     """Page texts written as files, ingested by one-shot stream, then scanned again: the second pass adds nothing."""
     from watchfold.sources.tables import load
@@ -85,5 +98,5 @@ def file_ingestion_ledger(spark, sf):
     load(spark, sf, "pages").select("html", F.substring_index(F.regexp_replace("url", r"^https?://", ""), ".", 1).alias("site")).repartition("site").write.partitionBy("site").text(folder)
     def handle(files):
         return files.select("path", "content_sha256", F.when(F.length("content") > 0, "COMPLETE").otherwise("FAILED").alias("status"))
-    ingest.ingest_stream(spark, folder + "/*", "*.txt", "pages", ledger, scratch_path(spark, "ingest-state"), handle, 10 ** 8).awaitTermination()
+    ingest.ingest_stream(spark, folder + "/*", "*.txt", "pages", ledger, scratch_path(spark, "ingest-state"), handle, 10 ** 8, min_age_seconds=0).awaitTermination()
     return ingest.scan_once(spark, folder, "*.txt", "pages", ledger, handle, 10 ** 8, 0).groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("path", "content_sha256").alias("distinct_files"))

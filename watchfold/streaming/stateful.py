@@ -15,29 +15,36 @@ HISTORY = 7
 
 def temporal_stream(days: DataFrame) -> DataFrame:
     """W1/W2 on a stream of (serial_number, date, value): deltas to 1 and 7 observations back and the
-    seven-observation mean with at least two values. State is the last seven observations per drive."""
-    schema = "serial_number long, date string, value double, value_delta_1 double, value_delta_7 double, value_7obs_mean double"
+    seven-observation mean with at least two values. State is the last seven observations per drive.
+
+    A row dated at or before the last one seen comes out with late = true and no features; it changes no state."""
+    schema = "serial_number long, date string, value double, value_delta_1 double, value_delta_7 double, value_7obs_mean double, late boolean"
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         dates, values = (list(x) for x in state.get) if state.exists else ([], [])
         rows = pd.concat(list(batches)).sort_values("date")
+        late = rows[rows["date"] <= dates[-1]] if dates else rows.iloc[:0]
         rows = rows[rows["date"] > dates[-1]] if dates else rows
         series = pd.Series(values + rows["value"].tolist(), dtype="float64")
         new = slice(len(values), None)
         out = pd.DataFrame({
             "serial_number": key[0], "date": rows["date"].to_numpy(), "value": series[new].to_numpy(),
             "value_delta_1": (series - series.shift(1))[new].to_numpy(), "value_delta_7": (series - series.shift(7))[new].to_numpy(),
-            "value_7obs_mean": series.rolling(7, min_periods=2).mean()[new].to_numpy()})
+            "value_7obs_mean": series.rolling(7, min_periods=2).mean()[new].to_numpy(), "late": False})
         last = (dates + rows["date"].tolist())[-HISTORY:], series.tolist()[-HISTORY:]
         state.update(([str(d) for d in last[0]], [None if v is None or np.isnan(v) else float(v) for v in last[1]]))
         yield out
+        if len(late):
+            none = np.full(len(late), np.nan)
+            yield pd.DataFrame({"serial_number": key[0], "date": late["date"].to_numpy(), "value": late["value"].to_numpy(), "value_delta_1": none, "value_delta_7": none, "value_7obs_mean": none, "late": True})
 
     return days.groupBy("serial_number").applyInPandasWithState(step, schema, "dates array<string>, observed array<double>", "append", "NoTimeout")
 
 
 def lifecycle_stream(requests: DataFrame) -> DataFrame:
     """START_REVIEW / RESOLVE / REOPEN requests per subject (subject_id, position, action, actor, is_admin,
-    resolution, rationale, acknowledged) to accepted transitions and refusals with a reason."""
+    resolution, rationale, acknowledged) to accepted transitions and refusals with a reason; an action that
+    is none of the three is refused as UNKNOWN_ACTION."""
     schema = "subject_id long, position long, action string, from_state string, to_state string, accepted boolean, reason string"
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -46,7 +53,9 @@ def lifecycle_stream(requests: DataFrame) -> DataFrame:
         for r in pd.concat(list(batches)).sort_values("position").itertuples():
             short = len((r.rationale or "").strip()) < MIN_RATIONALE
             reason = None
-            if current not in ALLOWED[r.action]:
+            if r.action not in ALLOWED:
+                reason = "UNKNOWN_ACTION"
+            elif current not in ALLOWED[r.action]:
                 reason = "NOT_ALLOWED_FROM_STATE"
             elif r.action == "RESOLVE" and r.actor != assignee and not r.is_admin:
                 reason = "NOT_ASSIGNED_REVIEWER"
