@@ -152,6 +152,22 @@ def test_greedy_matching_of_a_long_chain_and_of_nothing(spark):
     assert matching.greedy_one_to_one(df.where("d < 0"), "l", "r", ["d"]).count() == 0
 
 
+def test_long_chain_takes_few_jobs(spark):
+    chain = []
+    for i in range(500):
+        chain += [(f"m{i:04d}", f"e{i:04d}", 2.0 * i), (f"m{i + 1:04d}", f"e{i:04d}", 2.0 * i + 1)]
+    chain += [(f"x{i % 7}", f"y{i % 11}", float(i * 37 % 101)) for i in range(77)]
+    df = spark.createDataFrame(chain, "l string, r string, d double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = {(r.l, r.r) for r in matching.greedy_one_to_one(df, "l", "r", ["d"]).collect()}
+        jobs = len(tracker.getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert got == sequential(chain) and jobs < 150
+
+
 def test_uncertain_or_old_log_times_are_not_used(spark):
     f = spark.createDataFrame([("Z", "f1", T0)], "zone_id string, id string, ts timestamp")
     old = datetime(2000, 1, 1, tzinfo=timezone.utc)

@@ -26,14 +26,13 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_us: str,
     l = left.withColumn("__cell", cell(left_us))
     r = right.withColumn("__cell", F.explode(F.sequence(cell(right_us) - 1, cell(right_us) + 1)))
     on = [*keys, "__cell"]
-    sizes = l.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    if (sizes.agg(F.max("__n")).first()[0] or 0) > max_cell_rows:
-        hot = sizes.where(F.col("__n") > max_cell_rows).withColumn("__salts", F.ceil(F.col("__n") / max_cell_rows).cast("int")).drop("__n")
-        salts = F.coalesce(F.col("__salts"), F.lit(1))
-        l = (l.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), salts).cast("int"))
-             .drop("__salts"))
-        r = r.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-        on = [*on, "__salt"]
+    # One plan for all sizes: cells without an entry in `hot` have one salt.
+    hot = (l.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_cell_rows)
+           .select(*on, F.ceil(F.col("__n") / max_cell_rows).cast("int").alias("__salts")))
+    salts = F.coalesce(F.col("__salts"), F.lit(1))
+    l = l.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), salts).cast("int")).drop("__salts")
+    r = r.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    on = [*on, "__salt"]
     joined = l.join(r, on).where(F.abs(F.col(left_us) - F.col(right_us)) <= window_us)
     return joined.drop("__cell", "__salt")
 

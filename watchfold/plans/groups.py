@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from watchfold.functions import ids
 from watchfold.operators import assess, bayes, graph, metrics, pairs as P, severity as S
 from watchfold.plans import bindings as B
-from watchfold.plans.pairs import (ABN_SQL, CAND_SQL, CLEARED_SQL, DOMAIN_SQL, EDGES_SQL, GENERIC_CTE, NODES, all_edges, candidates, image_matches,
+from watchfold.plans.pairs import (ABN_SQL, CAND_SQL, CLEARED_SQL, DOMAIN_SQL, EDGES_SQL, GENERIC_CTE, NODES, all_edges, candidates, dedicated_edges, image_matches,
                                    live_nodes, model_events, scenario_events)
 from watchfold.plans.registry import query
 from watchfold.session import materialize
@@ -29,8 +29,15 @@ def node_facts(spark, sf):
     return B.nodes(spark, sf).withColumn("us", F.unix_micros("ts"))
 
 
+def group_links(spark, sf):
+    """Links with the components of all edges: the spanning links of the generic rule and the three dedicated matchers."""
+    n = live_nodes(spark, sf)
+    ends = ["zone_id", "left_kind", "left_id", "right_kind", "right_id"]
+    return P.spanning_links(n).select(*ends).unionByName(dedicated_edges(spark, sf, n).select(*ends))
+
+
 def grouped(spark, sf):
-    return materialize(graph.with_group_ids(graph.group_members(all_edges(spark, sf))), "groups")
+    return materialize(graph.with_group_ids(graph.group_members(group_links(spark, sf))), "groups")
 
 
 def reviewed(spark, sf, members=None):

@@ -65,13 +65,17 @@ def face_ssh(spark, sf):
     return P.face_ssh_candidates(B.nodes(spark, sf).where("kind = 'face'"), ssh_logs(spark, sf))
 
 
+def dedicated_edges(spark, sf, n):
+    """Edges of the three dedicated matchers."""
+    return (P.as_edges(P.operational_pairs(n), "OPERATIONAL", "maintenance", "environment")
+            .unionByName(P.as_edges(image_matches(spark, sf), "PHYSICAL_IMAGE", "ppe", "face"))
+            .unionByName(P.as_edges(face_ssh(spark, sf), "FACE_SSH_CONTEXT", "face", "ssh")))
+
+
 def all_edges(spark, sf):
     """Union of the generic rule and the three dedicated matchers."""
     n = live_nodes(spark, sf)
-    return (P.generic_pairs(n)
-            .unionByName(P.as_edges(P.operational_pairs(n), "OPERATIONAL", "maintenance", "environment"))
-            .unionByName(P.as_edges(image_matches(spark, sf), "PHYSICAL_IMAGE", "ppe", "face"))
-            .unionByName(P.as_edges(face_ssh(spark, sf), "FACE_SSH_CONTEXT", "face", "ssh")))
+    return P.generic_pairs(n).unionByName(dedicated_edges(spark, sf, n))
 
 
 def dt6(df):
