@@ -169,7 +169,9 @@ def test_trained_field_finds_other_writings_and_leaves_numbers(spark):
     assert found("call (212) 555-0143 now") == [("phone", "(212) 555-0143")]
     assert found("write to ann.lee (at) mail (dot) example (dot) org please") == [("email", "ann.lee (at) mail (dot) example (dot) org")]
     assert found("the years 1999 2000 2001 2002") == [] and found("order 20240101-0005 version 3.") == []
-    assert found("pay +1 (605) 555-9305 4078918989542664") in ([("phone", "+1 (605) 555-9305"), ("card", "4078918989542664")], [("phone", "+1 (605) 555-9305")])
+    number = card()  # with a valid check digit; the phone pattern runs into it and fails, so that no base span is there
+    pay = f"pay +1 (605) 555-9305 {number} today"
+    assert pii.base_spans(pay) == [] and found(pay) == [("phone", "+1 (605) 555-9305"), ("card", number)]
     rows = pii.found_spans(docs, model).collect()
     assert len(rows) == 122 and sum(r.n_email for r in rows) == 120 and sum(r.n_card for r in rows) == 120
     assert pii.found_spans(docs.limit(0)).count() == 0
