@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from watchfold.functions import sshlog
 from watchfold.operators import assess, ranks, windows
@@ -232,6 +232,16 @@ def feature_extremes(spark, sf):
     return side("top", F.desc("failed_login_count")).unionByName(side("bottom", F.asc("failed_login_count")))
 
 
+@query("top_windows_by_feature", "WITH " + B.AUTH_FEATURES_SQL + ", long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS v, source_ip, window_start_s FROM feat" for c in windows.FEATURES) +
+       """), n AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY v DESC, source_ip, window_start_s)::INT AS place FROM long) SELECT feature, place, source_ip, window_start_s, round(v, 6) AS value FROM n WHERE place <= 20""")
+def top_windows_by_feature(spark, sf):
+    """The twenty windows with the highest value of each feature; ranks are cut per task before the shuffle."""
+    long = features(spark, sf).select("source_ip", "window_start", *windows.FEATURES).unpivot(
+        ["source_ip", "window_start"], [F.col(c).cast("double").alias(c) for c in windows.FEATURES], "feature", "v")
+    place = F.row_number().over(W.partitionBy("feature").orderBy(F.desc("v"), "source_ip", "window_start"))
+    return long.withColumn("place", place).where("place <= 20").select("feature", "place", "source_ip", secs("window_start"), F.round("v", 6).alias("value"))
+
+
 @query("rule_threshold_sweep", "WITH " + B.AUTH_FEATURES_SQL + ", sweep AS (" + " UNION ALL ".join(
     f"SELECT {t} AS threshold, {PRED_SQL.format(t=t)} AS p FROM feat" for t in (3, 5, 10, 15, 20)) +
     """) SELECT threshold, count(*) FILTER (p='NORMAL') AS normal, count(*) FILTER (p='SUSPICIOUS') AS suspicious, count(*) FILTER (p='ANOMALOUS') AS anomalous,

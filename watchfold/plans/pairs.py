@@ -295,12 +295,14 @@ def table_sensitivity(spark, sf):
 
 # ---- near duplicates ------------------------------------------------------------------
 
-@query("near_duplicate_hashes", """WITH h AS (SELECT vec_id, label, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i // 4 + 1] > 0 THEN (1::BIGINT << i::BIGINT) ELSE 0 END))::BIGINT AS ph FROM embeddings),
+@query("near_duplicate_hashes", """WITH h AS (SELECT vec_id, label, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[(i // 4) * 4 + 1]::DOUBLE + embedding[(i // 4) * 4 + 2]::DOUBLE + embedding[(i // 4) * 4 + 3]::DOUBLE + embedding[(i // 4) * 4 + 4]::DOUBLE > 0 THEN (1::BIGINT << i::BIGINT) ELSE 0 END))::BIGINT AS ph FROM embeddings),
  l AS (SELECT vec_id AS id, ph FROM h WHERE label < 5), r AS (SELECT vec_id AS id, ph FROM h WHERE label >= 5),
  p AS (SELECT l.id, bit_count(xor(l.ph, r.ph)) AS distance, r.id AS rid FROM l, r WHERE bit_count(xor(l.ph, r.ph)) <= 6)
  SELECT id, min(distance)::INT AS distance, arg_min(rid, distance * 1000000 + rid) AS nearest_id FROM p GROUP BY 1""")
 def near_duplicate_hashes(spark, sf):
-    """Two collections by label; the hash repeats the signs of sixteen dimensions."""
-    bit = lambda i: F.when(F.col("embedding")[i // 4] > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    """Two collections by label. The hash is a coarse one of all 64 dimensions: the sign of the sum of each four neighbours, in four bits
+    (no two of the given vectors are near in single signs)."""
+    four = lambda i: sum((F.col("embedding")[4 * (i // 4) + k].cast("double") for k in range(1, 4)), F.col("embedding")[4 * (i // 4)].cast("double"))
+    bit = lambda i: F.when(four(i) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
     h = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", sum((bit(i) for i in range(1, 63)), bit(0)).alias("phash"))
     return P.near_duplicates(h.where("label < 5"), h.where("label >= 5"), 6)
