@@ -63,16 +63,20 @@ def labelled_scan(spark: SparkSession, path: str, columns: list[str], label: str
 
 
 def write_periods(df: DataFrame, path: str, keep: DataFrame, key: str, columns: list[str]) -> None:
-    """Compact extract: wanted keys and columns only, one folder per period."""
+    """Compact extract: wanted keys and columns only, one folder per period; a large period is written by several tasks."""
     (df.join(keep.select(key).distinct(), key, "left_semi")
        .select(*columns, "period")
-       .repartition("period")
+       .hint("rebalance", "period")
        .write.mode("overwrite").partitionBy("period").parquet(path))
 
 
 def file_inventory(spark: SparkSession, path: str, serial: str, failure: str) -> DataFrame:
-    """Per daily CSV file (by path, names may repeat across folders): rows, distinct serials, failure rows."""
-    df = spark.read.option("header", True).csv(path)
+    """Per daily CSV file (by path, names may repeat across folders): rows, distinct serials, failure rows.
+
+    The header of every file is checked against the inferred columns: a file with other names or another order is an
+    error, not a miscount.
+    """
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     require_columns(df, [serial, failure])
     return (df.select(F.col("_metadata.file_path").alias("file"), serial, failure)
               .groupBy("file")

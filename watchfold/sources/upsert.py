@@ -44,4 +44,5 @@ def upsert_parquet(spark, path: str, incoming: DataFrame, key: list[str], order:
         stored = None
     touched = None if stored is None else stored.join(placed.select("key_bucket").distinct(), "key_bucket", "left_semi").select(*placed.columns)
     merged = materialize(merge_latest(touched, placed, [*key, "key_bucket"], order, first_columns), "upsert")
-    merged.repartition("key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(path)
+    # rebalanced by bucket: small buckets share a task, a large one is split over several
+    merged.hint("rebalance", "key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(path)
