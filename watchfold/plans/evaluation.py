@@ -191,7 +191,7 @@ def pair_rule_metrics(spark, sf):
     return M.binary_metrics(s, "truth", ["crisp", "bayesian"]).select("detector", "tp", "fp", "fn", "tn", *r6(*RATES))
 
 
-DRAWS = 50
+DRAWS = 2000
 BOOT_SQL = CAND_SQL + f""", cell AS (SELECT scenario_id, count(*) FILTER (crisp AND truth) AS ctp, count(*) FILTER (crisp AND NOT truth) AS cfp, count(*) FILTER (NOT crisp AND truth) AS cfn, count(*) FILTER (p >= 0.5 AND truth) AS btp, count(*) FILTER (p >= 0.5 AND NOT truth) AS bfp, count(*) FILTER (p < 0.5 AND truth) AS bfn FROM sc GROUP BY 1),
  ix AS (SELECT *, row_number() OVER (ORDER BY md5(scenario_id)) - 1 AS idx, count(*) OVER () AS n FROM cell),
  pk AS (SELECT d.range AS draw, CAST('0x' || substr(md5('11|' || d.range || '|' || ix.idx), 1, 15) AS BIGINT) % n AS pick FROM ix, range(0, {DRAWS}) d),

@@ -27,7 +27,7 @@ def robust_scaled_features(spark, sf):
     return scaled(spark, sf).select("source_ip", secs("window_start"), *[(F.round(c, 6) + 0.0).alias(c) for c in FEATURES])
 
 
-def isolation_scores(spark, sf, trees=100):
+def isolation_scores(spark, sf, trees=200):
     s = materialize(scaled(spark, sf).select("source_ip", "window_start", *FEATURES), "scaled")
     forest = ml.fit_isolation_forest(s, ["source_ip", "window_start"], FEATURES, trees)
     return materialize(ml.isolation_score(s, forest, FEATURES), "scores")
