@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
+from bisect import bisect_left
+from collections.abc import Sequence
+from functools import partial
+from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchfold.functions.columns import evaluate_once
+from watchfold.session import Scratch
 
 # Limits of cleaning, audit and chunking.
 REPEAT_MIN_RECORDS, REPEAT_RATIO, REPEAT_MIN_CHARS, REPEAT_MAX_CHARS = 3, 0.20, 8, 140
@@ -165,80 +170,81 @@ def units(records: DataFrame, limit: int = MAX_WORDS) -> DataFrame:
                   .withColumn("words", F.size(F.split("text", " ")))
 
 
-CHUNK_SCHEMA = "chunk_id string, document_id string, chunk_index int, word_count int, pages array<int>, source_record_ids array<string>, text string"
-
-
-class _OpenChunk:
-    """State of the fold over one document: the open chunk and the last finished one."""
-
-    def __init__(self, doc, target, maximum, overlap, minimum):
-        self.doc, self.target, self.maximum, self.overlap, self.minimum = doc, target, maximum, overlap, minimum
-        self.body, self.words, self.last, self.count = [], 0, None, 0
-
-    def add(self, text, words, page, record):
-        """Take one unit; yields chunks that can no longer change."""
-        if self.body and self.words + words > self.target:
-            yield from self._finish()
-        self.body.append((text, words, page, record))
-        self.words += words
-        if self.words >= self.maximum:
-            yield from self._finish()
-
-    def _finish(self):
-        if self.last:
-            yield self.last
-        text = "\n\n".join(u[0] for u in self.body)
-        digest = hashlib.sha256(f"{self.doc}\n{text}".encode()).hexdigest()[:16]
-        self.last = {"id": f"{self.doc}:chunk:{self.count:05d}:{digest}", "doc": self.doc, "index": self.count, "text": text,
-                     "pages": {u[2] for u in self.body if u[2] is not None}, "records": list(dict.fromkeys(u[3] for u in self.body))}
-        self.count += 1
-        kept, words = 0, 0
-        for unit in reversed(self.body):
-            if words + unit[1] > self.overlap or words >= self.overlap:
-                break
-            kept, words = kept + 1, words + unit[1]
-        self.body, self.words = self.body[len(self.body) - kept:], words
-
-    def end(self):
-        """The rest of the document; a short last chunk joins the one before when both fit."""
-        before = list(self._finish()) if self.body else []
-        if before and len(self.last["text"].split()) < self.minimum:
-            joined = before[0]["text"] + "\n\n" + self.last["text"]
-            if len(joined.split()) <= self.maximum:
-                before[0].update(text=joined, pages=before[0]["pages"] | self.last["pages"],
-                                 records=list(dict.fromkeys(before[0]["records"] + self.last["records"])))
-                self.last = None
-        return before + ([self.last] if self.last else [])
-
-
-def _chunk_frame(chunks) -> pd.DataFrame:
-    return pd.DataFrame([(c["id"], c["doc"], c["index"], len(c["text"].split()), sorted(c["pages"]), c["records"], c["text"]) for c in chunks],
-                        columns=["chunk_id", "document_id", "chunk_index", "word_count", "pages", "source_record_ids", "text"])
+def chunk_bounds(counts: Sequence[int], target: int, maximum: int, overlap: int, minimum: int) -> list[list[tuple[int, int]]]:
+    """Unit ranges [start, end) of each chunk, from the units' word counts alone.
+
+    With running totals T a chunk from `start` ends before the first unit that takes it over `target`, or after the one
+    that takes it to `maximum`. The next one starts at the earliest unit whose distance to that end is within `overlap`.
+    A last chunk below `minimum` words is a second range of the one before when both together are within `maximum`.
+    """
+    total, ranges, start = list(accumulate(counts, initial=0)), [], 0
+
+    def after(end: int) -> int:
+        ranges.append((start, end))
+        return max(start, bisect_left(total, total[end] - overlap))
+
+    for unit in range(len(counts)):
+        if unit > start and total[unit + 1] - total[start] > target:
+            start = after(unit)
+        if total[unit + 1] - total[start] >= maximum:
+            start = after(unit + 1)
+    if start < len(counts):
+        ranges.append((start, len(counts)))
+    words = lambda r: total[r[1]] - total[r[0]]
+    if len(ranges) > 1 and words(ranges[-1]) < minimum and words(ranges[-2]) + words(ranges[-1]) <= maximum:
+        return [*([r] for r in ranges[:-2]), ranges[-2:]]
+    return [[r] for r in ranges]
+
+
+def _bound_batches(batches, limits):
+    """Units (document_id, uid, words) sorted by document to rows (document_id, chunk_index, place, joined, uid)."""
+    def rows(doc, uids, words):
+        uid = np.concatenate(uids)
+        for index, parts in enumerate(chunk_bounds(np.concatenate(words).tolist(), *limits)):
+            ids = np.concatenate([uid[a:b] for a, b in parts])
+            n, first = len(ids), parts[0][1] - parts[0][0]
+            yield pa.RecordBatch.from_pydict({"document_id": pa.array([doc] * n, pa.string()), "chunk_index": pa.array(np.full(n, index, np.int32)), "place": pa.array(np.arange(n, dtype=np.int32)),
+                                              "joined": pa.array(np.arange(n) >= first), "uid": pa.array(ids)})
+
+    doc, uids, words = None, [], []
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if uids and names[a] != doc:
+                yield from rows(doc, uids, words)
+                uids, words = [], []
+            doc = names[a]
+            uids.append(batch.column(1)[a:b].to_numpy())
+            words.append(batch.column(2)[a:b].to_numpy())
+    if uids:
+        yield from rows(doc, uids, words)
 
 
 def chunk(records: DataFrame, target: int = TARGET_WORDS, maximum: int = MAX_WORDS, overlap: int = OVERLAP_WORDS, minimum: int = MIN_WORDS) -> DataFrame:
     """Greedy chunks of whole units per document.
 
-    The fold is sequential inside one document, so units are hash-partitioned by document,
-    sorted there and streamed through a task that holds one open chunk and the last finished
-    one: memory does not grow with the document."""
-    def fold(batches):
-        state = None
-        for batch in batches:
-            out = []
-            for doc, text, words, page, record in zip(batch["document_id"], batch["text"], batch["words"], batch["page"], batch["record_id"]):
-                if state is None or doc != state.doc:
-                    out += state.end() if state else []
-                    state = _OpenChunk(doc, target, maximum, overlap, minimum)
-                out += state.add(text, words, None if pd.isna(page) else int(page), record)
-            if out:
-                yield _chunk_frame(out)
-        if state:
-            yield _chunk_frame(state.end())
-
-    u = units(records, maximum)
-    return (u.repartition("document_id").sortWithinPartitions("document_id", "record_order", "unit_order")
-            .select("document_id", "text", "words", "page", "record_id").mapInPandas(fold, CHUNK_SCHEMA))
+    Which units make a chunk follows from their word counts: only ids and counts are brought together by document. Texts
+    meet by unit id and are joined per chunk, so a long document is spread over many tasks.
+    """
+    numbered = units(records, maximum).withColumn("uid", F.monotonically_increasing_id())
+    u = Scratch(records.sparkSession, "units").table(numbered)
+    light = u.select(F.col("document_id").cast("string").alias("document_id"), "uid", F.col("words").cast("int").alias("words"), "record_order", "unit_order")
+    ordered = light.repartition("document_id").sortWithinPartitions("document_id", "record_order", "unit_order").select("document_id", "uid", "words")
+    bounds = ordered.mapInArrow(partial(_bound_batches, limits=(target, maximum, overlap, minimum)), "document_id string, chunk_index int, place int, joined boolean, uid long")
+    met = bounds.join(u.select("uid", "text", "words", "page", "record_id"), "uid")
+    grouped = met.groupBy("document_id", "chunk_index").agg(
+        F.sort_array(F.collect_list(F.struct("place", "joined", "text", "page", "record_id"))).alias("u"), F.sum("words").cast("int").alias("word_count"))
+    body = lambda c: F.array_join(F.transform(c, lambda x: x["text"]), "\n\n")
+    own = body(F.filter("u", lambda x: ~x["joined"]))  # a joined last chunk leaves the id as it was
+    number = F.col("chunk_index").cast("string")
+    padded = F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)
+    name = F.concat("document_id", F.lit(":chunk:"), padded, F.lit(":"), F.substring(F.sha2(F.concat("document_id", F.lit("\n"), own), 256), 1, 16))
+    pages = F.array_sort(F.array_distinct(F.filter(F.transform("u", lambda x: x["page"].cast("int")), lambda p: p.isNotNull())))
+    sources = F.array_distinct(F.transform("u", lambda x: x["record_id"].cast("string")))
+    return grouped.select(name.alias("chunk_id"), "document_id", "chunk_index", "word_count", pages.alias("pages"), sources.alias("source_record_ids"), body(F.col("u")).alias("text"))
 
 
 def index_integrity(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
