@@ -97,10 +97,18 @@ def test_token_ids_equal_the_tokenizer():
     tokenizer, words = Tokenizer.from_file(path), packing.WordIds(path)
     texts = ["", " ", "a b  c\n", "Ünï ΣΑΣ foo<|endoftext|>bar don't I'LL, x\x1cy", "Á é. K z", "abc., ABC, 12.5, word.", "﻿hi   x", "<|ENDOFTEXT|> tail", "日本語 のテキスト。", "a" * 3000]
     for t in texts:
-        words.learn(t.encode().split())
+        words.learn(set(t.encode().split()))
         assert np.frombuffer(packing.token_ids(t.encode(), words), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
 
 
+def test_words_met_once_are_forgotten():
+    words = packing.WordIds(packing.default_tokenizer())
+    words.learn({b"one", b"two"})
+    words.learn({b"two", b"three"})
+    words.shrink()
+    assert set(words) == {b"two"} and not words.met_again
+
+
 def test_slices_keep_every_byte(monkeypatch):
     monkeypatch.setattr(packing, "SLICE", 16)
     for text in (b"word " * 40, b"x" * 200, b"x" * 50 + b" " + b"y" * 90 + b"\nz", b""):

@@ -32,7 +32,7 @@ from watchfold.llm.registry import query, table
 from watchfold.session import Scratch
 
 CAPACITY, END_ID = 4096, 1
-CACHED_WORDS = 1_000_000
+CACHED_WORDS, KEPT_WORDS = 1_000_000, 300_000
 SHARD_SEQUENCES, SHARD_PIECES = 2048, 65_536
 WEIGHTS = (1.0, 0.05, 0.05)  # of tokens, documents and attention cost, each as a share of its capacity
 SLICE = 1 << 20
@@ -45,22 +45,29 @@ def default_tokenizer() -> str:
 
 
 class WordIds(dict):
-    """Little-endian 32-bit ids of words without white space, filled on demand."""
+    """Little-endian 32-bit ids of words without white space, filled on demand.
+
+    A worker keeps its words from task to task, but only those that came back in a later slice of texts, and at most KEPT_WORDS of them:
+    most words of a task are met once and would only hold memory.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.met_again: set[bytes] = set()
 
-    def learn(self, words) -> None:
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > CACHED_WORDS:
+    def learn(self, words: set[bytes]) -> None:
+        known = words & self.keys()
+        if len(self) + len(words) - len(known) > CACHED_WORDS:
             self.clear()
-            new = list(set(words))
+            self.met_again.clear()
+            known = set()
+        self.met_again |= known
         # lower case and a closing comma or full stop after an ASCII letter do not change the other ids of a word
         cores = {}
-        for w in new:
+        for w in words - known:
             core = w.lower() if w.isascii() and b"<|" not in w else w
             tail = core[-1:] if core[-1:] in (b",", b".") and core[:-1].isalpha() else b""
             cores[w] = (core[:-1], tail) if tail else (core, b"")
@@ -76,6 +83,13 @@ class WordIds(dict):
         for w, (core, tail) in cores.items():
             self[w] = ids[core] + ids[tail]
 
+    def shrink(self) -> None:
+        """At the end of a task: forget words met in one slice only."""
+        kept = {w: self[w] for w in self.met_again} if len(self.met_again) <= KEPT_WORDS else {}
+        self.clear()
+        self.update(kept)
+        self.met_again.clear()
+
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
@@ -135,6 +149,7 @@ def _piece_batches(batches, path, capacity, with_ids):
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
             at = upto
+    words.shrink()
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
