@@ -20,7 +20,9 @@ from __future__ import annotations
 
 from math import exp, lgamma, log, log1p
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from watchfold.llm.registry import query, table
@@ -61,13 +63,14 @@ def measures(text: str | None) -> tuple[int, int, int, int, int, int]:
     return n, n_chars, sum(map(text.count, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated
 
 
-def _measure_series(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measures(t) for t in texts], columns=[c.split()[0] for c in MEASURES.split(", ")], dtype="int64")
+def _measure_array(texts: pa.Array) -> pa.Array:
+    rows = np.array([measures(t.as_py()) for t in texts], dtype=np.int64).reshape(-1, 6)  # one text at a time in Python
+    return pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], [c.split()[0] for c in MEASURES.split(", ")])
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with a column `__m` of the measures of `text`."""
-    return docs.withColumn("__m", F.pandas_udf(_measure_series, MEASURES)(F.col("text").cast("string")))
+    return docs.withColumn("__m", F.arrow_udf(_measure_array, MEASURES)(F.col(text).cast("string")))
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -142,8 +145,8 @@ def filtered(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: fl
     scratch = Scratch(docs.sparkSession, "quality")
     rows = measured(docs.select("doc_id", F.col(stratum).alias("stratum"), "text")).drop("text")
     cutoffs = scratch.table(certified_cutoffs(rows, labels, rate, error))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(stratum).alias("stratum"), "text")
-    return judged(measured(whole).drop("text"), cutoffs).where("kept").select("__row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(stratum).alias("stratum"))
+    return judged(measured(whole, "__row.text"), cutoffs).where("kept").select("__row.*")
 
 
 @query("op6_quality")
