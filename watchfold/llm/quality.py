@@ -7,8 +7,8 @@ highest allowed rate p. This is the exact (Clopper-Pearson) upper bound on the r
 error level is divided by the number of (stratum, rule) pairs tested (Bonferroni), a list of cut-offs is tested in
 order and ends at its first failure (fixed sequence, no further correction), and the allowed rate is divided
 among the rules, so that with probability 1 - `error` no stratum loses more than `rate` of its good documents
-to the method. Among certified cut-offs the one that rejects most documents labelled bad is taken,
-the most lenient of these on a tie; without a certified cut-off that rejects any, the rule does not apply there.
+to the method. Among certified cut-offs the one with the greatest gain is taken: documents labelled bad
+that it rejects, less `COST` for each one labelled good; the most lenient on a tie. Without a gain the rule does not apply there.
 
 Edge cases: a null, empty or wordless text has zero words and fails the base rule (fewer than 50). A null stratum is a
 stratum of its own. Strata without labels reject nothing beyond the base rules. Labels with null doc_id or quality are
@@ -32,6 +32,8 @@ SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 MIN_WORDS = 50
 #: Highest share of good documents that all rules together may reject in a stratum, and the chance that this fails.
 RATE, ERROR = 0.02, 0.05
+#: A good document that is rejected weighs as much as so many bad ones that are not.
+COST = 10
 #: rule: (factor, measure, per measure, cut-offs from lenient to strict)
 RULES: dict[str, tuple[float, str, str, list[float]]] = {
     "symbols": (100.0, "n_symbols", "word_chars", [50, 40, 30, 25, 20, 15, 12, 10, 8, 6, 5]),
@@ -115,8 +117,8 @@ def certified_cutoffs(rows: DataFrame, labels: DataFrame, rate: float = RATE, er
     level = F.lit(error / len(RULES)) / F.col("strata")
     passed = F.pandas_udf(_cdf_series, "double")(F.col("k"), F.col("n"), F.lit(rate / len(RULES))) <= level
     upto = W.partitionBy("stratum", "rule").orderBy("step")
-    sound = each.withColumn("passed", passed).withColumn("certified", F.min("passed").over(upto)).where("certified AND bad > 0")
-    best = sound.groupBy("stratum", "rule").agg(F.max(F.struct("bad", (-F.col("step")).alias("lenient"), "cut"))["cut"].alias("cut"))
+    sound = each.withColumn("passed", passed).withColumn("certified", F.min("passed").over(upto)).withColumn("gain", F.col("bad") - COST * F.col("k")).where("certified AND gain > 0")
+    best = sound.groupBy("stratum", "rule").agg(F.max(F.struct("gain", (-F.col("step")).alias("lenient"), "cut"))["cut"].alias("cut"))
     chosen = best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(r) for r in RULES])
     return chosen
 
@@ -149,7 +151,34 @@ def filtered(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: fl
     return judged(measured(whole, "__row.text"), cutoffs).where("kept").select("__row.*")
 
 
-@query("op6_quality")
+def quality_sql(rate: float = RATE, error: float = ERROR) -> str:
+    """Measures, exact binomial tests, choice of cut-offs and verdict in DuckDB SQL."""
+    cuts = ", ".join(f"('{r}', {k}, {float(c)})" for r, (*_, cs) in RULES.items() for k, c in enumerate(cs))
+    stats = ", ".join(f"coalesce({factor}::double * {a} / nullif({b}, 0)::double, 0) AS {r}" for r, (factor, a, b, _) in RULES.items())
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in RULES) + " END"
+    p = rate / len(RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS w FROM documents),
+win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY rid, x) AS c FROM win), range(0, 3) r(k) WHERE c > 1 GROUP BY 1),
+lines AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ \\t-\\r]') GROUP BY 1),
+m AS (SELECT d.rid, doc_id, lang, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint AS n_symbols, coalesce(lines.n, 0)::bigint AS n_lines, coalesce(lines.dup, 0)::bigint AS n_dup_lines, coalesce(cov.n, 0)::bigint AS n_repeat_words
+    FROM d LEFT JOIN lines ON lines.rid = d.rid LEFT JOIN cov ON cov.rid = d.rid),
+s AS (SELECT *, {stats}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+truth AS (SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+lab AS (SELECT s.*, good FROM s JOIN truth ON s.doc_id = truth.doc_id),
+strata AS (SELECT count(*) AS strata FROM (SELECT DISTINCT lang FROM lab)),
+cuts(rule, step, cut) AS (VALUES {cuts}),
+tests AS (SELECT lang, rule, step, cut, sum(good) AS n, count(*) FILTER ({value} > cut AND good = 1) AS k, count(*) FILTER ({value} > cut AND good = 0) AS bad FROM lab, cuts GROUP BY ALL),
+cdf AS (SELECT *, CASE WHEN k >= n * {p!r}::double THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}::double) + (n - i) * ln(1 - {p!r}::double)))) END AS tail FROM tests),
+certified AS (SELECT *, bool_and(tail <= {error / len(RULES)!r}::double / strata) OVER (PARTITION BY lang, rule ORDER BY step) AS certified FROM cdf, strata),
+chosen AS (SELECT lang, rule, arg_max(cut, (bad - {COST} * k, -step)) AS cut FROM certified WHERE certified AND bad - {COST} * k > 0 GROUP BY 1, 2),
+hit AS (SELECT DISTINCT rid FROM s JOIN chosen ON s.lang IS NOT DISTINCT FROM chosen.lang WHERE {value} > cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND hit.rid IS NULL AS kept FROM s LEFT JOIN hit ON hit.rid = s.rid"""
+
+
+@query("op6_quality", quality_sql())
 def op6_quality(spark, sf_dir):
     found = decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     counts = [F.col(f"__m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]

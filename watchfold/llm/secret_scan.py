@@ -151,8 +151,8 @@ def scanned(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or trained(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     with_base = docs.withColumn("__base", base_spans(text))
-    # a candidate needs a digit and a letter in one long token: most texts have none and skip the scoring
-    maybe = F.regexp_like(text, F.lit(r"(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16}"))
+    # a candidate is a long token with a digit and a letter: most texts have none and skip the scoring
+    maybe = text.rlike("[0-9]") & text.rlike("[A-Za-z0-9+/_=-]{16}")
     return with_base.withColumn("__spans", F.when(maybe, F.array_sort(F.concat("__base", model_spans(text, F.col("__base"), model)))).otherwise(F.col("__base")))
 
 
