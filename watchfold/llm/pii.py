@@ -24,9 +24,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from watchfold.llm.registry import query, table
+from watchfold.session import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, MIN_POSTERIOR = 24, 0.9
@@ -34,7 +35,7 @@ SAMPLE_DOCS, ZONES_PER_KIND = 20_000, 30
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
-CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
@@ -326,9 +327,9 @@ def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_kind: int = ZON
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     share = min(1.0, sample_docs / max(docs.count(), 1))
     chosen = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).where(text.rlike("[0-9@]"))
-    rows = chosen.mapInArrow(_sample_batches, "kind int, before string, span string, after string").distinct()
-    order = W.partitionBy("kind").orderBy(F.xxhash64("before", "span", "after"), "before", "span", "after")
-    few = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_kind).drop("nth").orderBy("kind", F.xxhash64("before", "span", "after")).collect()
+    rows = Scratch(docs.sparkSession, "zones").table(chosen.mapInArrow(_sample_batches, "kind int, before string, span string, after string").distinct())
+    order = [F.xxhash64("before", "span", "after"), F.col("before"), F.col("span"), F.col("after")]
+    few = [r for kind in range(-1, len(KINDS)) for r in rows.where(F.col("kind") == kind).orderBy(*order).limit(per_kind).collect()]
     samples = training_zones([tuple(r) for r in few])
     if not any(truth for _, truth in samples):
         return None
