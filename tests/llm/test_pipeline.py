@@ -109,3 +109,36 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == columns, name
         assert stage(spark, none, sf_dir).count() == 0, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "secret_scan", "source_mixing", "best_fit_packing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def near_copies():
+    """Random texts, each with a copy in which every step-th word from the fifth on is replaced, and its similarity."""
+    rnd, rows = random.Random(5), []
+    for k, step in enumerate((80, 70, 60, 53, 50, 30, 20) * 3):
+        words = [f"w{rnd.randrange(10 ** 6)}" for _ in range(400)]
+        copy = [f"new{k}x{n}" if n % step == 4 else w for n, w in enumerate(words)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    return rows
+
+
+def jaccard_components(rows):
+    sets = {i: {tuple(t.lower().split()[k:k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    label = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in label:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label, [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in links]
+
+
+def test_near_dedup_stage_drops_near_copies(spark):
+    rows = near_copies()
+    # a chain: neighbours are near, its ends are not; all share many keys
+    base = [f"c{n}" for n in range(400)]
+    rows += [(1000 + k, " ".join([*base[:400 - 30 * k], *(f"d{n}" for n in range(30 * k))])) for k in range(5)]
+    want, similar = jaccard_components(rows)
+    assert sum(0.8 <= s < 0.95 for s in similar) >= 9 and len(set(want.values())) > 10
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows] + [(i + 5000, t.upper(), "en", "web", len(t)) for i, t in rows[:4]],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs.repartition(3), "").collect()}
+    assert got == {i for i, c in want.items() if i == c}
