@@ -142,3 +142,31 @@ def test_near_dedup_stage_drops_near_copies(spark):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs.repartition(3), "").collect()}
     assert got == {i for i, c in want.items() if i == c}
+
+
+def test_sequences_keep_the_training_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "ORDERED_SEQUENCES", 4)
+    rnd = random.Random(3)
+    sizes = [rnd.randint(20, 900) for _ in range(600)]
+    docs = spark.createDataFrame([(i, "word " * n) for i, n in enumerate(sizes)], "doc_id long, text string")
+    docs.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "mix"))
+    read = spark.read.parquet(str(tmp_path / "mix"))
+    # neither from files nor in their order, but each partition in its own
+    for table in (read, read.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")):
+        got = corpus_pipeline.packing_stage(spark, table, "").collect()
+        assert sorted(r.doc_id for r in got) == list(range(600))
+        shards, sequences = {}, {}
+        for r in got:
+            shards.setdefault(r.sequence_id >> 32, []).append(r.doc_id)
+            sequences.setdefault(r.sequence_id, []).append((r.doc_id, r.length, r.offset))
+        assert len(shards) > 8
+        in_order = [shards[k] for k in sorted(shards)]
+        assert all(max(a) < min(b) for a, b in zip(in_order, in_order[1:]))
+        before = np.cumsum([0, *(n for _, n in sorted((r.doc_id, r.length) for r in got))])
+        mean = lambda s: sum((before[i] + n / 2) * n for i, n, _ in s) / sum(n for _, n, _ in s)
+        for shard in shards:
+            means = [mean(sequences[k]) for k in sorted(sequences) if k >> 32 == shard]
+            assert means == sorted(means)
+        for s in sequences.values():
+            assert sum(n for _, n, _ in s) <= packing.CAPACITY
+        assert len(sequences) <= sum(r.length for r in got) / packing.CAPACITY + len(shards) + 1

@@ -12,6 +12,10 @@ norm of what would be left is taken ("norm"), or that with the largest weighted
 residual ("dot"). Without a feasible sequence a new one is opened. A shard can waste part of its last sequences: about
 one in `SHARD_SEQUENCES`.
 
+Training order: with `ordered`, texts carry a place and pieces are dealt to shards by contiguous ranges of places, of `ORDERED_SEQUENCES` sequences'
+worth of tokens each; a place's shard follows from running sums of tokens. Inside a shard sequences are numbered by the mean place of their
+tokens, so sequence_id rises with the training position. `file_places` reads the order in which a table was written.
+
 With the defaults the document and attention capacities can hold any filling of `capacity` tokens, so that tokens decide.
 A piece whose own attention cost is above the capacity stands alone.
 
@@ -26,7 +30,8 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from watchfold.llm.registry import query, table
 from watchfold.session import Scratch
@@ -34,6 +39,7 @@ from watchfold.session import Scratch
 CAPACITY, END_ID = 4096, 1
 CACHED_WORDS, KEPT_WORDS = 1_000_000, 300_000
 SHARD_SEQUENCES, SHARD_PIECES = 2048, 65_536
+ORDERED_SEQUENCES = 256  # fewer than SHARD_SEQUENCES: inside a shard, order gives way to filling
 WEIGHTS = (1.0, 0.05, 0.05)  # of tokens, documents and attention cost, each as a share of its capacity
 SLICE = 1 << 20
 
@@ -118,7 +124,7 @@ def token_ids(text: bytes | None, words: WordIds) -> bytes:
     return b"".join(out)
 
 
-def _piece_batches(batches, path, capacity, with_ids):
+def _piece_batches(batches, path, capacity, with_ids, ordered):
     words = word_ids(path)
     for batch in batches:
         texts = [t.as_py() for t in batch.column(1).cast(pa.binary())]
@@ -144,6 +150,9 @@ def _piece_batches(batches, path, capacity, with_ids):
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                        pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if ordered:
+                columns += [batch.column(k).take(pa.array(rows, pa.int64())) for k in (2, 3)]
+                names += ["part", "row"]
             if with_ids:
                 columns.append(pa.array(parts, pa.binary()))
                 names.append("ids")
@@ -152,12 +161,31 @@ def _piece_batches(batches, path, capacity, with_ids):
     words.shrink()
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): every document's tokens in pieces of at most `capacity`."""
+def file_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, part, row): rows in the order (part, row) in which the table was written.
+
+    Spark names a file by its task's number and the files of a task by their own, and readers take files in any order; other file
+    names have no part. A table that was not read from Parquet files stands in the order of its partitions.
+    """
+    own = ["doc_id", F.col("text").cast("string").alias("text")]
+    try:
+        name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        number = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
+        found = docs.select(*own, (number("^part-([0-9]+)") * (1 << 20) + number(r"-c([0-9]+)[^-]*$")).alias("part"), row.alias("row"))
+        found.schema  # resolves the hidden columns
+        return found
+    except AnalysisException:
+        place = F.monotonically_increasing_id()
+        return docs.select(*own, F.shiftright(place, 33).alias("part"), place.alias("row"))
+
+
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, ordered: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, part, row][, ids]): every document's tokens in pieces of at most `capacity`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = partial(_piece_batches, path=tokenizer or default_tokenizer(), capacity=capacity, with_ids=with_ids)
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(made, schema)
+    made = partial(_piece_batches, path=tokenizer or default_tokenizer(), capacity=capacity, with_ids=with_ids, ordered=ordered)
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", part long, row long" * ordered + ", ids binary" * with_ids
+    texts = file_places(docs) if ordered else docs.select("doc_id", F.col("text").cast("string"))
+    return texts.mapInArrow(made, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: float, rule: str = "norm", weights=WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
@@ -203,19 +231,47 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: f
 def _pack_shard(rows: pa.Table, capacity, max_docs, max_attention, rule) -> pa.Table:
     rows = rows.sort_by("slot")
     sequence, offset = best_fit(rows["length"].to_numpy(), capacity, max_docs, max_attention, rule)
+    if "at" in rows.column_names:  # number sequences by the mean place of their tokens
+        length = rows["length"].to_numpy()
+        at = rows["at"].to_numpy() - rows["at"][0].as_py() + length / 2
+        mean = np.bincount(sequence, length * at) / np.bincount(sequence, length)
+        place = np.empty(len(mean), np.int64)
+        place[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+        sequence = place[sequence]
     names = sequence + (int(rows["shard"][0].as_py()) << 32)
     return rows.drop_columns(["shard"]).append_column("sequence_id", pa.array(names)).append_column("offset", pa.array(offset))
 
 
+def _with_running_tokens(rows: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
+    """`rows` plus at and shard. No window holds more than the pieces of one written file, or one row for each file."""
+    room = ORDERED_SEQUENCES * capacity
+    # a shard has a bounded number of pieces, however short they are
+    load = F.greatest(F.col("length"), F.lit(-(-room // SHARD_PIECES)))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = [F.sum("length").alias("__tokens"), F.sum(load).alias("__load")]
+    parts = scratch.table(rows.groupBy("part").agg(*sums).select(
+        F.col("part").alias("__part"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__tokens", "__load")]))
+    inside = W.partitionBy("part").orderBy("row", "piece", "doc_id", "slot").rowsBetween(W.unboundedPreceding, -1)
+    running = lambda c, first: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(first)
+    met = rows.withColumn("__own", load).join(parts, F.col("part") == F.col("__part"))
+    placed = met.withColumn("at", running("length", "__tokens")).withColumn("shard", F.floor(running("__own", "__load") / room).cast("long"))
+    return placed.select(*rows.columns, "at", "shard")
+
+
 def packed(cut: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_attention: float | None = None, rule: str = "norm") -> DataFrame:
-    """`cut` (pieces with length) plus slot, sequence_id and offset. Written once, so that shards stay as they were dealt."""
+    """`cut` (pieces with length) plus slot, sequence_id and offset. Written once, so that shards stay as they were dealt.
+
+    With the columns part and row, shards are ranges of places, and `at` is the number of tokens before a piece in this order.
+    """
     scratch = Scratch(cut.sparkSession, "packing")
     light = cut.withColumn("slot", F.monotonically_increasing_id())
     rows, (n, tokens) = scratch.table(light, F.count(F.lit(1)), F.sum("length"))
     shards = max(1, -(-(tokens or 0) // (SHARD_SEQUENCES * capacity)), -(-n // SHARD_PIECES))
     fields = rows.drop("ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema) + ", sequence_id long, offset long"
-    dealt = fields.withColumn("shard", F.pmod(F.xxhash64("slot"), F.lit(shards)))
+    if "part" in rows.columns:
+        fields = _with_running_tokens(fields, capacity, scratch)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema if f.name != "shard") + ", sequence_id long, offset long"
+    dealt = fields if "shard" in fields.columns else fields.withColumn("shard", F.pmod(F.xxhash64("slot"), F.lit(shards)))
     limits = {"capacity": capacity, "max_docs": max_docs or capacity, "max_attention": max_attention or float(capacity) ** 2, "rule": rule}
     placed = dealt.groupBy("shard").applyInArrow(lambda rows: _pack_shard(rows, **limits), schema)
     return placed if "ids" not in rows.columns else placed.join(rows.select("slot", "ids"), "slot")
@@ -229,8 +285,8 @@ def sequences(placed: DataFrame) -> DataFrame:
                         F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return packed(pieces(docs, tokenizer)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, ordered: bool = False) -> DataFrame:
+    return packed(pieces(docs, tokenizer, ordered=ordered)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 @query("op10_packing")
