@@ -175,3 +175,27 @@ def test_trained_field_finds_other_writings_and_leaves_numbers(spark):
     rows = pii.found_spans(docs, model).collect()
     assert len(rows) == 122 and sum(r.n_email for r in rows) == 120 and sum(r.n_card for r in rows) == 120
     assert pii.found_spans(docs.limit(0)).count() == 0
+
+
+def test_zones_hold_every_number_whole_and_stop_at_base_spans_only():
+    numbers = [f"555-123-45{k}" for k in range(60, 72)]
+    line = " ".join(numbers)
+    assert pii.zones(line, pii.base_spans(line)) == [(0, len(line))]
+    text = "host 10.0.0.7 (555) 123-4567"
+    parts = [text[s:e] for s, e in pii.zones(text, pii.base_spans(text))]
+    assert parts == [" (555) 123-4567"]
+    text = "555-123-4560 10.0.0.7 555-123-4561"
+    assert [text[s:e] for s, e in pii.zones(text, pii.base_spans(text))] == ["555-123-4560 ", " 555-123-4561"]
+
+
+def test_field_finds_every_number_of_a_list(spark):
+    rnd = random.Random(4)
+    d = lambda n: "".join(rnd.choices("0123456789", k=n))
+    docs = docs_of(spark, [f"Words stand here. reach joe{k}@mail{k}.example.com or +1 (2{d(2)}) 555-{d(4)} in {1900 + k} at version 3.{k}" for k in range(120)])
+    model = pii.trained(docs)
+    found = lambda t: [t[s:e] for s, k, e in pii.spans(t, model)[1] if k == 3]
+    numbers = [f"(555) 123-45{k}" for k in range(60, 72)]
+    assert found(" ".join(numbers)) == numbers
+    assert found("host 10.0.0.7 (555) 123-4567") == ["(555) 123-4567"]
+    many = [f"(555) 123-{4000 + k}" for k in range(400)]  # more than a window
+    assert len(pii.TOKEN.findall(" ".join(many))) > pii.WINDOW_TOKENS and found(" ".join(many)) == many

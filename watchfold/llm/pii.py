@@ -2,7 +2,7 @@
 
 Base spans are the leftmost non-overlapping matches of four patterns, kept when valid. They always stay.
 
-Model: number-like and address-like zones that no base span meets are cut into tokens. A segmentation covers the
+Model: number-like and address-like zones, whole however long and without the base spans in them, are cut into tokens. A segmentation covers the
 tokens with single "other" tokens and with entity segments of at most `MAX_TOKENS` tokens; an entity segment is scored as
 a whole (digit count, checksum, group shape, separators, address shape, what stands on both sides), plus a weight for each pair of neighbouring
 labels. The best segmentation comes from dynamic programming over end positions (boundaries and types together); a segment is
@@ -78,27 +78,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
-NUMBERS = re.compile(r"[+(]?[0-9][0-9 ().+-]{5,60}[0-9]")
+NUMBERS = re.compile(r"[+(]?[0-9][0-9 ().+-]{5,}[0-9]")
 WORD_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]{1,64}){1,8}", re.I)
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]+)+", re.I)
 SPELT = re.compile(r"\((?:at|dot)\)|\[(?:at|dot)\]|\bdot\b", re.I)
 HINTS = (re.compile(r"mail|contact|write", re.I), re.compile(r"\bip\b|host|addr", re.I), re.compile(r"card|visa|pay", re.I), re.compile(r"tel|phone|call|fax|mobil", re.I))
 ENDS = re.compile(r"[A-Za-z0-9+(]")
 N_FEATURES = 32
+TRAINING_ZONE = 62  # characters: bounds what the driver gets
+LEAST = 7  # characters of a segment
+WINDOW_TOKENS = 512
 
 
 def zones(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Parts of the text that may hold an entity which no base span meets."""
+    """Parts of the text that may hold an entity which no base span meets: whole runs of numbers and addresses, base spans cut out."""
     found = [m.span() for m in NUMBERS.finditer(text)] if DIGIT.search(text) else []
     if SPELT.search(text):
         found += [m.span() for m in WORD_AT.finditer(text)]
-    out, b = [], 0
+    whole = []
     for start, end in sorted(found):
-        while b < len(base) and base[b][2] <= start:
+        if whole and start < whole[-1][1]:
+            whole[-1] = (whole[-1][0], max(end, whole[-1][1]))
+        else:
+            whole.append((start, end))
+    taken = []  # base spans, those that overlap as one
+    for s, _, e in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
+    out, b = [], 0
+    for start, end in whole:
+        while b < len(taken) and taken[b][1] <= start:
             b += 1
-        if not any(s < end and start < e for s, _, e in base[max(0, b - 4):b + 4]) and (not out or start >= out[-1][1]):
+        k = b
+        while k < len(taken) and taken[k][0] < end:
+            if start < taken[k][0]:
+                out.append((start, taken[k][0]))
+            start = max(start, taken[k][1])
+            k += 1
+        if start < end:
             out.append((start, end))
-    return out
+    return [(s, e) for s, e in out if e - s >= LEAST]
 
 
 def features(text: str, start: int, end: int) -> np.ndarray:
@@ -146,7 +167,7 @@ class Zone:
                 continue
             for j in range(i, min(n, i + MAX_TOKENS)):
                 a, b = self.tokens[i][0], self.tokens[j][1]
-                if b - a >= 7 and text[b - 1].isalnum() and (DIGIT.search(text, a, b) or SPELT.search(text, a, b)) and (
+                if b - a >= LEAST and text[b - 1].isalnum() and (DIGIT.search(text, a, b) or SPELT.search(text, a, b)) and (
                         sum(map(str.isdigit, text[a:b])) >= 7 or (not text[a].isspace() and ("@" in text[a:b] or SPELT.search(text, a, b))) or text[a:b].count(".") == 3):
                     self.segments.append((i, j + 1))
                     rows.append(features(text, a, b))
@@ -232,6 +253,21 @@ class Model:
         return out[::-1]
 
     def found(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+        """Entities of a zone. A long one is scored in windows that overlap by four longest segments, each span taken from the window
+        in whose middle it starts, so that it stands there whole and with what surrounds it."""
+        tokens = [m.span() for m in TOKEN.finditer(text, start, end)]
+        if len(tokens) <= WINDOW_TOKENS:
+            return self._found(text, start, end)
+        out, half = [], 2 * MAX_TOKENS
+        for at in range(0, len(tokens), WINDOW_TOKENS):
+            upto = min(at + WINDOW_TOKENS, len(tokens))
+            low, high = tokens[at][0], tokens[upto - 1][1]
+            for span in self._found(text, tokens[max(0, at - half)][0], tokens[min(upto + half, len(tokens)) - 1][1]):
+                if low <= span[0] < high and (not out or span[0] >= out[-1][2]):
+                    out.append(span)
+        return out
+
+    def _found(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
         z = Zone(text, start, end)
         if not z.segments:
             return []
@@ -317,6 +353,7 @@ def _sample_batches(batches):
             for s, kind, e in base[:20]:
                 rows.append((kind, text[max(0, s - 24):s], text[s:e], text[e:e + 24]))
             for s, e in zones(text, base)[:20]:
+                e = min(e, s + TRAINING_ZONE)
                 rows.append((-1, text[max(0, s - 24):s], text[s:e], text[e:e + 24]))
         columns = list(zip(*rows)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.string()) for c in columns[1:]]], ["kind", "before", "span", "after"])
