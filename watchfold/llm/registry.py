@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["simhash", "quality", "packing", "secret_scan", "mixing", "ann", "urls", "warc", "chat", "pii"]
+MODULES = ["simhash", "quality", "packing", "secret_scan", "mixing", "ann", "urls", "warc", "chat", "pii", "periodic", "line_index", "variants"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
