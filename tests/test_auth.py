@@ -1,7 +1,9 @@
 """Log parsing, windows and detectors on hand-made rows."""
 
+import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from watchfold.functions import sshlog
@@ -50,6 +52,50 @@ def test_log_files_keep_line_numbers_and_replace_bad_bytes(spark, tmp_path):
     assert rows == {("a.log", 1): "one", ("a.log", 2): "tw�", ("a.log", 3): "", ("a.log", 4): "four", ("b.log", 1): "only"}
 
 
+def test_log_files_cut_into_blocks_number_like_a_sequential_read(spark, tmp_path):
+    rnd, wanted = random.Random(1), {}
+    for folder in ("a", "b/c"):
+        (tmp_path / folder).mkdir(parents=True)
+        for name in ("x.log", "y.log", "empty.log"):
+            lines = [b"" if rnd.random() < .1 else bytes(rnd.choices(b"abc \r\xff", k=rnd.randint(1, 60))) for _ in range(0 if name == "empty.log" else 400)]
+            (tmp_path / folder / name).write_bytes(b"\n".join(lines) + (b"\n" if name == "x.log" else b""))
+            lines = lines[:-1] if lines and not lines[-1] and name == "y.log" else lines
+            wanted |= {(f"{folder}/{name}", k + 1): line.removesuffix(b"\r").decode(errors="replace") for k, line in enumerate(lines)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = logs.read_log_files(spark, [f"{tmp_path}/a", f"{tmp_path}/b/c"])
+        assert df.rdd.getNumPartitions() > 40
+        found = [(r.file.split(f"{tmp_path.name}/")[-1], r.line_number, r.value) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert len(found) == len(wanted) and {(f, n): v for f, n, v in found} == wanted
+
+
+def test_log_files_cut_otherwise_fail(spark, tmp_path):
+    (tmp_path / "x.log").write_text("line\n" * 2000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lines = logs.read_log_files(spark, str(tmp_path))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        with pytest.raises(Exception, match="cut into other blocks"):
+            lines.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sketched_users_are_within_the_stated_error(spark):
+    users = {"a": 15, "b": 150, "c": 20_000, "d": 0}
+    rows = spark.createDataFrame(list(users.items()), "source_ip string, n int").select("source_ip", F.explode(F.sequence(F.lit(0), F.col("n") * 2)).alias("k"), "n")
+    events = rows.select("source_ip", F.lit(datetime(2024, 1, 1)).alias("timestamp"), F.when(F.col("k") < F.col("n") * 2, "failed_login").otherwise("disconnect").alias("event_type"),
+                         F.concat(F.lit("u"), F.col("k") % F.greatest(F.col("n"), F.lit(1))).alias("username"), F.lit(1).cast("long").alias("event_count"))
+    found = {r.source_ip: r.unique_users for r in windows.entity_window_features(events, exact_distinct=False).collect()}
+    assert (found["a"], found["b"], found["d"]) == (15, 150, 0)
+    assert abs(found["c"] - 20_000) <= 3 * 1.04 / 2 ** (windows.SKETCH_BITS / 2) * 20_000
+
+
 def test_window_features_edges(spark):
     t = lambda s: datetime(2024, 1, 1, 9, *s)
     rows = [(t((10, 0)), "1.1.1.1", "failed_login", "ROOT", 3), (t((10, 0)), "1.1.1.1", "successful_login", "root", 1), (t((14, 59)), "1.1.1.1", "successful_login", "root", 4),

@@ -1,6 +1,7 @@
 """Spatial association, isolation forest, linear encoder and stateful streams."""
 
 import itertools
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -116,6 +117,42 @@ def test_late_rows_come_out_marked(spark, tmp_path):
     assert [r.value_delta_1 for r in got if r.date == "2024-01-03"] == [3.0]
 
 
+def test_idle_drives_leave_the_state_with_a_row(spark, tmp_path):
+    schema = "serial_number long, date string, value double"
+    rows = [[(1, "2024-01-01", 1.0), (1, "2024-01-03", 2.0), (2, "2024-01-01", 5.0)], [(2, "2024-02-20", 6.0)], [(2, "2024-05-01", 7.0)], [(1, "2024-06-01", 4.0), (2, "2024-06-01", 9.0)]]
+    stream = stateful.temporal_stream(stream_of(spark, tmp_path, rows, schema), idle_days=60, watermark="10 days")
+    got = collect(spark, stream, tmp_path)
+    gone = {(r.serial_number, r.date) for r in got if r.expired}
+    # drive 1 pauses for five months and starts anew; drive 2 pauses for 50 and 70 days: the second pause is only known to be over when its next row is there
+    assert (1, "2024-01-03") in gone
+    deltas = {(r.serial_number, r.date): r.value_delta_1 for r in got if not r.expired}
+    assert pd.isna(deltas[1, "2024-06-01"]) and deltas[2, "2024-02-20"] == 1.0 and deltas[1, "2024-01-03"] == 1.0
+    assert all(pd.isna(r.value) for r in got if r.expired) and not any(r.late for r in got)
+
+
+REQUEST = "subject_id long, position long, action string, actor string, is_admin boolean, resolution string, rationale string, acknowledged boolean"
+
+
+def test_idle_subjects_leave_the_state(spark, tmp_path):
+    long, day = "a rationale that is long enough", lambda m, d: datetime(2024, m, d)
+    rows = [[(1, 0, "START_REVIEW", "ann", False, None, "", False, day(1, 1)), (2, 0, "START_REVIEW", "bob", False, None, "", False, day(1, 1)), (3, 0, "REOPEN", "eve", False, None, "", False, day(1, 1))],
+            [(2, 1, "RESOLVE", "eve", False, None, "", False, day(2, 20))], [(2, 2, "RESOLVE", "bob", False, "NO_FINDING", long, True, day(3, 30))],
+            [(1, 1, "RESOLVE", "ann", False, "NO_FINDING", long, True, day(4, 1))]]
+    stream = stateful.lifecycle_stream(stream_of(spark, tmp_path, rows, REQUEST + ", requested_at timestamp"), idle_days=60)
+    got = [(r.subject_id, r.action, r.from_state, r.to_state, r.accepted) for r in collect(spark, stream, tmp_path)]
+    assert (1, "EXPIRED", "IN_REVIEW", "OPEN", True) in got and (1, "RESOLVE", "OPEN", "OPEN", False) in got
+    # a refused request, too, puts off the end of subject 2; subject 3 never had a state
+    assert (2, "RESOLVE", "IN_REVIEW", "RESOLVED", True) in got and not any(g[1] == "EXPIRED" and g[0] > 1 for g in got)
+
+
+def test_a_new_stream_starts_from_known_states(spark, tmp_path):
+    known = spark.createDataFrame([(1, "IN_REVIEW", "ann"), (2, "RESOLVED", None)], "subject_id long, state string, assignee string")
+    long = "a rationale that is long enough"
+    rows = [(1, 0, "RESOLVE", "ann", False, "NO_FINDING", long, True), (2, 0, "REOPEN", "bob", False, None, long, False), (3, 0, "REOPEN", "bob", False, None, long, False)]
+    got = collect(spark, stateful.lifecycle_stream(stream_of(spark, tmp_path, [rows], REQUEST), known=known), tmp_path)
+    assert {r.subject_id: (r.from_state, r.accepted) for r in got} == {1: ("IN_REVIEW", True), 2: ("RESOLVED", True), 3: ("OPEN", False)}
+
+
 def test_ingestion_retries_failures_and_never_reads_large_files(spark, tmp_path):
     from watchfold.streaming import ingest
 

@@ -13,7 +13,7 @@ def quoted(text: Column) -> Column:
         return (F.when(c == '"', '\\"').when(c == "\\", "\\\\").when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t")
                 .when(c == "\b", "\\b").when(c == "\f", "\\f").when(c.between(" ", "~"), c).otherwise(u))
     slow = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)")), escape), "")
-    body = F.when(text.rlike(r'^[ !#-\[\]-~]*$'), text).otherwise(slow)
+    body = F.when(text.rlike(r'^[ !#-\[\]-~]*\z'), text).otherwise(slow)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 

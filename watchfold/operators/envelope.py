@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from watchfold.functions.jsonwalk import drop_keys
 from watchfold.operators.assess import ABNORMAL_STATES, DRIVE_THRESHOLD, lookup
 
 # Vocabulary of the envelope.
@@ -136,26 +135,9 @@ def envelope_errors(text: Column) -> Column:
     return F.array_compact(F.array(*errors))
 
 
-def without_keys(value, denied: set[str]):
-    """A parsed JSON value without the denied object keys at any depth."""
-    if isinstance(value, dict):
-        return {k: without_keys(v, denied) for k, v in value.items() if k not in denied}
-    return [without_keys(v, denied) for v in value] if isinstance(value, list) else value
-
-
 def minimize(text: Column, denied: set[str] = frozenset(DENIED_KEYS)) -> Column:
-    """JSON text without the denied keys at any depth; every other key stays, declared or not. Invalid JSON gives null."""
-    denied = set(denied)
-
-    def cleaned(texts: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                return None if t is None else json.dumps(without_keys(json.loads(t), denied), ensure_ascii=False, separators=(",", ":"))
-            except ValueError:
-                return None
-        return texts.map(one)
-
-    return F.pandas_udf(cleaned, "string")(text)
+    """JSON text without the denied keys at any depth; all else stays byte for byte, declared or not. Invalid JSON gives null."""
+    return drop_keys(text, sorted(denied))
 
 
 def project_evidence(text: Column, allowed: T.StructType, list_caps: dict[str, int] | None = None) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 FEATURES = ["failed_login_count", "successful_login_count", "invalid_user_count", "unique_users", "failure_ratio", "attempt_rate",
             "root_attempt_count", "breakin_warning_count", "disconnect_count", "no_identification_count",
             "success_after_failures", "root_attempt_ratio"]
+SKETCH_BITS = 12
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -25,13 +26,15 @@ def entity_window_features(events: DataFrame, duration: str = "5 minutes", minut
     """Twelve behavioural features per entity and window.
 
     Partial aggregation runs before the shuffle, so a hot entity costs one row per
-    task and window. `exact_distinct=False` is the form a stream may use.
+    task and window. `exact_distinct=False` is the form a stream may use: distinct users are
+    a sketch of at most 2^SKETCH_BITS bytes for each key, with a standard error of 1.04 / 2^(SKETCH_BITS / 2)
+    (1.6 %) for many users and no error in practice below a few hundred.
     """
     t, n = F.col("event_type"), F.col("event_count")
     of = lambda *kinds: F.coalesce(F.sum(F.when(t.isin(*kinds), n)), F.lit(0)).cast("long")
     attempt = t.isin("failed_login", "successful_login")
     name = F.when(attempt, F.col("username"))
-    users = F.count_distinct(name) if exact_distinct else F.size(F.collect_set(name))
+    users = F.count_distinct(name) if exact_distinct else F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(name, F.lit(SKETCH_BITS))), F.lit(0))
     base = assign_windows(events, duration, entity=entity).groupBy(entity, "window").agg(
         of("failed_login").alias("failed_login_count"),
         of("successful_login").alias("successful_login_count"),

@@ -8,6 +8,7 @@ from watchfold.functions import sshlog
 from watchfold.operators import assess, ranks, windows
 from watchfold.plans import bindings as B
 from watchfold.plans.registry import query
+from watchfold.session import scratch_path
 from watchfold.sources import logs
 from watchfold.sources.tables import load
 
@@ -113,6 +114,30 @@ def log_text_lines(spark, sf):
     return logs.explode_lines(load(spark, sf, "documents"), "text", ["doc_id"])
 
 
+FILES_SQL = "WITH " + B.AUTH_LOG_SQL + ", filed AS (SELECT line, line_number // 4000 AS part, row_number() OVER (PARTITION BY line_number // 4000 ORDER BY line_number) AS place FROM log)"
+
+
+def log_folders(spark, sf):
+    """The raw log as text files, 4,000 line numbers to a folder, read back with the numbers of each file."""
+    path = scratch_path(spark, "logs")
+    raw = B.auth_log(spark, sf).withColumn("part", F.expr("line_number div 4000"))
+    raw.repartition("part").sortWithinPartitions("part", "line_number").select("part", "value").write.partitionBy("part").text(path)
+    lines = logs.read_log_files(spark, path)
+    return lines.withColumn("part", F.regexp_extract("file", "part=([0-9]+)/", 1).cast("long"))
+
+
+@query("log_files_numbered", FILES_SQL + " SELECT part, place AS line_number, md5(line) AS line_md5 FROM filed")
+def log_files_numbered(spark, sf):
+    return log_folders(spark, sf).select("part", "line_number", F.md5("value").alias("line_md5"))
+
+
+@query("log_file_report", FILES_SQL + r""" SELECT part, count(*) AS total_lines,
+ count(*) FILTER (regexp_matches(trim(line), '^(\w{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)\s+sshd\[(\d+)\]:\s+(.*)$')) AS parsed_lines,
+ count(*) FILTER (NOT regexp_matches(trim(line), '^(\w{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)\s+sshd\[(\d+)\]:\s+(.*)$')) AS unparsed_lines FROM filed GROUP BY part""")
+def log_file_report(spark, sf):
+    return sshlog.parse_report(log_folders(spark, sf), by=["part"])
+
+
 @query("windowed_events", "WITH " + B.AUTH_SQL + """ SELECT line_number, source_ip, CAST(floor(epoch("timestamp") / 300) * 300 AS BIGINT) AS window_start_s FROM auth WHERE source_ip IS NOT NULL""")
 def windowed_events(spark, sf):
     return windows.assign_windows(B.auth_events(spark, sf)).select("line_number", "source_ip",

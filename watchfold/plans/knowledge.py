@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchfold.functions import ids
+from watchfold.functions import ids, jsonwalk
 from watchfold.operators import text as X
 from watchfold.plans.registry import query
 from watchfold.sources.tables import load
@@ -170,3 +170,16 @@ def masked_text(spark, sf):
 @query("token_table", r"WITH m AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b')) AS original FROM documents), p AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\bP\d{3,8}\b')) AS original FROM documents) SELECT " + _hmac_sql("IP", "original") + " AS token, original FROM m UNION ALL SELECT " + _hmac_sql("PERSON", "original") + ", original FROM p")
 def token_table(spark, sf):
     return ids.token_table(KEY, load(spark, sf, "documents"), "text")
+
+
+RECORD_JSON = """concat('{"source_ip": "10.1.2.', user_id, '", "usernames" : ["user', user_id, '",["UNKNOWN", "al"], {"text":"for user', user_id, '"}],\n "note":"user', user_id, ' at 10.1.2.', user_id,
+ ' met P00', event_id, ' \\\\u00e9\\\\n", "n":1.500, "ip":', event_id, ', "deep":[{"person_id":"P', event_id, '","user":null}], "value":"user', user_id, '7"}')"""
+
+
+@query("masked_records", f"""SELECT event_id, '{{"source_ip": "' || {_hmac_sql('IP', "'10.1.2.' || user_id")} || '", "usernames" : ["' || {_hmac_sql('USER', "'user' || user_id")} || '",["UNKNOWN", "'
+ || {_hmac_sql('USER', "'al'")} || '"], {{"text":"for ' || {_hmac_sql('USER', "'user' || user_id")} || '"}}],' || chr(10) || ' "note":"' || {_hmac_sql('USER', "'user' || user_id")} || ' at ' || {_hmac_sql('IP', "'10.1.2.' || user_id")}
+ || ' met ' || CASE WHEN event_id < 1000000 THEN {_hmac_sql('PERSON', "'P00' || event_id")} ELSE 'P00' || event_id END || ' \u00e9\n", "n":1.500, "ip":' || event_id || ', "deep":[{{"person_id":"' || {_hmac_sql('PERSON', "'P' || event_id")}
+ || '","user":null}}], "value":"user' || user_id || '7"}}' AS record FROM events""")
+def masked_records(spark, sf):
+    """Nested records with identifiers under their keys, in lists and in free text."""
+    return load(spark, sf, "events").select("event_id", F.expr(RECORD_JSON).alias("t")).select("event_id", jsonwalk.mask_values(F.col("t"), KEY).alias("record"))

@@ -64,7 +64,8 @@ def streaming_latest_upsert(spark, sf):
 def streaming_temporal_features(spark, sf):
     o = SW.read_table_stream(spark, sf, "orders")
     days = o.select(F.col("o_custkey").alias("serial_number"), F.concat_ws("-", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("date"), F.col("o_totalprice").alias("value"))
-    out = drain(spark, stateful.temporal_stream(days), "temporal")
+    # customers pause for years, so a drive is idle after ten; timer rows are no observations
+    out = drain(spark, stateful.temporal_stream(days, idle_days=3650), "temporal").where("NOT expired")
     return out.select("serial_number", "date", *[F.round(c, 4).alias(c) for c in ("value_delta_1", "value_delta_7")], F.round("value_7obs_mean", 5).alias("value_7obs_mean"), "late")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from watchfold.functions import ids
-from watchfold.operators import assess, bayes, envelope as E, validate as V
+from watchfold.operators import assess, bayes, envelope as E, integrity, validate as V
 from watchfold.plans import bindings as B
 from watchfold.plans.auth import READINGS_SQL, readings
 from watchfold.plans.pairs import ABN_SQL, DOMAIN_SQL, NODES, scenario_events
@@ -264,7 +264,7 @@ def envelope_validation(spark, sf):
     return j.select("id", F.array_join(E.envelope_errors(F.col("t")), "; ").alias("errors"))
 
 
-EVIDENCE_JSON = """concat('{"failure_probability":', k / 100.0, ',"token":"secret","smart":{"smart_5_raw":', k, ',"owner":"someone"},"people":[', CASE WHEN k < 50 THEN '{"person_index":0,"image":"x"}' ELSE '{"person_index":0,"image":"x"},{"person_index":1,"landmarks":[1]}' END, ']}')"""
+EVIDENCE_JSON = """concat('{"failure_probability":', cast(k / 100.0 as double), ',"token":"secret","smart":{"smart_5_raw":', k, ',"owner":"someone"},"people":[', CASE WHEN k < 50 THEN '{"person_index":0,"image":"x"}' ELSE '{"person_index":0,"image":"x"},{"person_index":1,"landmarks":[1]}' END, ']}')"""
 
 
 @query("denied_keys_removed", NODES + f""", j AS (SELECT id, k FROM nodes) SELECT id, '{{"failure_probability":' || (k / 100.0::DOUBLE) || ',"smart":{{"smart_5_raw":' || k || '}},"people":[{{"person_index":0}}' || CASE WHEN k < 50 THEN '' ELSE ',{{"person_index":1}}' END || ']}}' AS evidence FROM j""".replace("{{", "{").replace("}}", "}"))
@@ -362,3 +362,71 @@ def graph_integrity(spark, sf):
     expected = r.where("kind IN ('face', 'ppe')").select("event_id")
     linked = r.join(devices(spark, sf, "CAMERA"), "camera_id", "left_semi").select("event_id")
     return V.missing_and_unexpected(expected, linked.unionByName(r.where("kind = 'ssh' AND state = 'EXPLICIT_SECURITY_EVENT'").select("event_id")), ["event_id"])
+
+
+# A graph with planted faults: every 23rd event missing, every 5th cyber event without its source, zones named twice, servers without
+# a rack or with a second one, a zone without its site, a camera expected and not there.
+FAULTY_SQL = """WITH ev AS (SELECT event_id, event_id // 10 AS scenario_id, CASE event_type WHEN 'error' THEN 'CYBERSECURITY' ELSE 'SAFETY' END AS domain FROM events),
+ seen AS (SELECT * FROM ev WHERE event_id % 23 <> 0), members AS (SELECT DISTINCT 'C' || (event_id // 3) AS correlation_id, event_id FROM events),
+ corr AS (SELECT DISTINCT 'C' || (event_id // 3) AS correlation_id, 'Zone' AS scope, 'N' || ((event_id // 3) % 27) AS entity FROM events UNION ALL SELECT 'X' || n_nationkey, 'Zone', 'N' || n_nationkey FROM nation),
+ nodes AS (SELECT 'Zone' AS kind, 'N' || n_nationkey AS id FROM nation UNION ALL SELECT 'Zone', 'N' || n_nationkey FROM nation WHERE n_nationkey % 10 = 3
+  UNION ALL SELECT 'DataCenter', r_name FROM region UNION ALL SELECT 'Server', 'S' || c_custkey FROM customer),
+ racked AS (SELECT 'S' || c_custkey AS src, 'K-' || c_nationkey || '-' || c_mktsegment AS dst FROM customer WHERE c_custkey % 50 <> 0 UNION SELECT 'S' || c_custkey, 'K-EXTRA' FROM customer WHERE c_custkey % 70 = 1),
+ zoned AS (SELECT DISTINCT 'K-' || c_nationkey || '-' || c_mktsegment AS src, 'N' || c_nationkey AS dst FROM customer UNION SELECT 'K-EXTRA', 'N0'),
+ sited AS (SELECT 'N' || n_nationkey AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 7),
+ unlinked AS (SELECT * FROM seen WHERE domain = 'CYBERSECURITY' AND event_id % 5 = 0)"""
+VIOLATIONS_SQL = FAULTY_SQL + """, division AS (SELECT correlation_id, count(*) AS listed, count(*) FILTER (event_id % 23 <> 0) AS found FROM members GROUP BY 1),
+ zones AS (SELECT id, count(*) AS found FROM nodes WHERE kind = 'Zone' GROUP BY 1),
+ reached AS (SELECT s.id, count(DISTINCT t.dst) AS found FROM nodes s LEFT JOIN racked r ON r.src = s.id LEFT JOIN zoned z ON z.src = r.dst LEFT JOIN sited t ON t.src = z.dst WHERE s.kind = 'Server' GROUP BY 1)
+ SELECT 'MISSING_EVENT' AS rule, correlation_id AS subject, CAST(event_id AS VARCHAR) AS related, found, listed AS expected FROM members JOIN division USING (correlation_id) WHERE event_id % 23 = 0
+ UNION ALL SELECT 'NO_EVENTS', 'X' || n_nationkey, NULL, 0, 1 FROM nation
+ UNION ALL SELECT 'SHARED_ENTITY_NOT_UNIQUE', correlation_id, 'Zone:' || entity, coalesce(found, 0), 1 FROM corr LEFT JOIN zones ON zones.id = entity WHERE coalesce(found, 0) <> 1
+ UNION ALL SELECT 'MISSING_SOURCE_LINK', CAST(event_id AS VARCHAR), 'ORIGINATED_FROM:SourceIP', 0, 1 FROM unlinked
+ UNION ALL SELECT 'MISSING_RELATIONSHIP', 'S' || c_custkey, 'LOCATED_IN:Rack:K-' || c_nationkey || '-' || c_mktsegment, 0, 1 FROM customer WHERE c_custkey % 50 = 0
+ UNION ALL SELECT 'FORBIDDEN_RELATIONSHIP', 'S' || c_custkey, 'LOCATED_IN:Rack:K-EXTRA', 1, 0 FROM customer WHERE c_custkey % 70 = 1
+ UNION ALL SELECT 'BROKEN_PLACEMENT', id, 'DataCenter', found, 1 FROM reached WHERE found <> 1
+ UNION ALL SELECT 'NODE_COUNT', 'Zone', NULL, 28, 25 UNION ALL SELECT 'NODE_COUNT', 'Camera', NULL, 0, 1"""
+
+
+def faulty_graph(spark, sf):
+    """(correlations, members, all events, observed events, nodes, edges, declared, expected counts) of the faulty graph."""
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.expr(c) if " " in c else F.col(c))
+    ev = load(spark, sf, "events").select("event_id", F.expr("event_id div 10").alias("scenario_id"), F.when(F.col("event_type") == "error", "CYBERSECURITY").otherwise("SAFETY").alias("domain"))
+    seen = ev.where("event_id % 23 <> 0")
+    members = ev.select(named("C", "event_id div 3").alias("correlation_id"), "event_id")
+    nation, customer = load(spark, sf, "nation"), load(spark, sf, "customer")
+    shared = ev.select(named("C", "event_id div 3").alias("correlation_id"), F.lit("Zone").alias("scope"), named("N", "event_id div 3 % 27").alias("shared_entity_id")).distinct()
+    correlations = shared.unionByName(nation.select(named("X", "n_nationkey").alias("correlation_id"), F.lit("Zone").alias("scope"), named("N", "n_nationkey").alias("shared_entity_id")))
+    node = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), c.alias("id"))
+    zone, server, rack = named("N", "n_nationkey"), named("S", "c_custkey"), F.concat_ws("-", F.lit("K"), "c_nationkey", "c_mktsegment")
+    nodes = (node(nation, "Zone", zone).unionByName(node(nation.where("n_nationkey % 10 = 3"), "Zone", zone))
+             .unionByName(node(load(spark, sf, "region"), "DataCenter", F.col("r_name"))).unionByName(node(customer, "Server", server)))
+    edge = lambda df, st, src, rel, dt, dst: df.select(F.lit(st).alias("src_type"), src.alias("src"), F.lit(rel).alias("rel"), F.lit(dt).alias("dst_type"), dst.alias("dst"))
+    moved, extra = customer.where("c_custkey % 70 = 1"), F.lit("K-EXTRA")
+    site = nation.where("n_nationkey <> 7").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    racks = edge(customer, "Server", server, "LOCATED_IN", "Rack", rack)
+    second = edge(moved, "Server", server, "LOCATED_IN", "Rack", extra)
+    parts = [edge(seen.where("domain = 'CYBERSECURITY' AND event_id % 5 <> 0"), "Event", S("event_id"), "ORIGINATED_FROM", "SourceIP", F.lit("10.0.0.1")),
+             edge(customer.where("c_custkey % 50 <> 0"), "Server", server, "LOCATED_IN", "Rack", rack), second,
+             edge(customer, "Rack", rack, "LOCATED_IN", "Zone", named("N", "c_nationkey")), edge(nation.limit(1), "Rack", extra, "LOCATED_IN", "Zone", F.lit("N0")),
+             edge(site, "Zone", zone, "PART_OF", "DataCenter", F.col("r_name"))]
+    edges = parts[0]
+    for part in parts[1:]:
+        edges = edges.unionByName(part)
+    declared = racks.withColumn("expected", F.lit(True)).unionByName(second.withColumn("expected", F.lit(False)))
+    counts = spark.createDataFrame([("Zone", 25), ("DataCenter", 5), ("Camera", 1)], "kind string, expected long")
+    return correlations, members, ev, seen, nodes, edges, declared, counts
+
+
+@query("graph_violations", VIOLATIONS_SQL)
+def graph_violations(spark, sf):
+    correlations, members, _, seen, nodes, edges, declared, counts = faulty_graph(spark, sf)
+    return integrity.graph_violations(correlations, members, seen, nodes, edges, declared, counts)
+
+
+@query("scenario_integrity", FAULTY_SQL + """, g AS (SELECT scenario_id, count(*) AS expected_events, count(*) FILTER (event_id % 23 = 0) AS missing_events, count(*) FILTER (event_id % 23 <> 0) AS observed_events,
+  count(*) FILTER (event_id % 23 <> 0 AND domain = 'CYBERSECURITY' AND event_id % 5 = 0) AS unlinked_events FROM ev GROUP BY 1)
+ SELECT *, CASE WHEN missing_events = 0 AND unlinked_events = 0 THEN 'PASS' ELSE 'INCOMPLETE' END AS status FROM g""")
+def scenario_integrity(spark, sf):
+    _, _, ev, seen, _, edges, _, _ = faulty_graph(spark, sf)
+    return integrity.scenario_status(ev, seen, edges)

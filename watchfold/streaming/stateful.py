@@ -1,4 +1,8 @@
-"""Per-key stateful streams: temporal drive features and the review lifecycle."""
+"""Per-key stateful streams: temporal drive features and the review lifecycle.
+
+Both keep several state variables for each key in RocksDB, so state may exceed memory, and forget idle keys by
+event-time timers. (A time to live needs processing time, with which a stream that drains what is there never ends.)
+"""
 
 from __future__ import annotations
 
@@ -6,51 +10,142 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from watchfold.operators.audit import ALLOWED, MIN_RATIONALE, TARGET
 
 HISTORY = 7
+DAY_MS = 86_400_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+TEMPORAL = ("serial_number long, date string, value double, value_delta_1 double, value_delta_7 double, value_7obs_mean double, "
+            "late boolean, expired boolean")
+LIFECYCLE = "subject_id long, position long, action string, from_state string, to_state string, accepted boolean, reason string"
 
 
-def temporal_stream(days: DataFrame) -> DataFrame:
-    """W1/W2 on a stream of (serial_number, date, value): deltas to 1 and 7 observations back and the
-    seven-observation mean with at least two values. State is the last seven observations per drive.
+def use_rocksdb(spark: SparkSession) -> None:
+    """State variables and timers need this store; a stream keeps the one it was started with."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class Forgetting(StatefulProcessor):
+    """A processor whose keys leave the state some time after their last row. `idle_ms` None: never."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at long")
+
+    def wake_after(self, at: int) -> None:
+        """One timer per key: the later one replaces the earlier."""
+        if self.idle_ms is None:
+            return
+        at += self.idle_ms
+        if self.due.exists():
+            (before,) = self.due.get()
+            if before >= at:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.due.update((at,))
 
-    A row dated at or before the last one seen comes out with late = true and no features; it changes no state."""
-    schema = "serial_number long, date string, value double, value_delta_1 double, value_delta_7 double, value_7obs_mean double, late boolean"
+    def overdue(self, timer_values) -> bool:
+        """Whether the key's time was over before this batch: Spark hands out a batch's rows before its timers."""
+        if self.idle_ms is None or not self.due.exists():
+            return False
+        (at,) = self.due.get()
+        if at > timer_values.getCurrentWatermarkInMs():
+            return False
+        self.handle.deleteTimer(at)
+        return True
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        dates, values = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values("date")
+    def close(self) -> None:
+        pass
+
+
+class DriveHistory(Forgetting):
+    """State: the last seven observations, and when the drive is forgotten."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.observed = handle.getListState("observed", "date string, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        if self.overdue(timer_values):
+            yield self.forgotten(key)
+        dates, values = [], []
+        for date, value in self.observed.get():
+            dates.append(date)
+            values.append(np.nan if value is None else value)
+        rows = pd.concat(list(rows)).sort_values("date")
         late = rows[rows["date"] <= dates[-1]] if dates else rows.iloc[:0]
         rows = rows[rows["date"] > dates[-1]] if dates else rows
-        series = pd.Series(values + rows["value"].tolist(), dtype="float64")
-        new = slice(len(values), None)
-        out = pd.DataFrame({
-            "serial_number": key[0], "date": rows["date"].to_numpy(), "value": series[new].to_numpy(),
-            "value_delta_1": (series - series.shift(1))[new].to_numpy(), "value_delta_7": (series - series.shift(7))[new].to_numpy(),
-            "value_7obs_mean": series.rolling(7, min_periods=2).mean()[new].to_numpy(), "late": False})
-        last = (dates + rows["date"].tolist())[-HISTORY:], series.tolist()[-HISTORY:]
-        state.update(([str(d) for d in last[0]], [None if v is None or np.isnan(v) else float(v) for v in last[1]]))
-        yield out
+        if len(rows):
+            series = pd.Series(values + rows["value"].tolist(), dtype="float64")
+            new = slice(len(values), None)
+            yield self.shaped(key, rows["date"], series[new], series.diff()[new], (series - series.shift(HISTORY))[new], series.rolling(HISTORY, min_periods=2).mean()[new])
+            last = zip((dates + rows["date"].tolist())[-HISTORY:], series.tolist()[-HISTORY:])
+            self.observed.put([(str(d), None if np.isnan(v) else float(v)) for d, v in last])
+            self.wake_after(int(rows["event_ms"].max()))
         if len(late):
-            none = np.full(len(late), np.nan)
-            yield pd.DataFrame({"serial_number": key[0], "date": late["date"].to_numpy(), "value": late["value"].to_numpy(), "value_delta_1": none, "value_delta_7": none, "value_7obs_mean": none, "late": True})
+            yield self.shaped(key, late["date"], late["value"], late=True)
 
-    return days.groupBy("serial_number").applyInPandasWithState(step, schema, "dates array<string>, observed array<double>", "append", "NoTimeout")
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        yield self.forgotten(key)
 
+    def forgotten(self, key) -> pd.DataFrame:
+        last = [date for date, _ in self.observed.get()][-1:]
+        self.observed.clear()
+        self.due.clear()
+        return self.shaped(key, pd.Series(last, dtype="object"), expired=True)
+
+    @staticmethod
+    def shaped(key, dates, values=None, delta_1=None, delta_7=None, mean=None, late=False, expired=False) -> pd.DataFrame:
+        column = lambda c: np.full(len(dates), np.nan) if c is None else c.to_numpy()
+        return pd.DataFrame({"serial_number": key[0], "date": dates.to_numpy(), "value": column(values), "value_delta_1": column(delta_1), "value_delta_7": column(delta_7),
+                             "value_7obs_mean": column(mean), "late": late, "expired": expired})
 
-def lifecycle_stream(requests: DataFrame) -> DataFrame:
-    """START_REVIEW / RESOLVE / REOPEN requests per subject (subject_id, position, action, actor, is_admin,
-    resolution, rationale, acknowledged) to accepted transitions and refusals with a reason; an action that
-    is none of the three is refused as UNKNOWN_ACTION."""
-    schema = "subject_id long, position long, action string, from_state string, to_state string, accepted boolean, reason string"
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        current, assignee = state.get if state.exists else ("OPEN", None)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("position").itertuples():
+def temporal_stream(days: DataFrame, idle_days: int = 365, watermark: str = "30 days") -> DataFrame:
+    """W1/W2 on a stream of (serial_number, date, value): deltas to 1 and 7 observations back and the
+    seven-observation mean with at least two values. `date` sorts as text and begins with yyyy-MM-dd.
+
+    A row dated at or before the last one of its drive comes out with late = true and no features; it changes no state. Rows further behind
+    the newest date than `watermark` are left to Spark's late-row count. A drive without a row for `idle_days` leaves the state once the
+    watermark is that far past its last date; a row with expired = true and that date says so, and a later row begins a new history."""
+    use_rocksdb(days.sparkSession)
+    day = F.to_timestamp(F.substring("date", 1, 10), "yyyy-MM-dd")
+    timed = days.select("serial_number", "date", "value", day.alias("event_time")).withWatermark("event_time", watermark)
+    timed = timed.withColumn("event_ms", F.unix_millis("event_time"))
+    return timed.groupBy("serial_number").transformWithStateInPandas(DriveHistory(idle_days * DAY_MS), TEMPORAL, "Append", "EventTime")
+
+
+class ReviewState(Forgetting):
+    """State: where the review of a subject stands, who has it, and when the subject is forgotten."""
+
+    COLUMNS = ["subject_id", "position", "action", "from_state", "to_state", "accepted", "reason"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.current = handle.getValueState("current", "state string")
+        self.assignee = handle.getValueState("assignee", "actor string")
+
+    def handleInitialState(self, key, rows: pd.DataFrame, timer_values) -> None:
+        row = rows.iloc[-1]
+        self.current.update((row["state"],))
+        if row["assignee"] is not None:
+            self.assignee.update((row["assignee"],))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        if self.overdue(timer_values):
+            yield self.forgotten(key)
+        held, actor = self.current.get(), self.assignee.get()
+        current, assignee = held[0] if held else "OPEN", actor[0] if actor else None
+        rows = pd.concat(list(rows)).sort_values("position")
+        before, out = (current, assignee), []
+        for r in rows.itertuples():
             short = len((r.rationale or "").strip()) < MIN_RATIONALE
             reason = None
             if r.action not in ALLOWED:
@@ -68,7 +163,36 @@ def lifecycle_stream(requests: DataFrame) -> DataFrame:
             if not reason:
                 assignee = r.actor if r.action == "START_REVIEW" else assignee
                 current = target
-        state.update((current, assignee))
-        yield pd.DataFrame(out, columns=["subject_id", "position", "action", "from_state", "to_state", "accepted", "reason"])
+        if held or (current, assignee) != before:  # refusals alone make no state; any request puts the timer off
+            self.current.update((current,))
+            if assignee is not None:
+                self.assignee.update((assignee,))
+            if "event_ms" in rows:
+                self.wake_after(int(rows["event_ms"].max()))
+        yield pd.DataFrame(out, columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        yield self.forgotten(key)
+
+    def forgotten(self, key) -> pd.DataFrame:
+        (current,) = self.current.get()
+        for state in (self.current, self.assignee, self.due):
+            state.clear()
+        return pd.DataFrame([(key[0], None, "EXPIRED", current, "OPEN", True, "IDLE")], columns=self.COLUMNS).astype({"position": "Int64"})
+
+
+def lifecycle_stream(requests: DataFrame, idle_days: int = 730, watermark: str = "1 day", known: DataFrame | None = None) -> DataFrame:
+    """START_REVIEW / RESOLVE / REOPEN requests per subject (subject_id, position, action, actor, is_admin,
+    resolution, rationale, acknowledged) to accepted transitions and refusals with a reason; an action that
+    is none of the three is refused as UNKNOWN_ACTION.
 
-    return requests.groupBy("subject_id").applyInPandasWithState(step, schema, "state string, assignee string", "append", "NoTimeout")
+    Requests with a column `requested_at` have event time: a subject without a request for `idle_days` leaves the state, an EXPIRED
+    row says so, and it is OPEN again. Without the column all subjects are kept. `known` (subject_id, state, assignee), as the
+    audit store has it, is the state that a new stream starts from."""
+    use_rocksdb(requests.sparkSession)
+    start = None if known is None else known.select("subject_id", "state", "assignee").groupBy("subject_id")
+    timed = "requested_at" in requests.columns
+    if timed:
+        requests = requests.withWatermark("requested_at", watermark).withColumn("event_ms", F.unix_millis("requested_at"))
+    work = ReviewState(idle_days * DAY_MS if timed else None)
+    return requests.groupBy("subject_id").transformWithStateInPandas(work, LIFECYCLE, "Append", "EventTime" if timed else "None", initialState=start)

@@ -25,7 +25,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def streaming_features(events: DataFrame, duration: str = "5 minutes", minutes: float = 5.0, watermark: str = WATERMARK) -> DataFrame:
-    """Window features in append mode. Distinct users are the size of the set in state, which is exact."""
+    """Window features in append mode. Distinct users are a sketch of bounded size in state, see `entity_window_features`."""
     return entity_window_features(events.withWatermark("timestamp", watermark), duration, minutes, exact_distinct=False)
 
 
