@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -225,3 +226,34 @@ def test_tightest_times(spark):
     m = spark.createDataFrame([("g", "a", "1", [t(0), t(50)]), ("g", "b", "2", [t(52)]), ("g", "c", "3", [t(10), t(49)])], "group_id string, kind string, id string, times array<timestamp>")
     got = {r.id: (r.chosen_us - int(t(0).timestamp() * 1e6)) // 60_000_000 for r in S.tightest_times(m).collect()}
     assert got == {"1": 50, "2": 52, "3": 49}
+
+
+def brute_tightest(rows):
+    groups = {}
+    for g, _, i, times in rows:
+        groups.setdefault(g, []).append((i, sorted(set(times))))
+    out = {}
+    for g, members in groups.items():
+        answer = lambda a: {i: min(times, key=lambda t: (abs(t - a), t)) for i, times in members}
+        spread = lambda a: max(answer(a).values()) - min(answer(a).values())
+        anchor = min({t for _, times in members for t in times}, key=lambda a: (spread(a), a))
+        out |= {(g, i): (t, spread(anchor)) for i, t in answer(anchor).items()}
+    return out
+
+
+def test_tightest_times_against_every_anchor(spark):
+    rnd = random.Random(8)
+    rows = [(f"g{g}", "k", f"{i}", [rnd.randint(0, 60) for _ in range(rnd.randint(1, 5))]) for g in range(25) for i in range(rnd.randint(1, 9))]
+    rows += [("big", "k", f"{i}", [rnd.randint(0, 10_000) for _ in range(rnd.randint(1, 4))]) for i in range(120)]
+    m = spark.createDataFrame(rows, "group_id string, kind string, id string, m array<int>")
+    m = m.select("group_id", "kind", "id", F.transform("m", lambda x: F.timestamp_seconds(x)).alias("times"))
+    got = {(r.group_id, r.id): (r.chosen_us // 1_000_000, r.spread_seconds) for r in S.tightest_times(m).collect()}
+    assert got == brute_tightest(rows)
+
+
+def test_tightest_times_grow_with_times_not_with_their_square(spark):
+    members = spark.range(20_000).select(F.lit("g").alias("group_id"), F.lit("k").alias("kind"), F.col("id").cast("string").alias("id"),
+                                         F.array(F.timestamp_seconds(F.col("id") * 7), F.timestamp_seconds(F.col("id") * 7 + 100_000)).alias("times"))
+    found = S.tightest_times(members).agg(F.count(F.lit(1)), F.min("spread_seconds"), F.max("spread_seconds")).first()
+    # 20,000 members times 40,000 anchors would be 8e8 rows
+    assert found[0] == 20_000 and found[1] == found[2] <= 100_000

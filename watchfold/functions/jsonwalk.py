@@ -34,22 +34,27 @@ def unescaped(literal: Column) -> Column:
     return F.when(literal.contains("\\"), F.get_json_object(F.concat(F.lit('{"k":'), literal, F.lit("}")), "$.k")).otherwise(plain)
 
 
-def scan(tokens: Column, start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]]) -> Column:
-    """Struct of the last state and `marks`, one letter for each token. `step` gives the next state and the token's mark."""
+def scan(tokens: Column, kind: Callable[[Column], Column], start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]]) -> Column:
+    """Struct of the last state and `marks`, one letter for each token. `kind` tells tokens apart by a letter of their own; `step` gives the
+    next state and the mark from the state and that letter."""
     names = list(start)
-    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(tokens))).cast("int"))
 
-    def one(state, token):
-        new = step(state, token)
+    def one(state, letter):
+        new = step(state, letter)
         return F.struct(*[new[n].alias(n) for n in names], state["before"].alias("before"), F.concat(state["marks"], new["mark"]).alias("marks"))
 
-    def slice_of(state, at):
-        opened = F.struct(*[state[n].alias(n) for n in names], F.concat(state["before"], state["marks"]).alias("before"), F.lit("").alias("marks"))
-        return F.aggregate(F.slice(tokens, at, size), opened, one)
+    def fold(letters):
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(letters))).cast("int"))
 
-    first = F.struct(*[c.alias(n) for n, c in start.items()], F.lit("").alias("before"), F.lit("").alias("marks"))
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens), size)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(starts, first, slice_of, lambda s: F.struct(*[s[n].alias(n) for n in names], F.concat(s["before"], s["marks"]).alias("marks")))
+        def slice_of(state, at):
+            opened = F.struct(*[state[n].alias(n) for n in names], F.concat(state["before"], state["marks"]).alias("before"), F.lit("").alias("marks"))
+            return F.aggregate(F.slice(letters, at, size), opened, one)
+
+        first = F.struct(*[c.alias(n) for n, c in start.items()], F.lit("").alias("before"), F.lit("").alias("marks"))
+        starts = F.when(F.size(letters) > 0, F.sequence(F.lit(1), F.size(letters), size)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(starts, first, slice_of, lambda s: F.struct(*[s[n].alias(n) for n in names], F.concat(s["before"], s["marks"]).alias("marks")))
+
+    return let(F.transform(tokens, kind), fold)
 
 
 def _balanced(text: Column, tokens: Column, marked: Column) -> Column:
@@ -67,19 +72,21 @@ def drop_keys(text: Column, denied: list[str]) -> Column:
     key = rf'\s*+,?\s*+"(?:(?:{listed})|[^"\\]*+\\.(?:[^"\\]|\\.)*+)"\s*+:'
     pattern = rf'(?s){key}|[{{}}\[\],]|(?:{STRING}|[^"{{}}\[\],])++'
 
-    def step(s, token):
-        head = F.substring(F.ltrim(token), 1, 1)
-        opens, closes, comma = token.isin("{", "["), token.isin("}", "]"), token == ","
-        candidate = token.endswith(":") & head.isin(",", '"') & token.rlike(f"(?s)^{key}$")
-        gone = candidate & unescaped(F.regexp_extract(token, rf"(?s)({STRING})\s*+:$", 1)).isin(list(denied))
-        skipping = s["skip"] >= 0
-        ends = skipping & (s["depth"] == s["skip"]) & (comma | closes | candidate)
-        kept = ~skipping | ends  # this token is looked at as one of the kept text
-        depth = s["depth"] + opens.cast("int") - closes.cast("int")
-        fresh = F.when(~kept | gone | comma, s["fresh"]).when(opens, True).otherwise(s["fresh"] & (F.trim(token) == ""))
-        mark = F.when(~kept | gone | (comma & s["fresh"]), "x").when(candidate & s["fresh"] & (head == ","), "c").otherwise("k")
-        return {"depth": depth, "low": s["low"] | (depth < 0), "fresh": fresh, "mark": mark,
-                "skip": F.when(kept & gone, s["depth"]).when(ends, -1).otherwise(s["skip"])}
+    def kind(token):
+        """o and c open and close, comma, denied key with (D) or without (d) the comma before it, kept key with that comma (e), blank, k anything else."""
+        led = F.ltrim(token).startswith(",")
+        gone = unescaped(F.regexp_extract(token, rf"(?s)({STRING})\s*+:$", 1)).isin(list(denied))
+        key_kind = let(gone, lambda g: F.when(g & led, "D").when(g, "d").when(led, "e").otherwise("k"))
+        return (F.when(token.isin("{", "["), "o").when(token.isin("}", "]"), "c").when(token == ",", ",").when(F.trim(token) == "", " ")
+                .when(token.endswith(":") & token.rlike(f"(?s)^{key}$"), key_kind).otherwise("k"))
+
+    def step(s, k):
+        ends = (s["skip"] >= 0) & (s["depth"] == s["skip"]) & k.isin(",", "c", "D", "d", "e")
+        kept, gone = (s["skip"] < 0) | ends, k.isin("D", "d")  # kept: this token is looked at as one of the kept text
+        depth = F.when(k == "o", s["depth"] + 1).when(k == "c", s["depth"] - 1).otherwise(s["depth"])
+        return {"depth": depth, "low": s["low"] | (depth < 0), "skip": F.when(kept & gone, s["depth"]).when(ends, -1).otherwise(s["skip"]),
+                "fresh": F.when(~kept | k.isin("D", "d", ",", " "), s["fresh"]).otherwise(k == "o"),
+                "mark": F.when(~kept | gone | ((k == ",") & s["fresh"]), "x").when((k == "e") & s["fresh"], "c").otherwise("k")}
 
     start = {"depth": F.lit(0), "low": F.lit(False), "skip": F.lit(-1), "fresh": F.lit(True)}
 
@@ -87,8 +94,10 @@ def drop_keys(text: Column, denied: list[str]) -> Column:
         shown = lambda t, m: F.when(m == "x", "").when(m == "c", F.regexp_replace(t, r"^\s*+,", "")).otherwise(t)
         return F.when(_balanced(value, tokens, marked), F.array_join(F.zip_with(tokens, F.split(marked["marks"], ""), shown), ""))
 
-    return let(text, lambda value: let(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)),
-                                       lambda tokens: let(scan(tokens, start, step), lambda marked: joined(value, tokens, marked))))
+    walked = lambda value: let(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), lambda tokens: let(scan(tokens, kind, start, step), lambda marked: joined(value, tokens, marked)))
+    # most records hold nothing to drop: one search tells, and a parser vouches for the text unless it nests too deeply for one
+    whole = lambda value: ~value.rlike(f"(?s){key}") & value.rlike(r"(?s)^\s*[\[{].*[\]}]\s*\z") & F.get_json_object(value, "$").isNotNull()
+    return let(text, lambda value: F.when(whole(value), value).otherwise(walked(value)))
 
 
 def mask_values(text: Column, key: bytes) -> Column:
@@ -98,20 +107,21 @@ def mask_values(text: Column, key: bytes) -> Column:
     record's own user names of three or more characters are replaced. Keys, numbers and literals stay. Text that is not JSON gives null."""
     pattern = rf'(?s){STRING}\s*+:|{STRING}|[{{}}\[\]]|[^"{{}}\[\]]++'
 
-    def step(s, token):
-        quote = token.startswith('"')
-        is_key, is_string = quote & token.endswith(":"), quote & token.endswith('"')
-        name = unescaped(F.regexp_extract(token, f"(?s)^({STRING})", 1))
-        named = F.when(name.isin(USER_KEYS), "U").when(name.isin(IP_KEYS), "I").when(name.isin(PERSON_KEYS), "P").otherwise("-")
-        opens, closes = token.isin("{", "["), token.isin("}", "]")
-        stack = (F.when(token == "[", F.concat(s["stack"], s["kind"])).when(token == "{", F.concat(s["stack"], F.lit("o")))
+    def kind(token):
+        """Kind of a key's values (U, I, P, - for other keys), s for a string, brackets as they are, k anything else."""
+        name = let(unescaped(F.regexp_extract(token, f"(?s)^({STRING})", 1)), lambda n: F.when(n.isin(USER_KEYS), "U").when(n.isin(IP_KEYS), "I").when(n.isin(PERSON_KEYS), "P").otherwise("-"))
+        return F.when(token.startswith('"'), F.when(token.endswith('"'), "s").otherwise(name)).when(token.isin("{", "[", "}", "]"), token).otherwise("k")
+
+    def step(s, k):
+        opens, closes = k.isin("{", "["), k.isin("}", "]")
+        stack = (F.when(k == "[", F.concat(s["stack"], s["of"])).when(k == "{", F.concat(s["stack"], F.lit("o")))
                  .when(closes, F.left(s["stack"], F.length(s["stack"]) - 1)).otherwise(s["stack"]))
-        top = F.right(stack, F.lit(1))  # a list's letter is the kind of its key, an object's is o
-        kind = F.when(is_key, named).when(token == "{", "-").when(closes, F.when(top.isin("U", "I", "P"), top).otherwise("-")).otherwise(s["kind"])
-        depth = s["depth"] + opens.cast("int") - closes.cast("int")
-        return {"stack": stack, "kind": kind, "depth": depth, "low": s["low"] | (depth < 0), "mark": F.when(is_string, s["kind"]).otherwise("k")}
+        depth = F.when(opens, s["depth"] + 1).when(closes, s["depth"] - 1).otherwise(s["depth"])
+        top = F.substring(s["stack"], -2, 1)  # where a closing bracket leads; a list's letter is the kind of its key, an object's is o
+        of = F.when(k.isin("U", "I", "P", "-"), k).when(k == "{", "-").when(closes, F.when((s["depth"] > 1) & top.isin("U", "I", "P"), top).otherwise("-")).otherwise(s["of"])
+        return {"stack": stack, "of": of, "depth": depth, "low": s["low"] | (depth < 0), "mark": F.when(k == "s", s["of"]).otherwise("k")}
 
-    start = {"stack": F.lit(""), "kind": F.lit("-"), "depth": F.lit(0), "low": F.lit(False)}
+    start = {"stack": F.lit(""), "of": F.lit("-"), "depth": F.lit(0), "low": F.lit(False)}
 
     def user_names(spots):
         names = F.transform(F.filter(spots, lambda x: x["m"] == "U"), lambda x: unescaped(x["t"]))
@@ -136,7 +146,7 @@ def mask_values(text: Column, key: bytes) -> Column:
         return F.when(_balanced(value, tokens, marked), done)
 
     return let(text, lambda value: let(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)),
-                                       lambda tokens: let(scan(tokens, start, step), lambda marked: joined(value, tokens, marked))))
+                                       lambda tokens: let(scan(tokens, kind, start, step), lambda marked: joined(value, tokens, marked))))
 
 
 def unmask(answers: DataFrame, answer: str, tokens: DataFrame, row: str) -> DataFrame:

@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchfold.operators import bayes
+from watchfold.operators import bayes, ranks
 from watchfold.operators.assess import detector_abnormal, domain_of
+from watchfold.session import materialize
 
 LEVELS = ["LOW", "MEDIUM", "HIGH"]
 # Severity and rule name of one abnormal event by (domain, state).
@@ -203,25 +204,59 @@ def physical_review(pairs: DataFrame) -> DataFrame:
                               "status": F.when(F.size(reasons) > 0, "EVIDENCE_REVIEW_REQUIRED").otherwise("OBSERVATION_RECORDED")})
 
 
+def _dyadic(first, end, levels):
+    """(level, block) of the aligned blocks of 2^level places that make up the places first..end-1; two for each level at most."""
+    def at(i):
+        size = F.pow(F.lit(2.0), i).cast("long")
+        low, high = F.floor((first + size - 1) / size), F.floor(end / size)
+        taken = low < high
+        return F.array(F.when(taken & (low % 2 == 1), F.struct(i.alias("level"), low.alias("block"))),
+                       F.when(taken & (high % 2 == 1), F.struct(i.alias("level"), (high - 1).alias("block"))))
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), levels), at)))
+
+
 def tightest_times(members: DataFrame) -> DataFrame:
     """Per group member the observation time that keeps the group tightest (group_id, kind, id, times).
 
-    Every member time is an anchor; each member answers with its nearest time, and the anchor
-    with the smallest spread (then the earliest) wins. Members with one time always answer the
-    same, so they enter as one running pair of bounds and only members with several times meet
-    the anchors.
-    """
-    one = F.size("times") == 1
-    us = F.transform("times", lambda t: F.unix_micros(t))
-    m = members.withColumn("us", us)
+    Every member time is an anchor; each member answers with its nearest time (of two equally near the
+    earlier), and the anchor with the smallest spread (then the earliest) wins.
+
+    Anchors stand on one sorted time line. A member's answer changes half-way between two of its times only, so each of its times
+    answers for one run of anchors, and no member meets the anchors one by one: a run is cut into aligned blocks of 2^k anchors,
+    least and greatest answer are kept for each block (a partial aggregate), and an anchor looks at the blocks it lies
+    in. Work is (times x log anchors), all of it keyed by group and block or place, so a large group spreads over tasks.
+    Members with one time answer the same everywhere and enter as one pair of bounds."""
+    us = F.array_sort(F.array_distinct(F.transform(F.filter("times", lambda t: t.isNotNull()), lambda t: F.unix_micros(t))))
+    m = materialize(members.select("group_id", "kind", "id", us.alias("us")).where(F.size("us") > 0), "group-times")  # read in five places below
+    fixed = m.where(F.size("us") == 1).groupBy("group_id").agg(F.min(F.col("us")[0]).alias("lo"), F.max(F.col("us")[0]).alias("hi"))
+    # twice the time, so that the middle of two times is a whole number
+    halves = F.transform(F.sequence(F.lit(1), F.size("us") - 1), lambda j: F.get("us", j) + F.get("us", j - 1))
+    several = m.where(F.size("us") > 1).withColumn("mid", halves)
+    last = F.size("us") - 1
+    pieces = several.select("group_id", F.posexplode("us").alias("j", "answer"), "mid", last.alias("last")).select(
+        "group_id", "answer", F.when(F.col("j") > 0, F.get("mid", F.col("j") - 1)).alias("after"), F.when(F.col("j") < F.col("last"), F.get("mid", F.col("j"))).alias("upto"))
     anchors = m.select("group_id", F.explode("us").alias("anchor")).distinct()
-    fixed = m.where(one).groupBy("group_id").agg(F.min(F.col("us")[0]).alias("lo"), F.max(F.col("us")[0]).alias("hi"))
-    several = m.where(F.size("times") > 1).select("group_id", "kind", "id", "us")
-    nearest = lambda a: F.aggregate("us", F.col("us")[0], lambda best, x: F.when(F.abs(x - a) < F.abs(best - a), x).otherwise(best))
-    answers = several.join(anchors, "group_id").groupBy("group_id", "anchor").agg(
-        F.min(nearest(F.col("anchor"))).alias("nlo"), F.max(nearest(F.col("anchor"))).alias("nhi"))
+    line = anchors.select("group_id", (F.col("anchor") * 2).alias("x"), F.lit(1).alias("anchors")).unionByName(
+        several.select("group_id", F.explode("mid").alias("x"), F.lit(0).alias("anchors")))
+    placed = ranks.cumulative(line, ["group_id"], "x", {"n": F.sum("anchors")})
+    places = placed.select("group_id", "x", "n_cum")
+    totals = anchors.groupBy("group_id").agg(F.count(F.lit(1)).alias("total"))
+    of = lambda name, place: places.select("group_id", F.col("x").alias(name), F.col("n_cum").alias(place))
+    runs = pieces.join(of("after", "first"), ["group_id", "after"], "left").join(of("upto", "end"), ["group_id", "upto"], "left").join(totals, "group_id")
+    runs = runs.select("group_id", "answer", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("end", "total").alias("end"), _levels("total").alias("levels")).where("first < end")
+    blocks = (runs.select("group_id", "answer", F.inline(_dyadic(F.col("first"), F.col("end"), F.col("levels"))))
+              .groupBy("group_id", "level", "block").agg(F.min("answer").alias("nlo"), F.max("answer").alias("nhi")))
+    at = placed.where("n > 0").select("group_id", F.expr("x div 2").alias("anchor"), (F.col("n_cum") - 1).alias("place"), _levels("n_total").alias("levels"))
+    seen = at.select("group_id", "anchor", F.inline(F.transform(F.sequence(F.lit(0), F.col("levels")), lambda i: F.struct(i.alias("level"), F.floor(F.col("place") / F.pow(F.lit(2.0), i).cast("long")).alias("block")))))
+    answers = seen.join(blocks, ["group_id", "level", "block"]).groupBy("group_id", "anchor").agg(F.min("nlo").alias("nlo"), F.max("nhi").alias("nhi"))
     spread = (anchors.join(fixed, "group_id", "left").join(answers, ["group_id", "anchor"], "left")
               .select("group_id", "anchor", (F.greatest("hi", "nhi") - F.least("lo", "nlo")).alias("spread")))
     best = spread.groupBy("group_id").agg(F.min(F.struct("spread", "anchor")).alias("b"))
+    nearest = lambda a: F.aggregate("us", F.col("us")[0], lambda best, x: F.when(F.abs(x - a) < F.abs(best - a), x).otherwise(best))
     return (m.join(best, "group_id").select("group_id", "kind", "id", (nearest(F.col("b.anchor"))).alias("chosen_us"),
                                             (F.col("b.spread") / 1e6).alias("spread_seconds")))
+
+
+def _levels(total: str):
+    """Block sizes 1, 2, 4, ... up to the smallest that holds all places."""
+    return F.ceil(F.log2(F.greatest(F.col(total), F.lit(1)).cast("double"))).cast("int")

@@ -178,7 +178,7 @@ RECORD_JSON = """concat('{"source_ip": "10.1.2.', user_id, '", "usernames" : ["u
 
 @query("masked_records", f"""SELECT event_id, '{{"source_ip": "' || {_hmac_sql('IP', "'10.1.2.' || user_id")} || '", "usernames" : ["' || {_hmac_sql('USER', "'user' || user_id")} || '",["UNKNOWN", "'
  || {_hmac_sql('USER', "'al'")} || '"], {{"text":"for ' || {_hmac_sql('USER', "'user' || user_id")} || '"}}],' || chr(10) || ' "note":"' || {_hmac_sql('USER', "'user' || user_id")} || ' at ' || {_hmac_sql('IP', "'10.1.2.' || user_id")}
- || ' met ' || CASE WHEN event_id < 1000000 THEN {_hmac_sql('PERSON', "'P00' || event_id")} ELSE 'P00' || event_id END || ' \u00e9\n", "n":1.500, "ip":' || event_id || ', "deep":[{{"person_id":"' || {_hmac_sql('PERSON', "'P' || event_id")}
+ || ' met ' || CASE WHEN event_id < 1000000 THEN {_hmac_sql('PERSON', "'P00' || event_id")} ELSE 'P00' || event_id END || ' \\u00e9\\n", "n":1.500, "ip":' || event_id || ', "deep":[{{"person_id":"' || {_hmac_sql('PERSON', "'P' || event_id")}
  || '","user":null}}], "value":"user' || user_id || '7"}}' AS record FROM events""")
 def masked_records(spark, sf):
     """Nested records with identifiers under their keys, in lists and in free text."""
