@@ -10,18 +10,19 @@ one ends with its last assistant turn, the rejected one ends with the last assis
 conversation (the one whose id differs in the last bit) in its place.
 
 Edge cases: a null text is empty, a null role is "unknown". Turns stand by turn number, nulls first, then by role and text. Rows
-without id belong to no conversation and are left out. Repeated rows are turns said twice. Equal conversations give a
-pair with two empty completions. Conversations without assistant turn, or whose partner has none, form no pair. Empty tables give an
+without id belong to no conversation and are left out. Repeated rows are turns said twice. Equal conversations, and a lone answered one, which is its own partner, give a
+pair with two empty completions. Conversations without assistant turn form no pair; every other one forms one. Empty tables give an
 empty result. Columns other than conv_id, turn, role and text are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from watchfold.llm.registry import query, table
 
 OPEN, CLOSE, BREAK = "<|im_start|>", "<|im_end|>", "\n"
+RANGES = 256
 
 
 def turn_lists(rows: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -30,12 +31,16 @@ def turn_lists(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(said)).alias("turns"))
 
 
+def _safe(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("<|im_start|"), F.lit("<| im_start|")), F.lit("<|im_end|"), F.lit("<| im_end|"))
+
+
 def _head(t: Column) -> Column:
-    return F.concat(F.lit(OPEN), t["role"], F.lit(BREAK))
+    return F.concat(F.lit(OPEN), F.translate(_safe(t["role"]), "\n\r", "  "), F.lit(BREAK))
 
 
 def _body(t: Column) -> Column:
-    return F.concat(F.replace(F.replace(t["text"], F.lit("<|im_start|"), F.lit("<| im_start|")), F.lit("<|im_end|"), F.lit("<| im_end|")), F.lit(CLOSE))
+    return F.concat(_safe(t["text"]), F.lit(CLOSE))
 
 
 def rendered(turns: Column) -> Column:
@@ -69,21 +74,36 @@ def preferences(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") ->
                       rendered(rest("b")).alias("rejected"), trained_spans(rest("b")).alias("rejected_mask"))
 
 
+def neighbours(ids: DataFrame, key: str) -> DataFrame:
+    """(key, partner): the next smaller of distinct whole numbers, the greatest for the smallest."""
+    steps = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    cuts = ids.agg(F.percentile_approx(key, steps, F.lit(10_000)).alias("cuts"))
+    ranged = ids.crossJoin(F.broadcast(cuts)).select(key, F.size(F.filter("cuts", lambda c: c < F.col(key))).alias("range"))
+    ends = ranged.groupBy("range").agg(F.max(key).alias("end"))
+    # one row for each range: at most RANGES rows
+    before = ends.select(F.col("range").alias("__range"), F.coalesce(F.lag("end").over(W.orderBy("range")), F.max("end").over(W.partitionBy())).alias("before"))
+    inside = ranged.withColumn("partner", F.lag(key).over(W.partitionBy("range").orderBy(key)))
+    return inside.join(F.broadcast(before), F.col("range") == F.col("__range")).select(key, F.coalesce("partner", "before").alias("partner"))
+
+
 def next_best(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turn lists (pair_id, turns) from plain conversations."""
     lists = turn_lists(rows)
     spoken = F.filter(F.transform("turns", lambda t, i: F.struct(i.alias("at"), t["role"].alias("role"), t["text"].alias("text"))), lambda t: t["role"] == "assistant")
     ended = lists.withColumn("last", F.try_element_at(spoken, F.lit(-1))).where("last IS NOT NULL")
+    answered = rows.where((F.col("role") == "assistant") & F.col("conv_id").isNotNull()).select("conv_id").distinct()
     mine = ended.select(F.col("conv_id").alias("pair_id"), "turns", "last")
-    theirs = ended.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("other"))
+    answers = ended.select(F.col("conv_id").alias("partner"), F.col("last.text").alias("other"))
+    theirs = neighbours(answered, "conv_id").join(answers, "partner").select(F.col("conv_id").alias("pair_id"), "other")
     met = mine.join(theirs, "pair_id")
     chosen = met.select("pair_id", F.slice("turns", F.lit(1), F.col("last.at") + 1).alias("turns"))
     swapped = F.concat(F.slice("turns", F.lit(1), F.col("last.at")), F.array(F.struct(F.get("turns", F.col("last.at"))["turn"].alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))))
     return chosen, met.select("pair_id", swapped.alias("turns"))
 
 
-_SAFE = f"replace(replace(t.text, '<|im_start|', '<| im_start|'), '<|im_end|', '<| im_end|') || '{CLOSE}'"
-_LINE = f"'{OPEN}' || t.role || chr(10) || {_SAFE} || chr(10)"
+_BROKEN = "replace(replace({}, '<|im_start|', '<| im_start|'), '<|im_end|', '<| im_end|')"
+_SAFE = f"{_BROKEN.format('t.text')} || '{CLOSE}'"
+_LINE = f"'{OPEN}' || translate({_BROKEN.format('t.role')}, chr(10) || chr(13), '  ') || chr(10) || {_SAFE} || chr(10)"
 
 
 def _mask_sql(turns: str) -> str:
@@ -97,8 +117,9 @@ WITH c AS (SELECT conv_id, list({{'turn': turn, 'role': coalesce(role, 'unknown'
     FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
 e AS (SELECT *, len(turns) + 1 - list_position(list_reverse(list_transform(turns, lambda t: t.role)), 'assistant') AS last FROM c
     WHERE list_contains(list_transform(turns, lambda t: t.role), 'assistant')),
+q AS (SELECT conv_id, coalesce(lag(conv_id) OVER (ORDER BY conv_id), max(conv_id) OVER ()) AS partner FROM e),
 p AS (SELECT m.conv_id AS pair_id, m.turns[1:m.last] AS a, m.turns[1:m.last - 1] || [{{'turn': m.turns[m.last].turn, 'role': 'assistant', 'text': o.turns[o.last].text}}] AS b
-    FROM e m JOIN e o ON xor(o.conv_id, 1) = m.conv_id),
+    FROM e m JOIN q ON q.conv_id = m.conv_id JOIN e o ON o.conv_id = q.partner),
 n AS (SELECT *, coalesce(list_position(list_transform(range(1, len(a) + 1), lambda i: a[i].role = b[i].role AND a[i].text = b[i].text), false) - 1, len(a)) AS n FROM p),
 r AS (SELECT pair_id, n, a[1:n] AS p, a[n + 1:] AS x, b[n + 1:] AS y FROM n)
 SELECT pair_id, n::int AS prompt_turns, array_to_string(list_transform(p, lambda t: {_LINE}), '') AS prompt,

@@ -21,6 +21,7 @@ rows give repeated captures. A last record that breaks off in its block is retur
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -95,11 +96,23 @@ def parse_record(header: bytes, block: bytes, complete: bool) -> list:
             fields.get("content-type"), list(fields.items()), http, payload, len(payload), hashlib.sha256(payload).hexdigest(), complete]
 
 
+def content_length(header: bytes) -> int | None:
+    """The declared length; None if it is absent, no plain number, or declared twice with different numbers."""
+    lines = (line.partition(b":") for line in header.split(b"\r\n"))
+    found = {value.strip() for name, _, value in lines if name.strip().lower() == b"content-length"}
+    return int(next(iter(found))) if len(found) == 1 and next(iter(found)).isdigit() else None
+
+
+VERSION = b"WARC/1."
+MARK = re.compile(rb"\nWARC/1\.")
+
+
 class RecordStream:
-    """Records from the bytes of one file, fed in any cuts."""
+    """Records from the bytes of one file, fed in any cuts. A record without a usable length is incomplete, its payload empty, and
+    the stream goes on at the next line that begins a record."""
 
     def __init__(self):
-        self.held, self.size, self.need, self.header = [], 0, 0, None
+        self.held, self.size, self.need, self.header, self.lost = [], 0, 0, None, False
 
     def feed(self, data: bytes):
         self.held.append(data)
@@ -109,14 +122,24 @@ class RecordStream:
         buffer, at = b"".join(self.held), 0
         while True:
             if self.header is None:
+                if self.lost:
+                    begun = MARK.search(buffer, at)
+                    if begun is None:
+                        at = max(at, len(buffer) - len(VERSION) - 1)  # a mark may be cut here
+                        break
+                    at, self.lost = begun.end() - len(VERSION), False
                 while buffer[at:at + 1] in (b"\r", b"\n"):
                     at += 1
                 end = buffer.find(END.encode(), at)
                 if end < 0:
                     break
                 self.header, at = buffer[at:end], end + len(END)
-                length = [v for n, _, v in (x.partition(b":") for x in self.header.split(b"\r\n")) if n.strip().lower() == b"content-length"]
-                self.need = int(length[0]) if length else 0
+                declared = content_length(self.header)
+                if declared is None:
+                    yield parse_record(self.header, b"", False)
+                    self.header, self.lost, at = None, True, at - 1  # the line end before a mark may be the header's own
+                    continue
+                self.need = declared
             if len(buffer) - at < self.need:
                 break
             yield parse_record(self.header, buffer[at:at + self.need], True)
