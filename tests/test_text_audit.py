@@ -200,3 +200,39 @@ def test_minimize_keeps_undeclared_keys_at_any_depth(spark):
     texts = ['{"a":1,"keep_me":2,"token":"x","deep":[{"token":1,"other":{"kept":[1.5,null,"é"]}}]}', "[]", "broken", None]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", E.minimize(F.col("t")).alias("m")).orderBy("k").collect()
     assert [r.m for r in rows] == ['{"a":1,"keep_me":2,"deep":[{"other":{"kept":[1.5,null,"é"]}}]}', "[]", None, None]
+
+
+def clustered(rnd, n, centres, noise):
+    return [(centres[k % len(centres)] + rnd.normal(size=centres.shape[1]) * noise).tolist() for k in range(n)]
+
+
+@pytest.mark.parametrize("cap, keep", [(None, 3), (1, 4), (2, 5), (2, 40)])
+def test_pruned_search_finds_what_all_pairs_find(spark, cap, keep):
+    rnd = np.random.default_rng(12)
+    centres = rnd.normal(size=(9, 12))
+    vectors = clustered(rnd, 300, centres, 0.2) + [[0.0] * 12, centres[0].tolist(), centres[0].tolist()]
+    gallery = [(i, i % 17, 1 << i % 2, v) for i, v in enumerate(vectors)]
+    queries = [(1000 + i, 1 + i % 3, v) for i, v in enumerate(clustered(rnd, 30, centres, 0.4) + [[0.0] * 12, rnd.normal(size=12).tolist()])]
+    g = spark.createDataFrame(gallery, "item_id long, document_id long, mask long, vec array<double>")
+    q = spark.createDataFrame(queries, "query_id long, mask long, vec array<double>")
+    ranking = {None: "raw", 1: "diverse", 2: "controlled"}[cap]
+    key = lambda rows: [(r.query_id, r.rank, r.item_id, round(r.score, 9)) for r in rows.orderBy("query_id", "rank").collect()]
+    assert key(V.retrieve(q, g, keep, ranking, block_rows=20)) == key(V.retrieve(q, g, keep, ranking, block_rows=10_000))
+
+
+def test_pruned_search_scores_few_pairs_of_clustered_vectors(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 16))
+    g = spark.createDataFrame([(i, i, v) for i, v in enumerate(clustered(rnd, 4000, centres, 0.05))], "item_id long, document_id long, vec array<double>")
+    q = spark.createDataFrame([(i, v) for i, v in enumerate(clustered(rnd, 200, centres, 0.05))], "query_id long, vec array<double>")
+    met = []
+    original = V._scored
+
+    def counted(queries, gallery, *rest):
+        sizes = gallery.groupBy("cell", "part").count()
+        met.append(queries.join(sizes, ["cell", "part"]).agg(F.sum("count")).first()[0] or 0)
+        return original(queries, gallery, *rest)
+
+    monkeypatch.setattr(V, "_scored", counted)
+    assert V.nearest_enrolled(q, g, 0.3, block_rows=50).count() == 200
+    assert sum(met) < 0.1 * 4000 * 200
