@@ -7,8 +7,8 @@ indexed; nothing is trained.
 
 Search: rows are dealt into blocks of about `BLOCK_ROWS`, queries into blocks of about `BLOCK_QUERIES`; every pair of blocks is one
 group. A group estimates all its products from the codes, scores the `FIRST` best estimates of each query exactly, takes the
-k-th exact score as the query's bar, and scores exactly every other row whose upper bound reaches it. Its k best leave the
-group, and a query's k best of all groups are its result. Rows are copied once for each query block, queries once for each row block.
+k-th exact score as the query's bar, and scores every other row whose upper bound reaches it: first by a matrix product, then those that may still be among
+the k best in the order of their components. Its k best leave the group, and a query's k best of all groups are its result. Rows are copied once for each query block, queries once for each row block.
 
 Edge cases: vectors that are null, zero, empty, or hold a null or non-finite component take no part, as queries or candidates; so do
 vectors whose length is not the most frequent one (of equally frequent lengths, the greatest). Repeated rows are rows of their own: a query
@@ -85,6 +85,17 @@ def _exact(queries: np.ndarray, rows: np.ndarray, qi: np.ndarray, xi: np.ndarray
     return total
 
 
+def _contenders(query: np.ndarray, rows: np.ndarray, reached: np.ndarray, norm: np.ndarray, q_norm: float, k: int) -> np.ndarray:
+    """Of the rows `reached` by the bound, those that can be among the k best whatever the order of summation."""
+    if len(reached) <= k:
+        return reached
+    score = rows[reached] @ query
+    if not np.isfinite(score).all():
+        return reached
+    error = 4 * len(query) * np.finfo(float).eps * float(q_norm) * norm[reached]
+    return reached[score + error >= np.partition(score - error, len(reached) - k)[len(reached) - k]]
+
+
 def search_block(queries: pa.Table, rows: pa.Table, dim: int, k: int, eps: float) -> pa.Table:
     """The k best rows of the block for each query of the block."""
     q, x = matrix(queries["vector"], dim), matrix(rows["vector"], dim)
@@ -109,10 +120,11 @@ def search_block(queries: pa.Table, rows: pa.Table, dim: int, k: int, eps: float
         best = _exact(q, x, np.repeat(np.arange(at, at + n), first), top.ravel()).reshape(n, first)
         best[np.isneginf(np.take_along_axis(near, top, 1))] = -np.inf
         bar = np.partition(best, first - k, axis=1)[:, first - k] if first >= k else np.full(n, -np.inf)
-        may = near + q_norm[at:at + n, None] * slack >= bar[:, None]
-        np.put_along_axis(may, top, True, 1)  # scored above; of these, too, the k best may be any
-        may &= ~np.isneginf(near)
-        qi, xi = np.nonzero(may)
+        np.put_along_axis(near, top, np.where(np.isneginf(np.take_along_axis(near, top, 1)), -np.inf, np.inf), 1)  # of the first, any may be among the k best
+        chosen_rows = [_contenders(q[at + i], x, np.flatnonzero((near[i] + q_norm[at + i] * slack >= bar[i]) & ~np.isneginf(near[i])), norm, q_norm[at + i], k)
+                       for i in range(n)]
+        qi = np.repeat(np.arange(n), [len(c) for c in chosen_rows])
+        xi = np.concatenate(chosen_rows) if n else np.empty(0, np.int64)
         score = _exact(q, x, qi + at, xi)
         order = np.lexsort((place[xi], -score, qi))
         qi, xi, score = qi[order], xi[order], score[order]
