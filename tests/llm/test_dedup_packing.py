@@ -90,6 +90,27 @@ def test_dedup_of_repeats_nulls_and_nothing(spark):
     assert simhash.components(docs.limit(0)).count() == 0 and simhash.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_runs_of_letters_and_marks_have_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tokenizer, rng = Tokenizer.from_file(path), np.random.default_rng(5)
+    letters, marks = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x180)]], list("!#$%&*+,-./:;=?@^_~()[]'<|>9")
+    words = {"".join(rng.choice(letters, rng.integers(0, 9))) + "".join(rng.choice(marks, rng.integers(0, 6))) for _ in range(4000)} | {"it's", "we'll.", "o'", "A\u0301bc", "<|endoftext|>", "ª", "ÀÉÎÕÜß,"}
+    found = packing.WordIds(path)
+    found.learn({w.encode() for w in words if w})
+    for w in words - {""}:
+        assert np.frombuffer(found[w.encode()], "<u4").tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
+
+
+def test_a_tokenizer_of_another_kind_is_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.BPE({"a": 0}, [])).save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError):
+        packing.WordIds(str(tmp_path / "other.json"))
+
+
 def test_token_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 

@@ -1,6 +1,6 @@
 """Token sequences of bounded length, filled by vector best-fit.
 
-Tokenizing: white space always ends a token of this kind of tokenizer, so a text's ids are those of its words joined. Each
+Tokenizing: white space always ends a token of this kind of tokenizer (another kind is refused), so a text's ids are those of its words joined. Each
 Python worker keeps the ids of words it has met (at most `CACHED_WORDS`, then it starts afresh; results do not depend on
 it). Texts become pieces of at most `capacity` tokens; only pieces, never texts, are shuffled.
 
@@ -25,6 +25,9 @@ empty table gives an empty result. Columns other than doc_id and text are not re
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from functools import lru_cache, partial
 
@@ -42,6 +45,9 @@ SHARD_SEQUENCES, SHARD_PIECES = 2048, 65_536
 ORDERED_SEQUENCES = 256  # fewer than SHARD_SEQUENCES: inside a shard, order gives way to filling
 WEIGHTS = (1.0, 0.05, 0.05)  # of tokens, documents and attention cost, each as a share of its capacity
 SLICE = 1 << 20
+MARKS, MOST_MARKS = b"!#$%&*+,-./:;=?@^_~()[]", 4  # as a run after letters they are one unit; longer runs are left to the tokenizer
+LATIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+LETTER_RUNS = r"[\p{L}]+".replace("\\", "\\\\")
 
 
 def default_tokenizer() -> str:
@@ -50,6 +56,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _holds(steps: dict | None, kind: str) -> bool:
+    """Is a step of this kind in the tokenizer's description?"""
+    return f'"type": "{kind}"' in json.dumps(steps)
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids of words without white space, filled on demand.
 
@@ -59,9 +74,17 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        if not (_holds(steps["normalizer"], "Lowercase") and _holds(steps["pre_tokenizer"], "ByteLevel") and LETTER_RUNS in json.dumps(steps["pre_tokenizer"])
+                and steps["model"].get("end_of_word_suffix")):
+            raise ValueError(f"{path}: words are only independent for a lower-casing byte-level model that splits runs of letters")
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = str.maketrans({c: spell(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if LATIN.fullmatch(c)})
+        self.tails: dict[bytes, bytes] = {}
         self.met_again: set[bytes] = set()
 
     def learn(self, words: set[bytes]) -> None:
@@ -71,23 +94,35 @@ class WordIds(dict):
             self.met_again.clear()
             known = set()
         self.met_again |= known
-        # lower case and a closing comma or full stop after an ASCII letter do not change the other ids of a word
-        cores = {}
+        cores, rest = {}, []
         for w in words - known:
-            core = w.lower() if w.isascii() and b"<|" not in w else w
-            tail = core[-1:] if core[-1:] in (b",", b".") and core[:-1].isalpha() else b""
-            cores[w] = (core[:-1], tail) if tail else (core, b"")
-        ids = {}
-        missing = {c for pair in cores.values() for c in pair if c}
-        plain = [c for c in missing if c.isalpha() and c.islower()]
-        for c in plain:  # one run of ASCII letters is one unit of the model
-            ids[c] = np.array([t.id for t in self.tokenizer.model.tokenize(c.decode())], "<u4").tobytes()
-        rest = [c for c in missing if c not in ids]
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)):
-            ids[c] = np.array(e.ids, "<u4").tobytes()
-        ids[b""] = b""
-        for w, (core, tail) in cores.items():
-            self[w] = ids[core] + ids[tail]
+            parts = self.parts(w)
+            if parts is None:
+                rest.append(w)
+                continue
+            core, tail = parts
+            ids = cores.get(core)
+            if ids is None:
+                ids = cores[core] = _packed([t.id for t in self.tokenizer.model.tokenize(core)])
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = _packed(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
+                ids += self.tails[tail]
+            self[w] = ids
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            self[w] = _packed(e.ids)
+
+    def parts(self, word: bytes) -> tuple[str, bytes] | None:
+        """The model's spelling of a run of Latin letters and the marks after it: two units that do not change each other's ids. None: another word."""
+        core = word.rstrip(MARKS)
+        if len(word) - len(core) > MOST_MARKS:
+            return None
+        if core.isalpha():  # ASCII only
+            return core.lower().decode(), word[len(core):]
+        if core.isascii():
+            return None
+        text = core.decode()
+        return (text.lower().translate(self.letters), word[len(core):]) if LATIN.fullmatch(text) else None
 
     def shrink(self) -> None:
         """At the end of a task: forget words met in one slice only."""
