@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from watchfold.llm import packing, simhash
+from watchfold.llm import neardup, packing, simhash
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -170,3 +170,42 @@ def test_sequences_keep_the_training_order(spark, tmp_path, monkeypatch):
         for s in sequences.values():
             assert sum(n for _, n, _ in s) <= packing.CAPACITY
         assert len(sequences) <= sum(r.length for r in got) / packing.CAPACITY + len(shards) + 1
+
+
+def _joined(n, pairs):
+    low = list(range(n))
+    for i, j in pairs:
+        a, b = low[i], low[j]
+        low = [min(a, b) if x in (a, b) else x for x in low]
+    return low
+
+
+@pytest.mark.parametrize("two_blocks", [False, True])
+def test_linked_rows_join_the_parts_that_all_near_pairs_join(two_blocks):
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        base = [rng.choice(60, rng.integers(0, 40), replace=False) for _ in range(3)]
+        sets = [np.unique(np.r_[b[rng.random(len(b)) > 0.08], rng.choice(1000, rng.integers(0, 4))]).astype("i8") for b in (base[k] for k in rng.integers(0, 3, rng.integers(1, 30)))]
+        n, starts = len(sets), np.r_[0, np.cumsum([len(s) for s in sets])]
+        block = rng.integers(0, 2, n) if two_blocks else np.zeros(n, int)
+        meet = lambda i, j: len(set(block)) < 2 or block[i] != block[j]
+        near = [(i, j) for i in range(n) for j in range(i + 1, n) if meet(i, j) and len(np.intersect1d(sets[i], sets[j])) >= max(1, 0.8 * len(np.union1d(sets[i], sets[j])))]
+        left, right = neardup.near_rows(np.concatenate(sets), starts, np.arange(n), block, 0.8)
+        assert _joined(n, zip(left, right)) == _joined(n, near) and set(zip(left, right)) <= set(near)
+
+
+@pytest.mark.parametrize("room", [60, 1 << 19])
+def test_open_keys_are_linked_alike_in_blocks_of_any_size(spark, room):
+    """One key with 90 texts that share a passage: some near copies, most not; a second key with the same members and one without open parts."""
+    rng = np.random.default_rng(3)
+    shared, sets = np.arange(20), {}
+    for node in range(90):
+        own = rng.integers(100, 1 << 40, 15) if node % 3 else np.arange(15) + 1000 * (node % 9 + 1)
+        sets[node] = np.unique(np.r_[shared, own[rng.random(15) > 0.05]])
+    rows = [(key, node, len(s), node) for key in (7, 8) for node, s in sets.items()] + [(9, 0, 5, 0), (9, 3, 5, 0)]
+    members = spark.createDataFrame(rows, "key long, node long, size long, part long")
+    held = spark.createDataFrame([(n, s.tolist()) for n, s in sets.items()], "node long, set array<long>")
+    found = neardup.run_links(members, held, 0.8, room).collect()
+    near = [(i, j) for i in sets for j in sets if i < j and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert near and _joined(90, found) == _joined(90, near)
+    assert neardup.run_links(members.limit(0), held, 0.8, room).count() == 0
