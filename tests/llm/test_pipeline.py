@@ -144,6 +144,33 @@ def test_near_dedup_stage_drops_near_copies(spark):
     assert got == {i for i, c in want.items() if i == c}
 
 
+def test_near_dedup_keeps_different_texts_of_one_doc_id(spark):
+    """Shared, null and repeated doc_ids, null, empty and very long texts, and a column named as the operator's own."""
+    words = [f"w{n}" for n in range(300)]
+    copy, other, long = " ".join([*words[:299], "end"]), " ".join(f"x{n}" for n in range(300)), " ".join(f"y{n}" for n in range(200_000))
+    rows = [(1, " ".join(words), 0), (2, copy, 0), (2, other, 0), (2, other, 0), (2, other.upper(), 0), (3, "lone text", 0), (3, "another one", 0),
+            (4, None, 0), (5, "", 0), (6, " \t", 0), (7, long, 0), (8, long + " more", 0), (None, other, 0), (None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __place int")
+    for similarity in (0.8, 0.9):
+        got = neardup.deduplicated(docs.repartition(4), similarity)
+        assert got.columns == docs.columns
+        kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+        doc2 = [x for x in kept if x[0] == 2]
+        assert len(doc2) == 1 and doc2[0][1].lower() == other  # the near copy of 1 goes, the unique text stays
+        assert sorted((x for x in kept if x[0] != 2), key=repr) == sorted([rows[0][:2], rows[5][:2], rows[6][:2], rows[7][:2], rows[10][:2], rows[12][:2], rows[13][:2]], key=repr)
+
+
+def test_near_dedup_of_many_near_copies_and_of_one_key_of_unrelated_texts(spark):
+    """2,000 near copies of one text keep one; 2,000 short texts with a common passage, too little to be near, all stay."""
+    rnd = random.Random(8)
+    base = [f"b{n}" for n in range(120)]
+    passage = [f"p{n}" for n in range(30)]
+    rows = [(k, " ".join([*base, f"tail{k}"])) for k in range(2000)]
+    rows += [(10_000 + k, " ".join([*passage, *(f"u{rnd.randrange(10 ** 9)}" for _ in range(20))])) for k in range(2000)]
+    got = {r.doc_id for r in neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {0, *range(10_000, 12_000)}
+
+
 def test_sequences_keep_the_training_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(packing, "ORDERED_SEQUENCES", 4)
     rnd = random.Random(3)
