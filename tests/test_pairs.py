@@ -190,6 +190,20 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {i: d for i, d in want.items() if d <= 6} and got
 
 
+def test_finer_hash_blocks_give_far_fewer_candidates_and_lose_none(spark):
+    rng = np.random.default_rng(4)
+    base = [int(x) for x in rng.integers(-2 ** 63, 2 ** 63 - 1, 3000)]
+    # differing bits spread over as many blocks as they can reach, and the sign bit among them
+    spread = [h ^ sum(1 << b for b in (0, 7, 14, 21, 28, 35)) for h in base[:20]] + [int(np.int64(h) ^ np.int64(-2 ** 63)) for h in base[20:40]]
+    mk = lambda rows: spark.createDataFrame(list(enumerate(rows)) + [(10 ** 6, None)], "id long, phash long")
+    left, right = mk(spread + [int(x) for x in rng.integers(-2 ** 63, 2 ** 63 - 1, 3000)]), mk(base)
+    n = {b: P.hash_candidates(left, right, 6, "phash", b).select("left_hash", "right_hash").distinct().count() for b in (8, 10)}
+    assert n[10] >= 40 and (n[10] - 40) * 20 < n[8] - 40
+    found = {b: sorted(P.near_duplicates(left, right, 6, "phash", b).collect()) for b in (8, 10)}
+    assert found[8] == found[10] and {r.id: (r.distance, r.nearest_id) for r in found[10]} == {k: (6 if k < 20 else 1, k) for k in range(40)}
+    assert P.near_duplicates(left.limit(0), right).count() == 0
+
+
 def test_posterior_by_hand_and_with_a_missing_factor(spark):
     df = spark.createDataFrame([("LE_5_MIN", "SAME_ZONE", "KNOWN", "BOTH_STRONG"), ("GT_60_MIN", "UNRELATED", "UNLIKELY", None)], "TimeGap string, Topology string, DomainMechanism string, EvidenceStrength string")
     a, b = [r.p for r in df.select(bayes.posterior().alias("p")).collect()]

@@ -12,6 +12,7 @@ from watchfold.operators.bandjoin import band_join, side, time_cell
 from watchfold.operators.matching import greedy_one_to_one
 
 WINDOW_US = 900 * 1_000_000
+HASH_BLOCKS = 10
 # Kind combinations with a dedicated matcher.
 SPECIALIZED = [("environment", "maintenance"), ("face", "ppe"), ("face", "ssh")]
 
@@ -161,23 +162,32 @@ def without_cleared(pairs: DataFrame, cleared: DataFrame) -> DataFrame:
     return pairs
 
 
-def near_duplicates(left: DataFrame, right: DataFrame, limit: int = 6, hash_column: str = "phash") -> DataFrame:
-    """Smallest Hamming distance <= limit between 64-bit hashes of two collections, nearest match kept.
+def hash_candidates(left: DataFrame, right: DataFrame, limit: int = 6, hash_column: str = "phash", blocks: int = HASH_BLOCKS) -> DataFrame:
+    """(left_hash, right_hash, right_id): distinct 64-bit hashes that agree on all of some choice of blocks, among them all pairs within `limit` bits.
 
-    A hash has eight bytes, and two hashes within `limit` bits agree on at least 8 - limit of them, so candidates come
-    from equi joins on every choice of that many bytes (28 choices of two for the default: 65,536 values each, far
-    fewer chance meetings than one byte gives). Equal hashes are collapsed before the join, so a hot hash costs one row per side and choice.
+    A hash is cut into `blocks` blocks of nearly equal length. Within `limit` differing bits at least blocks - limit of them are equal, so
+    that every choice of that many blocks is one equi join. More blocks give longer keys: for limit 6, 10 blocks give 210 keys of 24 to 28 bits
+    (about 4 chance meetings for a million pairs), 8 blocks 28 keys of 16 bits (about 430), for 7.5 times as many rows. A pair may come more than once.
+    Equal hashes are collapsed first, so a hot hash costs one row per side and key.
     """
-    if not 0 <= limit < 8:
-        raise ValueError("limit must be between 0 and 7 bits")
-    h = F.col(hash_column)
-    masks = [sum(0xFF << 8 * b for b in chosen) for chosen in combinations(range(8), 8 - limit)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), h.bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed)])
-    def distinct(df, name):
-        d = df.groupBy(hash_column).agg(F.min("id").alias(f"{name}_id"))
-        return d.select(h.alias(f"{name}_hash"), f"{name}_id", F.explode(bands).alias("b")).select(f"{name}_hash", f"{name}_id", "b.band", "b.v")
-    cand = distinct(left, "left").join(distinct(right, "right"), ["band", "v"])
+    if not 0 <= limit < blocks <= 64:
+        raise ValueError("limit must be between 0 and blocks - 1, blocks at most 64")
+    h, edges = F.col(hash_column), [64 * k // blocks for k in range(blocks + 1)]
+    parts = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:])]
+    masks = [sum(chosen) for chosen in combinations(parts, blocks - limit)]
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        distinct = df.where(h.isNotNull()).groupBy(hash_column).agg(F.min("id").alias(f"{name}_id"))
+        dealt = distinct.select(h.alias(f"{name}_hash"), f"{name}_id", F.posexplode(signed).alias("choice", "mask"))
+        return dealt.select(f"{name}_hash", f"{name}_id", "choice", F.col(f"{name}_hash").bitwiseAND(F.col("mask")).alias("v"))
+
+    return keyed(left, "left").join(keyed(right, "right"), ["choice", "v"]).select("left_hash", "right_hash", "right_id")
+
+
+def near_duplicates(left: DataFrame, right: DataFrame, limit: int = 6, hash_column: str = "phash", blocks: int = HASH_BLOCKS) -> DataFrame:
+    """Smallest Hamming distance <= limit between 64-bit hashes of two collections, nearest match kept (ties: smallest id)."""
+    cand = hash_candidates(left, right, limit, hash_column, blocks)
     dist = F.bit_count(F.col("left_hash").bitwiseXOR(F.col("right_hash")))
     best = (cand.withColumn("distance", dist).where(F.col("distance") <= limit).groupBy("left_hash")
             .agg(F.min(F.struct("distance", "right_id")).alias("m")))

@@ -97,6 +97,55 @@ def topology_tree_edges(spark, sf):
     return G.flatten_tree(spark.read.schema(G.TREE).json(path))["edges"]
 
 
+PART_IDS = 1000  # a site document lists devices of a range of so many ids, so that none grows with the site
+
+WHOLE_TREE = """WITH z AS (SELECT n_nationkey AS k, 'N' || n_nationkey AS zone, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+ servers AS (SELECT 'S' || c_custkey AS server, 'K-' || c_nationkey || '-' || c_mktsegment AS rack, zone FROM customer JOIN z ON c_nationkey = k),
+ devices AS (SELECT s_suppkey AS d, zone FROM supplier JOIN z ON s_nationkey = k)
+ SELECT 'Zone' AS src_type, zone AS src, 'PART_OF' AS rel, 'DataCenter' AS dst_type, r_name AS dst FROM z
+ UNION ALL SELECT DISTINCT 'Rack', rack, 'LOCATED_IN', 'Zone', zone FROM servers
+ UNION ALL SELECT 'Server', server, 'LOCATED_IN', 'Rack', rack FROM servers
+ UNION ALL SELECT 'Equipment', 'EQUIPMENT' || d, 'LOCATED_IN', 'Zone', zone FROM devices
+ UNION ALL SELECT 'Camera', 'CAMERA' || d, 'MONITORS', 'Target', zone FROM devices
+ UNION ALL SELECT 'Camera', 'CAMERA' || d, 'MONITORS', 'Target', 'EQUIPMENT' || d FROM devices
+ UNION ALL SELECT 'Sensor', 'SENSOR' || d, 'MONITORS', 'Target', 'EQUIPMENT' || d FROM devices
+ UNION ALL SELECT 'Person', 'P' || c_custkey, 'AUTHORIZED_FOR', 'Zone', zone FROM customer JOIN z ON c_nationkey = k WHERE c_acctbal > 0"""
+
+
+@query("topology_whole_tree", WHOLE_TREE)
+def topology_whole_tree(spark, sf):
+    """Every branch of the site: zones, racks with all servers, cameras, sensors, equipment, people with their grants.
+
+    The site is written as many documents, each with a bounded part of one zone, and read back as JSON lines: no task holds a
+    whole zone. Parts name their zone and rack again, so edges are made distinct.
+    """
+    name = lambda prefix, key: F.concat(F.lit(prefix), F.col(key))
+    part = lambda key: F.floor(F.col(key) / PART_IDS).alias("part")
+    zones = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    c = load(spark, sf, "customer").join(zones, F.col("c_nationkey") == F.col("n_nationkey"))
+    s = load(spark, sf, "supplier").join(zones, F.col("s_nationkey") == F.col("n_nationkey"))
+
+    def documents(rows, *lists):
+        zone = F.struct(name("N", "n_nationkey").alias("zone_id"), F.lit("HIGH").alias("criticality"), *lists)
+        return rows.select(F.to_json(F.struct(F.struct(F.col("r_name").alias("data_center_id"), F.array(zone).alias("zones")).alias("data_center"))).alias("value"))
+
+    server = F.struct(name("S", "c_custkey").alias("server_id"), F.lit("HIGH").alias("criticality"))
+    rack_parts = c.groupBy("r_name", "n_nationkey", "c_mktsegment", part("c_custkey")).agg(F.collect_list(server).alias("servers"))
+    rack = F.struct(F.concat(F.lit("K-"), "n_nationkey", F.lit("-"), "c_mktsegment").alias("rack_id"), "servers")
+    equipment = name("EQUIPMENT", "s_suppkey")
+    device_parts = s.groupBy("r_name", "n_nationkey", part("s_suppkey")).agg(
+        F.collect_list(F.struct(name("CAMERA", "s_suppkey").alias("camera_id"), F.array(name("N", "n_nationkey"), equipment).alias("monitors"))).alias("cameras"),
+        F.collect_list(F.struct(name("SENSOR", "s_suppkey").alias("sensor_id"), F.array(equipment).alias("monitors"))).alias("sensors"),
+        F.collect_list(F.struct(equipment.alias("equipment_id"))).alias("equipment"))
+    granted = F.when(F.col("c_acctbal") > 0, F.array(name("N", "c_nationkey"))).otherwise(F.array().cast("array<string>"))
+    person = F.struct(name("P", "c_custkey").alias("person_id"), F.lit("STAFF").alias("role"), granted.alias("authorized_zones"))
+    people_parts = c.groupBy(part("c_custkey")).agg(F.collect_list(person).alias("people")).select(F.to_json(F.struct("people")).alias("value"))
+    path = scratch_path(spark, "whole_tree")
+    (documents(zones).unionByName(documents(rack_parts, F.array(rack).alias("racks"))).unionByName(documents(device_parts, "cameras", "sensors", "equipment"))
+     .unionByName(people_parts).write.text(path))
+    return G.flatten_tree(G.read_tree(spark, path, lines=True))["edges"].distinct()
+
+
 @query("union_of_event_kinds", "SELECT kind, count(*) AS n FROM (SELECT 'order' AS kind FROM orders UNION ALL SELECT 'event' FROM events UNION ALL SELECT 'document' FROM documents) GROUP BY 1")
 def union_of_event_kinds(spark, sf):
     part = lambda t, k, key: load(spark, sf, t).select(F.lit(k).alias("kind"), F.col(key).alias("key"))

@@ -12,8 +12,12 @@ TREE = """data_center STRUCT<data_center_id: STRING, zones: ARRAY<STRUCT<zone_id
  people ARRAY<STRUCT<person_id: STRING, role: STRING, authorized_zones: ARRAY<STRING>>>"""
 
 
-def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TREE).option("multiLine", True).json(path)
+def read_tree(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Site documents: one for each file or, with `lines`, one for each line, which lets Spark split the files.
+
+    Several documents may describe parts of one site; a data center or zone is named again in each of them.
+    """
+    return spark.read.schema(TREE).option("multiLine", not lines).json(path)
 
 
 def flatten_tree(tree: DataFrame) -> dict[str, DataFrame]:
@@ -28,7 +32,7 @@ def flatten_tree(tree: DataFrame) -> dict[str, DataFrame]:
     edge = lambda df, st, s, rel, dt, d: df.select(F.lit(st).alias("src_type"), F.col(s).alias("src"), F.lit(rel).alias("rel"), F.lit(dt).alias("dst_type"), F.col(d).alias("dst"))
     watch = lambda df, key: df.select(key, F.explode("x.monitors").alias("target"))
     edges = reduce(DataFrame.unionByName, [
-        edge(zones, "Zone", "zone_id", "PART_OF", "DataCenter", "data_center_id"), edge(racks, "Rack", "rack_id", "LOCATED_IN", "Zone", "zone_id"),
+        edge(zones.where("zone_id IS NOT NULL"), "Zone", "zone_id", "PART_OF", "DataCenter", "data_center_id"), edge(racks, "Rack", "rack_id", "LOCATED_IN", "Zone", "zone_id"),
         edge(servers, "Server", "server_id", "LOCATED_IN", "Rack", "rack_id"), edge(equipment, "Equipment", "equipment_id", "LOCATED_IN", "Zone", "zone_id"),
         edge(watch(cameras, "camera_id"), "Camera", "camera_id", "MONITORS", "Target", "target"), edge(watch(sensors, "sensor_id"), "Sensor", "sensor_id", "MONITORS", "Target", "target"),
         edge(people.select("person_id", F.explode("authorized_zones").alias("zone_id")), "Person", "person_id", "AUTHORIZED_FOR", "Zone", "zone_id")])
