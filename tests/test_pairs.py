@@ -3,7 +3,7 @@
 import hashlib
 import itertools
 import random
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import numpy as np
 import pytest
@@ -271,3 +271,21 @@ def test_tightest_times_grow_with_times_not_with_their_square(spark):
     found = S.tightest_times(members).agg(F.count(F.lit(1)), F.min("spread_seconds"), F.max("spread_seconds")).first()
     # 20,000 members times 40,000 anchors would be 8e8 rows
     assert found[0] == 20_000 and found[1] == found[2] <= 100_000
+
+
+def test_period_bounds_and_places_by_score(spark):
+    from watchfold.operators import assess, drives as D
+
+    day = date.fromisoformat
+    rows = [("p1", day("2020-01-01"), "NORMAL", 0, None), ("p1", day("2020-03-31"), "AT_RISK", 1, 7), ("p2", day("2020-04-01"), "CENSORED", 1, None), ("p2", day("2020-07-01"), "AT_RISK", 1, 8),
+            ("p2", day("2020-06-30"), "NORMAL", None, None), ("p9", day("1999-01-01"), "NORMAL", 0, None)]
+    labelled = spark.createDataFrame(rows, "period string, date date, label_state string, target int, days_until_failure int")
+    bounds = spark.createDataFrame([("p1", day("2020-01-01"), day("2020-03-31")), ("p2", day("2020-04-01"), day("2020-06-30")), ("p3", day("2020-07-01"), day("2020-09-30"))], "period string, start_date date, end_date date")
+    got = {r.period: r for r in D.period_integrity(labelled, bounds, 7).collect()}
+    assert {p: r.status for p, r in got.items()} == {"p1": "PASS", "p2": "FAIL", "p3": "FAIL"} and got["p3"].rows == 0 and got["p3"].first_date is None
+    assert (got["p2"].rows_out_of_bounds, got["p2"].unlabelled_with_target, got["p2"].positive_outside_horizon, got["p2"].normal_with_other_target) == (1, 1, 1, 1)
+    scores = [("a", 3.0), ("a", 5.0), ("a", 5.0), ("a", 1.0), ("b", 2.0), ("b", None), (None, 4.0)]
+    placed = assess.placed_by_score(spark.createDataFrame(scores, "g string, s double"), "g", "s")
+    assert sorted(((r.g, r.s, r.place) for r in placed.collect()), key=str) == sorted(
+        [("a", 3.0, 3), ("a", 5.0, 1), ("a", 5.0, 1), ("a", 1.0, 4), ("b", 2.0, 1), ("b", None, None), (None, 4.0, None)], key=str)
+    assert assess.placed_by_score(spark.createDataFrame([], "g string, s double"), "g", "s").count() == 0

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from watchfold.operators.ranks import cumulative
+
 # Rule thresholds of the window detector.
 FAILED_LOGIN_THRESHOLD, UNIQUE_USERS_THRESHOLD, ROOT_MIN_FAILURES, ROOT_RATIO_THRESHOLD = 10, 5, 5, 0.80
 # Sensor limits (all exclusive).
@@ -163,3 +165,13 @@ def face_state(recognition: Column, zone_authorization: Column) -> Column:
     return (F.when(recognition == "UNKNOWN", "UNKNOWN_PERSON")
             .when((recognition == "RECOGNIZED") & (zone_authorization == "UNAUTHORIZED"), "UNAUTHORIZED")
             .otherwise(recognition))
+
+
+def placed_by_score(rows: DataFrame, group: str, score: str) -> DataFrame:
+    """`rows` with `place`: one more than the number of rows of the same group with a greater score. Rows without a score or group have none.
+
+    Scores are counted per distinct value and cumulated in ranges, so no task holds a whole group.
+    """
+    at = cumulative(rows.where(F.col(score).isNotNull()), [group], score, {"__n": F.count(F.lit(1))})
+    places = at.select(F.col(group).alias("__group"), F.col(score).alias("__score"), (F.col("__n_total") - F.col("__n_cum") + 1).alias("place"))
+    return rows.join(places, (F.col(group) == F.col("__group")) & (F.col(score) == F.col("__score")), "left").drop("__group", "__score")

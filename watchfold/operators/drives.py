@@ -209,6 +209,26 @@ def split_integrity(labelled: DataFrame, horizon: int) -> DataFrame:
     return one.unpivot([], list(rules), "rule", "violations").withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
 
 
+def period_integrity(labelled: DataFrame, bounds: DataFrame, horizon: int) -> DataFrame:
+    """One row for each expected period (period, start_date, end_date): rows, first and last date, violations, PASS or FAIL.
+
+    A period passes when its rows begin and end on its bounds, none lies outside, only NORMAL and AT_RISK rows have a target, and
+    positives are 1 to `horizon` days before the failure. A period without rows fails.
+    """
+    state, target = F.col("label_state"), F.col("target")
+    rules = {
+        "rows_out_of_bounds": ~F.col("date").between(F.col("start_date"), F.col("end_date")),
+        "unlabelled_with_target": state.isin("FAILURE_DAY", "CENSORED", "POST_FAILURE") & target.isNotNull(),
+        "positive_outside_horizon": (state == "AT_RISK") & ~F.coalesce((target == 1) & F.col("days_until_failure").between(1, horizon), F.lit(False)),
+        "normal_with_other_target": (state == "NORMAL") & ~F.coalesce(target == 0, F.lit(False)),
+    }
+    rows = labelled.select("period", "date", "label_state", "target", "days_until_failure").join(bounds, "period")
+    sums = rows.groupBy("period").agg(F.count("date").alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), *[F.count_if(c).alias(n) for n, c in rules.items()])
+    g = bounds.join(sums, "period", "left").na.fill(0, ["rows", *rules])
+    sound = (F.col("first_date") == F.col("start_date")) & (F.col("last_date") == F.col("end_date")) & (reduce(lambda a, b: a + b, [F.col(n) for n in rules]) == 0)
+    return g.withColumn("status", F.when(sound, "PASS").otherwise("FAIL"))
+
+
 def drive_history_contract(days: DataFrame, columns: list[str], minimum: int = 8, maximum: int = 10000) -> DataFrame:
     """Errors per drive: row count, unique dates, finite and non-negative values."""
     bad = reduce(lambda a, b: a | b, [(F.col(c) < 0) | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c)) == float("inf")) for c in columns])

@@ -229,6 +229,16 @@ def disagreement_rows(spark, sf):
             .select("source_ip", secs("window_start"), "agreement", "failed_login_count"))
 
 
+@query("single_detector_rows", VOTED_SQL + """, own AS (SELECT source_ip, window_start_s, combination, (CASE combination WHEN 'RULE' THEN rule_score WHEN 'IF' THEN unique_users ELSE failed_login_count END)::DOUBLE AS score
+ FROM assessed WHERE combination IN ('RULE', 'IF', 'AE')) SELECT *, rank() OVER (PARTITION BY combination ORDER BY score DESC) AS place FROM own""")
+def single_detector_rows(spark, sf):
+    """Rows that only one detector flags, each placed by that detector's own score, the strongest first."""
+    fused = assess.fuse_votes(voted(spark, sf)).where(F.col("combination").isin("RULE", "IF", "AE"))
+    score = F.when(F.col("combination") == "RULE", F.col("rule_score")).when(F.col("combination") == "IF", F.col("unique_users")).otherwise(F.col("failed_login_count"))
+    own = fused.select("source_ip", secs("window_start"), "combination", score.cast("double").alias("score"))
+    return assess.placed_by_score(own, "combination", "score").orderBy("combination", "place", "source_ip", "window_start_s")
+
+
 @query("prediction_crosstab", VOTED_SQL + """ SELECT coalesce(rule_prediction, 'All') AS rule_prediction, coalesce(if_prediction, 'All') AS if_prediction, count(*) AS n
  FROM voted GROUP BY CUBE (rule_prediction, if_prediction)""")
 def prediction_crosstab(spark, sf):

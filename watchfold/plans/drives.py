@@ -13,16 +13,21 @@ from watchfold.sources.tables import load
 END, HORIZON = "2001-08-01", 200
 PERIODS = [f"{y}H{h}" for y in range(1995, 2002) for h in (1, 2)]
 
-LABEL_SQL = "WITH " + B.ENTITY_DAYS_SQL + f""", reg AS (SELECT serial_number, min(date) AS failure_date, arg_min(model, date) AS failure_model FROM days WHERE failure = 1 GROUP BY 1),
+
+def label_sql(horizon: int) -> str:
+    return "WITH " + B.ENTITY_DAYS_SQL + f""", reg AS (SELECT serial_number, min(date) AS failure_date, arg_min(model, date) AS failure_model FROM days WHERE failure = 1 GROUP BY 1),
 lab0 AS (SELECT days.*, failure_date, CAST(failure_date - date AS INT) AS days_until_failure FROM days LEFT JOIN reg USING (serial_number)),
-lab1 AS (SELECT *, CASE WHEN days_until_failure < 0 THEN 'POST_FAILURE' WHEN days_until_failure = 0 THEN 'FAILURE_DAY' WHEN days_until_failure BETWEEN 1 AND {HORIZON} THEN 'AT_RISK'
- WHEN date > DATE '{END}' - {HORIZON} THEN 'CENSORED' ELSE 'NORMAL' END AS label_state FROM lab0),
+lab1 AS (SELECT *, CASE WHEN days_until_failure < 0 THEN 'POST_FAILURE' WHEN days_until_failure = 0 THEN 'FAILURE_DAY' WHEN days_until_failure BETWEEN 1 AND {horizon} THEN 'AT_RISK'
+ WHEN date > DATE '{END}' - {horizon} THEN 'CENSORED' ELSE 'NORMAL' END AS label_state FROM lab0),
 lab AS (SELECT *, CASE label_state WHEN 'NORMAL' THEN 0 WHEN 'AT_RISK' THEN 1 END AS target FROM lab1)"""
 
 
-def labelled(spark, sf):
+LABEL_SQL = label_sql(HORIZON)
+
+
+def labelled(spark, sf, horizon=HORIZON):
     days = B.entity_days(spark, sf)
-    return D.label_drive_days(days, D.failure_registry(days), END, HORIZON)
+    return D.label_drive_days(days, D.failure_registry(days), END, horizon)
 
 
 def d(name):
@@ -48,6 +53,25 @@ def label_split_integrity(spark, sf):
     return D.split_integrity(labelled(spark, sf), HORIZON)
 
 
+WEEK = 7
+PERIOD_BOUNDS = [(p, f"{p[:4]}-{'01-01' if p[5] == '1' else '07-01'}", f"{p[:4]}-{'06-30' if p[5] == '1' else '12-31'}") for p in PERIODS]
+
+
+@query("split_period_bounds", label_sql(WEEK) + f""", bounds(period, start_date, end_date) AS (VALUES {", ".join(f"('{p}', DATE '{a}', DATE '{b}')" for p, a, b in PERIOD_BOUNDS)}),
+ g AS (SELECT period, start_date, end_date, count(date) AS rows, min(date) AS first_date, max(date) AS last_date, count(*) FILTER (date NOT BETWEEN start_date AND end_date) AS rows_out_of_bounds,
+  count(*) FILTER (label_state IN ('FAILURE_DAY','CENSORED','POST_FAILURE') AND target IS NOT NULL) AS unlabelled_with_target,
+  count(*) FILTER (label_state = 'AT_RISK' AND NOT coalesce(target = 1 AND days_until_failure BETWEEN 1 AND {WEEK}, false)) AS positive_outside_horizon,
+  count(*) FILTER (label_state = 'NORMAL' AND NOT coalesce(target = 0, false)) AS normal_with_other_target FROM bounds LEFT JOIN lab USING (period) GROUP BY ALL)
+ SELECT g.* REPLACE (strftime(start_date, '%Y-%m-%d') AS start_date, strftime(end_date, '%Y-%m-%d') AS end_date, strftime(first_date, '%Y-%m-%d') AS first_date, strftime(last_date, '%Y-%m-%d') AS last_date),
+  CASE WHEN g.first_date = g.start_date AND g.last_date = g.end_date AND rows_out_of_bounds + unlabelled_with_target + positive_outside_horizon + normal_with_other_target = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM g""")
+def split_period_bounds(spark, sf):
+    """Every half-year at the surveyed horizon of seven days, against the bounds that its name states."""
+    bounds = spark.createDataFrame(PERIOD_BOUNDS, "period string, a string, b string").select("period", F.to_date("a").alias("start_date"), F.to_date("b").alias("end_date"))
+    found = D.period_integrity(labelled(spark, sf, WEEK), bounds, WEEK)
+    dates = ["start_date", "end_date", "first_date", "last_date"]
+    return found.select(*[d(c) if c in dates else c for c in found.columns])
+
+
 @query("drive_inventory", LABEL_SQL + """ SELECT model, period, count(*) AS drive_days, count(DISTINCT serial_number) AS drives, count(*) FILTER (failure = 1) AS failure_rows,
  count(DISTINCT CASE WHEN failure = 1 THEN serial_number END) AS failed_drives FROM days GROUP BY 1, 2""")
 def drive_inventory(spark, sf):

@@ -112,6 +112,22 @@ def corpus_audit(spark, sf):
     return X.audit(records(spark, sf)).drop("replacement_characters", "nul_characters")
 
 
+SPOILT = r"""(SELECT source || '-' || lang AS source, doc_id, CASE WHEN lang = 'de' AND doc_id % 7 = 0 THEN text || chr(0) WHEN lang = 'fr' AND doc_id % 5 = 0 THEN chr(65533) || text ELSE text END AS text FROM documents)"""
+
+
+@query("corpus_audit_defects", REC.replace("FROM documents", "FROM " + SPOILT) + r""", rep2 AS (SELECT document_id, count(*) AS repeated_lines FROM cnt JOIN tot USING (document_id) WHERE n >= greatest(3, floor(records * 0.2)) GROUP BY 1),
+ g AS (SELECT document_id, count(*) AS record_count, count(*) FILTER (length(text) < 80) AS short_records, count(*) FILTER (length(text) > 12000) AS long_records, count(*) - count(DISTINCT sha256(text)) AS duplicate_records,
+  sum(length(text) - length(replace(text, chr(65533), '')))::BIGINT AS replacement_characters, sum(length(text) - length(replace(text, chr(0), '')))::BIGINT AS nul_characters,
+  sum(len(regexp_extract_all(text, '[A-Za-z]-\n[A-Za-z]')))::BIGINT AS hyphen_breaks FROM rec GROUP BY 1)
+ SELECT document_id, record_count, replacement_characters, nul_characters, coalesce(repeated_lines, 0) AS repeated_lines, CASE WHEN nul_characters > 0 THEN 'FAIL'
+  WHEN short_records / record_count::DOUBLE > 0.05 OR long_records + coalesce(repeated_lines, 0) + duplicate_records + replacement_characters + hyphen_breaks > 0 THEN 'REVIEW' ELSE 'PASS' END AS status FROM g LEFT JOIN rep2 USING (document_id)""")
+def corpus_audit_defects(spark, sf):
+    """Each source and language a document; NUL and replacement characters are planted into the given texts, so that FAIL is reached."""
+    text = F.when((F.col("lang") == "de") & (F.col("doc_id") % 7 == 0), F.concat("text", F.lit("\0"))).when((F.col("lang") == "fr") & (F.col("doc_id") % 5 == 0), F.concat(F.lit("\ufffd"), "text")).otherwise(F.col("text"))
+    d = load(spark, sf, "documents").select(F.concat("source", F.lit("-"), "lang").alias("document_id"), F.col("doc_id").alias("record_id"), F.col("doc_id").alias("page"), F.col("doc_id").alias("record_order"), text.alias("text"))
+    return X.audit(d).select("document_id", "record_count", "replacement_characters", "nul_characters", "repeated_lines", "status")
+
+
 @query("paragraph_pieces", r"""WITH p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '\.\n([A-Z0-9])', '.' || chr(1) || '\1', 'g'), '\n\s*\n|' || chr(1))) AS p FROM documents), n AS (SELECT doc_id, trim(regexp_replace(p, '\s+', ' ', 'g')) AS p FROM p),
  w AS (SELECT doc_id, len(string_split(p, ' ')) AS words FROM n WHERE p <> '') SELECT doc_id, CAST(sum((words + 999) // 1000) AS BIGINT) AS units, CAST(sum(words) AS BIGINT) AS words FROM w GROUP BY 1""")
 def paragraph_pieces(spark, sf):

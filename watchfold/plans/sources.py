@@ -53,12 +53,13 @@ def full_label_scan(spark, sf):
     return df.groupBy("target").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("serial_number").alias("drives"))
 
 
-@query("daily_file_inventory", "WITH " + B.ENTITY_DAYS_SQL + " SELECT count(*) AS rows, count(DISTINCT serial_number) AS serials, count(*) FILTER (failure = 1) AS failure_rows FROM days GROUP BY period")
+@query("daily_file_inventory", "WITH " + B.ENTITY_DAYS_SQL + " SELECT period, count(*) AS rows, count(DISTINCT serial_number) AS serials, count(*) FILTER (failure = 1) AS failure_rows FROM days GROUP BY period")
 def daily_file_inventory(spark, sf):
     """One CSV file per period, inventoried by file name."""
     path = scratch_path(spark, "daily")
     B.entity_days(spark, sf).select("serial_number", "failure", "period").repartition("period").write.option("header", True).partitionBy("period").csv(path)
-    return T.file_inventory(spark, path, "serial_number", "failure").drop("file")
+    found = T.file_inventory(spark, path, "serial_number", "failure")
+    return found.select(F.regexp_extract("file", "period=([^/]+)/", 1).alias("period"), "rows", "serials", "failure_rows")
 
 
 @query("compact_extract", "WITH " + B.ENTITY_DAYS_SQL + " SELECT period, count(*) AS rows, round(sum(value), 2) AS total FROM days WHERE model IN ('MF', 'MO') GROUP BY 1")
