@@ -11,9 +11,10 @@ WATERMARK = "10 minutes"
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """File stream of one Parquet table; zone-less timestamps are declared UTC as in batch."""
+    """File stream of one Parquet table, a file or a folder of files; zone-less timestamps are declared UTC as in batch."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # a pattern, as a stream takes no path that is a single file; a folder that it matches is listed with all its files
+    df = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
     zoneless = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
