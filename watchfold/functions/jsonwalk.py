@@ -104,7 +104,8 @@ def mask_values(text: Column, key: bytes) -> Column:
     """JSON text with identifiers replaced by keyed pseudonyms at any depth.
 
     String values of identifier keys, also inside lists, become tokens of their kind. In every other string, addresses, person IDs and the
-    record's own user names of three or more characters are replaced. Keys, numbers and literals stay. Text that is not JSON gives null."""
+    record's own user names of three or more characters are replaced, as are its own addresses of four dotted numbers that are longer than an address's.
+    Keys, numbers and literals stay. Text that is not JSON gives null."""
     pattern = rf'(?s){STRING}\s*+:|{STRING}|[{{}}\[\]]|[^"{{}}\[\]]++'
 
     def kind(token):
@@ -123,15 +124,16 @@ def mask_values(text: Column, key: bytes) -> Column:
 
     start = {"stack": F.lit(""), "of": F.lit("-"), "depth": F.lit(0), "low": F.lit(False)}
 
-    def user_names(spots):
-        names = F.transform(F.filter(spots, lambda x: x["m"] == "U"), lambda x: unescaped(x["t"]))
+    def own(spots, mark):
+        names = F.transform(F.filter(spots, lambda x: x["m"] == mark), lambda x: unescaped(x["t"]))
         known = F.filter(names, lambda n: (F.length(n) > 2) & ~F.upper(n).isin("UNKNOWN", "NONE"))
         return F.array_sort(F.array_distinct(known), lambda a, b: F.length(b) - F.length(a))  # a name inside a longer one comes after it
 
-    def shown(spot, users):
+    def shown(spot, users, addresses):
         def free(content):
             whole = lambda n: F.concat(F.lit(r"\b\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b"))
-            return F.aggregate(users, ids.mask_text(key, content), lambda acc, n: F.regexp_replace(acc, whole(n), ids.pseudonym(key, "USER", n)))
+            replaced = lambda t, names, prefix: F.aggregate(names, t, lambda acc, n: F.when(acc.contains(n), F.regexp_replace(acc, whole(n), ids.pseudonym(key, prefix, n))).otherwise(acc))
+            return replaced(replaced(ids.mask_text(key, content), addresses, "IP"), users, "USER")
 
         def replaced(content):
             token = lambda prefix: ids.pseudonym(key, prefix, content)
@@ -142,7 +144,8 @@ def mask_values(text: Column, key: bytes) -> Column:
 
     def joined(value, tokens, marked):
         spots = F.zip_with(tokens, F.split(marked["marks"], ""), lambda t, m: F.struct(t.alias("t"), m.alias("m")))
-        done = let(spots, lambda sp: let(user_names(sp), lambda users: F.array_join(F.transform(sp, lambda x: shown(x, users)), "")))
+        text_of = lambda sp, users, addresses: F.array_join(F.transform(sp, lambda x: shown(x, users, addresses)), "")
+        done = let(spots, lambda sp: let(own(sp, "U"), lambda users: let(F.filter(own(sp, "I"), lambda n: n.rlike(r"^\d+(\.\d+){3}\z")), lambda addresses: text_of(sp, users, addresses))))
         return F.when(_balanced(value, tokens, marked), done)
 
     return let(text, lambda value: let(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)),
