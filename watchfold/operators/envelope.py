@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from watchfold.functions.jsonwalk import drop_keys
+from watchfold.functions.jsonwalk import drop_keys, let
 from watchfold.operators.assess import ABNORMAL_STATES, DRIVE_THRESHOLD, lookup
 
 # Vocabulary of the envelope.
@@ -106,33 +106,49 @@ def _types_ok(kind: Column, allowed: str) -> Column:
 
 
 def envelope_errors(text: Column) -> Column:
-    """All contract errors of a JSON envelope, each with its path: missing, null or mistyped keys, unknown keys, values outside their lists."""
+    """All contract errors of a JSON envelope, each with its path: missing, null or mistyped keys, unknown keys, values outside their lists.
+
+    The text is parsed into a variant once, and what several checks read is bound once: nested in every check, the parse would run some 200 times a row."""
+    found = lambda t, whole: let(_keys(t), lambda keys: F.array_compact(_errors(t, whole, keys)))
+    return let(text, lambda t: let(F.try_parse_json(t), lambda whole: found(t, whole)))
+
+
+def _keys(text: Column) -> Column:
+    return F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+
+
+def _errors(text: Column, whole: Column, keys: Column) -> Column:
+    """The outcomes of all checks in order, null for each that passes. whole: the text as a variant; keys: those of its root."""
     at = lambda path: F.get_json_object(text, "$." + path)
-    whole = F.try_parse_json(text)
-    # Null where the key is absent, VOID where it holds a JSON null.
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(whole, "$." + path, "variant"))
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    unknown = lambda present, allowed: F.size(F.array_except(present, F.array(*[F.lit(k) for k in allowed]))) > 0
+
+    def typed(path):
+        # Null where the key is absent, VOID where it holds a JSON null.
+        error = lambda kind: F.when(~_types_ok(kind, TYPES[path]), F.when(kind == "VOID", f"{path}: null").otherwise(f"{path}: wrong type"))
+        return let(F.schema_of_variant(F.try_variant_get(whole, "$." + path, "variant")), error)
+
+    def nested(name, required, allowed):
+        """Missing and unknown keys of one object, as a list."""
+        missing = lambda sub: [F.when(sub.isNotNull() & ~F.array_contains(sub, k), f"{name}.{k}: required") for k in required]
+        extra = lambda sub: F.when(unknown(F.coalesce(sub, F.array().cast("array<string>")), required + allowed), f"{name}: unexpected key")
+        return let(F.json_object_keys(at(name)), lambda sub: F.array(*missing(sub), extra(sub)))
+
     is_object = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
     errors = [F.when(~is_object, "$: not an object")]
     errors += [F.when(~F.array_contains(keys, k), f"{k}: required") for k in ROOT_REQUIRED]
-    errors.append(F.when(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in sorted(ROOT)]))) > 0, "$: unexpected key"))
-    null = lambda path: F.coalesce(kind(path) == "VOID", F.lit(False))
-    bad = lambda path: F.coalesce(~_types_ok(kind(path), TYPES[path]), F.lit(False))
-    typed = lambda path: F.when(bad(path) & null(path), f"{path}: null").when(bad(path), f"{path}: wrong type")
+    errors.append(F.when(unknown(keys, sorted(ROOT)), "$: unexpected key"))
     errors += [typed(k) for k in TYPES if "." not in k]
     errors.append(F.when(at("event_id") == "", "event_id: empty"))
     errors.append(F.when(at("event_type") == "", "event_type: empty"))
     errors.append(F.when(at("schema_version") != SCHEMA_VERSION, "schema_version: not 1.0"))
     errors.append(F.when(~at("domain").isin(*DOMAINS), "domain: not in enum"))
-    errors.append(F.when(at("timestamp").isNotNull() & F.try_to_timestamp(at("timestamp")).isNull(), "timestamp: not a date-time"))
+    errors.append(let(at("timestamp"), lambda t: F.when(t.isNotNull() & F.try_to_timestamp(t).isNull(), "timestamp: not a date-time")))
+    parts = [F.array(*errors)]
     for name, (required, allowed) in NESTED.items():
-        sub = F.json_object_keys(at(name))
-        errors += [F.when(sub.isNotNull() & ~F.array_contains(sub, k), f"{name}.{k}: required") for k in required]
-        errors.append(F.when(F.size(F.array_except(F.coalesce(sub, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in required + allowed]))) > 0, f"{name}: unexpected key"))
-        errors += [typed(f"{name}.{k}") for k in required + allowed]
-    errors.append(F.when(~at("provenance.source_type").isin(*SOURCE_TYPES), "provenance.source_type: not in enum"))
-    errors.append(F.when(~at("provenance.mapping_type").isin(*MAPPING_TYPES), "provenance.mapping_type: not in enum"))
-    return F.array_compact(F.array(*errors))
+        parts += [nested(name, required, allowed), F.array(*[typed(f"{name}.{k}") for k in required + allowed])]
+    parts.append(F.array(F.when(~at("provenance.source_type").isin(*SOURCE_TYPES), "provenance.source_type: not in enum"),
+                         F.when(~at("provenance.mapping_type").isin(*MAPPING_TYPES), "provenance.mapping_type: not in enum")))
+    return F.concat(*parts)
 
 
 def minimize(text: Column, denied: set[str] = frozenset(DENIED_KEYS)) -> Column:
