@@ -1,7 +1,7 @@
 """Near-duplicates of a corpus: five-word shingles, Jaccard similarity of at least 0.8, links checked exactly.
 
-At a Jaccard similarity of 0.8 two 64-bit SimHashes differ in about 10 bits (15 %), some pairs in 18: no choice of left-out bytes
-finds these. Candidates therefore come from MinHash: `BANDS` keys of `ROWS` minima each. A pair at similarity s shares a
+The candidates of the first pass come from the bit-sliced SimHash of `simhash`: texts of equal or near fingerprints. At a Jaccard similarity of 0.8
+two 64-bit SimHashes differ in about 10 bits (15 %), some pairs in 18: no choice of left-out bytes finds these. MinHash adds the candidates beyond that radius: `BANDS` keys of `ROWS` minima each. A pair at similarity s shares a
 key with probability 1 - (1 - s^ROWS)^BANDS, at s = 0.8 all but 5 in 1,000,000. Every link is checked on the whole shingle sets.
 
 Texts with equal shingle sets (by a 64-bit hash of the set) are one node. A key's nodes are first checked against its smallest node, one pair for each node.
@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from watchfold.llm import simhash
 from watchfold.llm.common import spread_join
 from watchfold.operators.graph import connected_components
 from watchfold.session import Scratch
@@ -61,10 +62,11 @@ def _key_batches(batches):
             part = batch.slice(at, 256)
             sets = [shingle_set(t.as_py()) for t in part.column(1).cast(pa.binary())]
             keys = pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], pa.uint64()).to_numpy().view("<i8")
+            prints = np.fromiter((simhash.fingerprint(t.as_py()) for t in part.column(1).cast(pa.binary())), "<u8", part.num_rows).view("<i8")
             bands = [band_keys(s) for s in sets]
             values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), pa.array(np.concatenate(bands), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), values],
-                                             ["doc_id", "tie", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), values],
+                                             ["doc_id", "tie", "node", "fp", "size", "bands"])
 
 
 def _set_batches(batches):
@@ -84,6 +86,17 @@ def near_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY
     return both.where(common >= similarity * (F.size("src_set") + F.size("dst_set") - common)).select("src", "dst")
 
 
+def print_pairs(prints: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """(src, dst): nodes of equal fingerprints with the smallest such node, and these smallest nodes of fingerprints with the one that spans their run. prints:
+    distinct node, fp."""
+    heads = prints.groupBy("fp").agg(F.min("node").alias("head"))
+    equal = prints.join(heads, "fp").select(F.col("node").alias("src"), F.col("head").alias("dst"))
+    links = simhash.near_links(heads.select("fp"), radius)
+    end = lambda name: heads.select(F.col("fp").alias(name), F.col("head").alias(f"{name}_node"))
+    near = links.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    return equal.unionByName(near).where("src <> dst").distinct()
+
+
 def near_rows(values: np.ndarray, starts: np.ndarray, part: np.ndarray, block: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
     """Rows (i, j) that link the parts as all near pairs of rows do, one link for each union of parts.
 
@@ -159,7 +172,7 @@ def _labelled(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
     scratch = Scratch(docs.sparkSession, "neardup")
     kind, text = docs.schema["doc_id"].dataType.simpleString(), F.col("text").cast("string")
     tied = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
-    rows = scratch.table(tied.mapInArrow(_key_batches, f"doc_id {kind}, tie long, node long, size long, bands array<long>"))
+    rows = scratch.table(tied.mapInArrow(_key_batches, f"doc_id {kind}, tie long, node long, fp long, size long, bands array<long>"))
     named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tie")))
     grouped = rows.groupBy("node").agg(named.alias("first"), F.min("tie").alias("least"), F.count(F.lit(1)).alias("n"),
                                        F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -169,11 +182,13 @@ def _labelled(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
     shared = scratch.table(dealt.join(keys, "key"))
     alike = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)  # else the sets cannot be near
     star = shared.where("node <> low.node").where(alike(F.col("size"), F.col("low.size"))).select(F.col("node").alias("src"), F.col("low.node").alias("dst")).distinct()
-    wanted = shared.select("node").distinct().join(firsts, "node").select("node", F.col("tie").alias("__tie"), "first_id")
+    simhashed = scratch.table(print_pairs(rows.select("node", "fp").distinct()))
+    ends = shared.select("node").unionByName(simhashed.select(F.explode(F.array("src", "dst")).alias("node")))
+    wanted = ends.distinct().join(firsts, "node").select("node", F.col("tie").alias("__tie"), "first_id")
     # by the text's hash as well as doc_id, which may be null or repeated
     texts = tied.join(wanted, (F.col("tie") == F.col("__tie")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
     sets = scratch.table(texts.mapInArrow(_set_batches, "node long, set array<long>").dropDuplicates(["node"]))
-    links = scratch.table(near_links(star, sets, similarity))
+    links = scratch.table(near_links(simhashed.unionByName(star).distinct(), sets, similarity))
     found = connected_components(links).withColumnRenamed("component", "part")
     members = shared.join(found, "node", "left").select("key", "node", "size", F.coalesce("part", "node").alias("part"))
     links = links.unionByName(run_links(members, sets, similarity))
