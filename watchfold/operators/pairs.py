@@ -168,7 +168,8 @@ def hash_candidates(left: DataFrame, right: DataFrame, limit: int = 6, hash_colu
     A hash is cut into `blocks` blocks of nearly equal length. Within `limit` differing bits at least blocks - limit of them are equal, so
     that every choice of that many blocks is one equi join. More blocks give longer keys: for limit 6, 10 blocks give 210 keys of 24 to 28 bits
     (about 4 chance meetings for a million pairs), 8 blocks 28 keys of 16 bits (about 430), for 7.5 times as many rows. A pair may come more than once.
-    Equal hashes are collapsed first, so a hot hash costs one row per side and key.
+    Equal hashes are collapsed first, so a hot hash costs one row per side and key. The planner does not see that a hash is dealt out many
+    times and would broadcast all its rows: a merge join keeps them in shuffled, spillable partitions.
     """
     if not 0 <= limit < blocks <= 64:
         raise ValueError("limit must be between 0 and blocks - 1, blocks at most 64")
@@ -182,7 +183,7 @@ def hash_candidates(left: DataFrame, right: DataFrame, limit: int = 6, hash_colu
         dealt = distinct.select(h.alias(f"{name}_hash"), f"{name}_id", F.posexplode(signed).alias("choice", "mask"))
         return dealt.select(f"{name}_hash", f"{name}_id", "choice", F.col(f"{name}_hash").bitwiseAND(F.col("mask")).alias("v"))
 
-    return keyed(left, "left").join(keyed(right, "right"), ["choice", "v"]).select("left_hash", "right_hash", "right_id")
+    return keyed(left, "left").join(keyed(right, "right").hint("merge"), ["choice", "v"]).select("left_hash", "right_hash", "right_id")
 
 
 def near_duplicates(left: DataFrame, right: DataFrame, limit: int = 6, hash_column: str = "phash", blocks: int = HASH_BLOCKS) -> DataFrame:
