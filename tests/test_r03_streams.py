@@ -17,3 +17,40 @@ def test_lifecycle_refuses_other_roles(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "x" * 20), (1, 1, "tool", "x" * 20)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = sorted((r["position"], r["action"], r["reason"]) for r in streaming_lifecycle(spark, str(tmp_path)).collect())
     assert got == [(0, "START_REVIEW", None), (1, None, "UNKNOWN_ACTION")]
+
+
+def test_drives_that_share_a_key_keep_their_own_history(spark, tmp_path):
+    """Numbers of one key, of the next, below zero and missing; one drive pauses, one row is late."""
+    from watchfold.streaming import stateful
+    schema, drives = "serial_number long, date string, value double", [0, 1, 63, 64, -1, None]
+    frames = [[(d, f"2024-01-{1 + 2 * i:02d}", float(i * i + 100 * (d or 7))) for i in range(9) for d in drives],
+              [(d, "2024-01-25", 5.0) for d in drives[1:]] + [(1, "2024-01-02", 9.0), (63, "2024-01-26", None), (63, "2024-01-27", 8.0)],
+              [(1, "2024-06-01", 1.0)], [(64, "2024-06-02", 2.0)]]
+    for f in frames:
+        spark.createDataFrame(f, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = SW.run_to_table(stateful.temporal_stream(stream, 60, "10 days"), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    # drive 1 comes back before its pause is known to be over
+    assert sorted((str(r["serial_number"]), r["date"]) for r in got if r["expired"]) == [("-1", "2024-01-25"), ("0", "2024-01-17"), ("63", "2024-01-27"), ("64", "2024-01-25"), ("None", "2024-01-25")]
+    assert [(r["serial_number"], r["date"], r["value"]) for r in got if r["late"]] == [(1, "2024-01-02", 9.0)]
+    at = {(r["serial_number"], r["date"]): r for r in got if not r["late"] and not r["expired"]}
+    assert len(at) == sum(map(len, frames)) - 1
+    for d in drives:
+        values = [v for f in frames[:2] for n, day, v in sorted(f, key=lambda r: r[1]) if n == d and (n, day) != (1, "2024-01-02")]
+        days = [day for f in frames[:2] for n, day, _ in sorted(f, key=lambda r: r[1]) if n == d and (n, day) != (1, "2024-01-02")]
+        for i, day in enumerate(days):
+            delta = lambda back: values[i] - values[i - back] if i >= back and None not in (values[i], values[i - back]) else None
+            seen = [v for v in values[max(0, i - 6):i + 1] if v is not None]
+            assert (at[d, day]["value_delta_1"], at[d, day]["value_delta_7"]) == (delta(1), delta(7))
+            assert at[d, day]["value_7obs_mean"] == (None if len(seen) < 2 else sum(seen) / len(seen)) or abs(at[d, day]["value_7obs_mean"] - sum(seen) / len(seen)) < 1e-9
+    assert at[1, "2024-06-01"]["value_delta_1"] == -4.0 and at[64, "2024-06-02"]["value_delta_1"] is None
+
+
+def test_a_subject_without_later_rows_leaves_the_state(spark, tmp_path):
+    from watchfold.streaming import stateful
+    schema = "subject_id long, position long, action string, actor string, is_admin boolean, resolution string, rationale string, acknowledged boolean, requested_at timestamp"
+    for subject, day in ((1, "2024-01-01"), (2, "2024-06-01"), (2, "2024-06-09")):
+        spark.createDataFrame([(subject, int(day[-2:]), "START_REVIEW", "ann", False, None, "", False)], schema.rsplit(",", 1)[0]).selectExpr("*", f"timestamp'{day}' AS requested_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = SW.run_to_table(stateful.lifecycle_stream(stream, idle_days=30), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    assert [(r["subject_id"], r["from_state"]) for r in got if r["action"] == "EXPIRED"] == [(1, "IN_REVIEW")]

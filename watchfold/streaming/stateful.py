@@ -1,7 +1,7 @@
 """Per-key stateful streams: temporal drive features and the review lifecycle.
 
-Both keep several state variables for each key in RocksDB, so state may exceed memory, and forget idle keys by
-event-time timers. (A time to live needs processing time, with which a stream that drains what is there never ends.)
+Both keep their state in RocksDB, so that it may exceed memory, and forget idle drives and subjects by event-time timers. (Spark calls
+`handleExpiredTimer` by the names of its parameters.) (A time to live needs processing time, with which a stream that drains what is there never ends.)
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from watchfold.operators.audit import ALLOWED, MIN_RATIONALE, TARGET
 
 HISTORY = 7
+DRIVES_BITS = 6
+DRIVES = 1 << DRIVES_BITS
 DAY_MS = 86_400_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TEMPORAL = ("serial_number long, date string, value double, value_delta_1 double, value_delta_7 double, value_7obs_mean double, "
@@ -65,47 +67,90 @@ class Forgetting(StatefulProcessor):
         pass
 
 
-class DriveHistory(Forgetting):
-    """State: the last seven observations, and when the drive is forgotten."""
+class DriveHistory(StatefulProcessor):
+    """State of up to DRIVES drives with neighbouring numbers: the last seven observations of each, and when it is forgotten.
+
+    A key costs some milliseconds in messages for its state, its timer and its frames, whatever it brings, and most drives bring a few rows in
+    a batch. So drives share a key; its state stays small however many drives there are, and its timer is that of the drive due first."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.observed = handle.getListState("observed", "date string, value double")
+        self.handle = handle
+        self.observed = handle.getValueState("observed", "slots array<int>, dates array<string>, values array<double>, drives array<int>, due array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        if self.overdue(timer_values):
-            yield self.forgotten(key)
-        dates, values = [], []
-        for date, value in self.observed.get():
-            dates.append(date)
-            values.append(np.nan if value is None else value)
-        rows = pd.concat(list(rows)).sort_values("date")
-        late = rows[rows["date"] <= dates[-1]] if dates else rows.iloc[:0]
-        rows = rows[rows["date"] > dates[-1]] if dates else rows
-        if len(rows):
-            series = pd.Series(values + rows["value"].tolist(), dtype="float64")
-            new = slice(len(values), None)
-            yield self.shaped(key, rows["date"], series[new], series.diff()[new], (series - series.shift(HISTORY))[new], series.rolling(HISTORY, min_periods=2).mean()[new])
-            last = zip((dates + rows["date"].tolist())[-HISTORY:], series.tolist()[-HISTORY:])
-            self.observed.put([(str(d), None if np.isnan(v) else float(v)) for d, v in last])
-            self.wake_after(int(rows["event_ms"].max()))
-        if len(late):
-            yield self.shaped(key, late["date"], late["value"], late=True)
-
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        yield self.forgotten(key)
+        slots, dates, values, due = before = self.held()
+        # Spark hands out a batch's rows before its timers
+        gone, (slots, dates, values, due) = self.without_overdue(before, timer_values)
+        yield self.shaped(key, *gone, expired=True)
+        rows = pd.concat(list(rows))
+        slot, date, value = rows["slot"].to_numpy(dtype=np.int64), rows["date"].to_numpy(dtype=object), rows["value"].to_numpy(dtype=np.float64)
+        last = np.full(DRIVES + 1, "", dtype=object)
+        last[slots] = dates  # by date, so that the last one stays
+        undated = rows["date"].isna().to_numpy()
+        late = undated | (np.where(undated, "", date) <= last[slot]).astype(bool)
+        yield self.shaped(key, slot[late], date[late], value[late], late=True)
+        came, event_ms = slot[~late], rows["event_ms"].to_numpy()[~late]
+        for one in np.unique(came).tolist():
+            due[one] = max(due.get(one, 0), int(event_ms[came == one].max()) + self.idle_ms)
+        fresh = np.repeat([False, True], [len(slots), len(came)])
+        slots, dates, values = np.append(slots, came), np.append(dates, date[~late]), np.append(values, value[~late])
+        order = np.lexsort((dates.astype(str), slots))
+        slots, dates, values, fresh = slots[order], dates[order], values[order], fresh[order]
+        place = np.arange(len(slots)) - np.searchsorted(slots, slots)
+        def back(n):
+            return np.where(place >= n, np.roll(values, n), np.nan)
+        seven = np.stack([back(n) for n in range(HISTORY)])
+        known = ~np.isnan(seven)
+        counts = known.sum(axis=0)
+        mean = np.where(counts >= 2, np.where(known, seven, 0.0).sum(axis=0) / np.maximum(counts, 1), np.nan)
+        yield self.shaped(key, *[c[fresh] for c in (slots, dates, values, values - back(1), values - back(HISTORY), mean)])
+        kept = np.searchsorted(slots, slots, "right") - np.arange(len(slots)) <= HISTORY
+        self.keep(before[-1], (slots[kept], dates[kept], values[kept], due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        before = self.held()
+        gone, after = self.without_overdue(before, timerValues)
+        self.keep(before[-1], after)
+        yield self.shaped(key, *gone, expired=True)
+
+    def held(self) -> tuple:
+        """(slots, dates, values) by slot and date, and the time of each drive's end by slot."""
+        slots, dates, values, drives, due = self.observed.get() or ([], [], [], [], [])
+        return np.array(slots, dtype=np.int64), np.array(dates, dtype=object), np.array(values, dtype=np.float64), dict(zip(drives, due))
+
+    def without_overdue(self, state: tuple, timer_values) -> tuple:
+        """(slots, last dates) of the drives whose time is over, and the state of the others."""
+        slots, dates, values, due = state
+        now = timer_values.getCurrentWatermarkInMs()
+        over = np.isin(slots, [one for one, at in due.items() if at <= now])
+        last = np.append(slots[1:] != slots[:-1], True)[:len(slots)]
+        return (slots[over & last], dates[over & last]), (slots[~over], dates[~over], values[~over], {one: at for one, at in due.items() if at > now})
+
+    def keep(self, due_before: dict, state: tuple) -> None:
+        slots, dates, values, due = state
+        first_before, first = min(due_before.values(), default=None), min(due.values(), default=None)
+        if first != first_before:
+            if first_before is not None:
+                self.handle.deleteTimer(first_before)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if due:
+            self.observed.update((slots.tolist(), dates.tolist(), [None if np.isnan(v) else v for v in values.tolist()], list(due), list(due.values())))
+        elif due_before:
+            self.observed.clear()
 
-    def forgotten(self, key) -> pd.DataFrame:
-        last = [date for date, _ in self.observed.get()][-1:]
-        self.observed.clear()
-        self.due.clear()
-        return self.shaped(key, pd.Series(last, dtype="object"), expired=True)
+    def close(self) -> None:
+        pass
 
     @staticmethod
-    def shaped(key, dates, values=None, delta_1=None, delta_7=None, mean=None, late=False, expired=False) -> pd.DataFrame:
-        column = lambda c: np.full(len(dates), np.nan) if c is None else c.to_numpy()
-        return pd.DataFrame({"serial_number": key[0], "date": dates.to_numpy(), "value": column(values), "value_delta_1": column(delta_1), "value_delta_7": column(delta_7),
-                             "value_7obs_mean": column(mean), "late": late, "expired": expired})
+    def shaped(key, slots, dates, values=None, delta_1=None, delta_7=None, mean=None, late=False, expired=False) -> pd.DataFrame:
+        column = lambda c: np.full(len(dates), np.nan) if c is None else c
+        numbers = [None if slot == DRIVES else key[0] * DRIVES + slot for slot in slots.tolist()]
+        return pd.DataFrame({"serial_number": pd.Series(numbers, dtype="Int64"), "date": pd.Series(dates, dtype="object"), "value": column(values), "value_delta_1": column(delta_1),
+                             "value_delta_7": column(delta_7), "value_7obs_mean": column(mean), "late": late, "expired": expired})
 
 
 def temporal_stream(days: DataFrame, idle_days: int = 365, watermark: str = "30 days") -> DataFrame:
@@ -117,9 +162,12 @@ def temporal_stream(days: DataFrame, idle_days: int = 365, watermark: str = "30
     watermark is that far past its last date; a row with expired = true and that date says so, and a later row begins a new history."""
     use_rocksdb(days.sparkSession)
     day = F.to_timestamp(F.substring("date", 1, 10), "yyyy-MM-dd")
-    timed = days.select("serial_number", "date", "value", day.alias("event_time")).withWatermark("event_time", watermark)
+    # neighbours share a key; a missing number has a slot of its own
+    number = F.col("serial_number").cast("long")
+    keyed = [F.coalesce(F.shiftright(number, DRIVES_BITS), F.lit(0)).alias("drives"), F.coalesce(F.pmod(number, F.lit(DRIVES)), F.lit(DRIVES)).cast("int").alias("slot")]
+    timed = days.select(*keyed, "date", "value", day.alias("event_time")).withWatermark("event_time", watermark)
     timed = timed.withColumn("event_ms", F.unix_millis("event_time"))
-    return timed.groupBy("serial_number").transformWithStateInPandas(DriveHistory(idle_days * DAY_MS), TEMPORAL, "Append", "EventTime")
+    return timed.groupBy("drives").transformWithStateInPandas(DriveHistory(idle_days * DAY_MS), TEMPORAL, "Append", "EventTime")
 
 
 class ReviewState(Forgetting):
@@ -171,7 +219,7 @@ class ReviewState(Forgetting):
                 self.wake_after(int(rows["event_ms"].max()))
         yield pd.DataFrame(out, columns=self.COLUMNS)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self.forgotten(key)
 
     def forgotten(self, key) -> pd.DataFrame:
