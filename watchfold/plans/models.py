@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from watchfold.operators import drives as D, ml, validate as V
 from watchfold.plans import bindings as B
 from watchfold.plans.auth import features, r6, secs
-from watchfold.plans.drives import HORIZON, END, labelled
+from watchfold.plans.drives import HORIZON, END
 from watchfold.plans.registry import query
 from watchfold.session import materialize
 
@@ -59,14 +59,16 @@ TEMPORAL = ["value", "value_delta_1", "value_delta_7", "value_7obs_mean", "value
 
 
 def drive_rows(spark, sf):
-    f = D.temporal_features(B.entity_days(spark, sf), ["value"], "value", ["value"])
-    lab = labelled(spark, sf).select("serial_number", "date", "target")
-    return materialize(f.join(lab, ["serial_number", "date"]).where("target IS NOT NULL"), "drive_rows")
+    days = materialize(B.entity_days(spark, sf), "drive_days")  # read by the features, their block sizes and the registry
+    f = D.temporal_features(days, ["value"], "value", ["value"])
+    lab = D.label_drive_days(f, D.failure_registry(days), END, HORIZON)
+    return materialize(lab.where("target IS NOT NULL").select("serial_number", "date", "period", "model", "target", *TEMPORAL), "drive_rows")
 
 
 def fitted(spark, sf, pipeline):
     rows = drive_rows(spark, sf)
-    train = D.downsample_negatives(rows.where("period < '1999H1'"), 10)
+    # written once: a fit makes a pass for each imputed, indexed and sampled column, and would sample anew for each
+    train = materialize(D.downsample_negatives(rows.where("period < '1999H1'"), 10).select("target", "model", *TEMPORAL), "train")
     return ml.fit_and_store(pipeline, train), rows
 
 
