@@ -54,3 +54,19 @@ def test_a_subject_without_later_rows_leaves_the_state(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = SW.run_to_table(stateful.lifecycle_stream(stream, idle_days=30), str(tmp_path / "out"), str(tmp_path / "state")).collect()
     assert [(r["subject_id"], r["from_state"]) for r in got if r["action"] == "EXPIRED"] == [(1, "IN_REVIEW")]
+
+
+def test_interval_join_meets_by_time_cell(spark, tmp_path):
+    """All pairs within the interval, each once, also over the ends of cells."""
+    from datetime import datetime, timedelta, timezone
+    seconds = 10
+    width = SW.CELL_SPANS * seconds
+    start = datetime.fromtimestamp(20_000_000 * width, timezone.utc)
+    rows = [(zone, kind, f"{kind}{t}", start + timedelta(seconds=t)) for zone in ("a", "b") for kind, step in (("maintenance", 7), ("ssh", 5)) for t in range(-width - 21, 2 * width + 21, step)]
+    spark.createDataFrame(rows, "zone_id string, kind string, id string, ts timestamp").write.parquet(str(tmp_path / "nodes.parquet"))
+    view = lambda: SW.read_table_stream(spark, str(tmp_path), "nodes")
+    joined = SW.interval_join(view(), view(), seconds)
+    assert "left_cell" in joined._jdf.queryExecution().analyzed().toString()
+    got = [(r["left_zone_id"], r["left_id"], r["right_id"]) for r in SW.run_to_table(joined, str(tmp_path / "out"), str(tmp_path / "state")).collect()]
+    want = [(a[0], a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and (a[1], b[1]) == ("maintenance", "ssh") and abs((a[3] - b[3]).total_seconds()) <= seconds]
+    assert sorted(got) == sorted(want)
