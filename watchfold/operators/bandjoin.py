@@ -26,8 +26,9 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_us: str,
     l = left.withColumn("__cell", cell(left_us))
     r = right.withColumn("__cell", F.explode(F.sequence(cell(right_us) - 1, cell(right_us) + 1)))
     on = [*keys, "__cell"]
-    # One plan for all sizes: cells without an entry in `hot` have one salt.
-    hot = (l.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_cell_rows)
+    # One plan for all sizes: cells without an entry in `hot` have one salt. There is at most one hot cell for `max_cell_rows` left rows,
+    # so the table is broadcast, and neither side is shuffled for its salts.
+    hot = F.broadcast(l.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_cell_rows)
            .select(*on, F.ceil(F.col("__n") / max_cell_rows).cast("int").alias("__salts")))
     salts = F.coalesce(F.col("__salts"), F.lit(1))
     l = l.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), salts).cast("int")).drop("__salts")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, functions as F
 
 from watchfold.functions import ids
 from watchfold.operators import assess, bayes, graph, metrics, pairs as P, severity as S
 from watchfold.plans import bindings as B
-from watchfold.plans.pairs import (ABN_SQL, CAND_SQL, CLEARED_SQL, DOMAIN_SQL, EDGES_SQL, GENERIC_CTE, NODES, all_edges, candidates, dedicated_edges, image_matches,
-                                   live_nodes, model_events, scenario_events)
+from watchfold.plans.pairs import (ABN_SQL, CAND_SQL, CLEARED_SQL, DOMAIN_SQL, EDGES_SQL, GENERIC_CTE, NODES, all_edges, candidates, dedicated_matchers, image_matches,
+                                   live_nodes, model_events, scenario_events, written_nodes)
 from watchfold.plans.registry import query
 from watchfold.session import materialize
 
@@ -25,24 +29,32 @@ grp AS (SELECT zone_id, kind, id, mem.component, member_count, group_id FROM mem
 GROUPED_SQL = EDGES_SQL + GROUPS.format(edges="edges")
 
 
-def node_facts(spark, sf):
-    return B.nodes(spark, sf).withColumn("us", F.unix_micros("ts"))
+def node_facts(spark, sf, nodes=None):
+    return (B.nodes(spark, sf) if nodes is None else nodes).withColumn("us", F.unix_micros("ts"))
+
 
+def group_links(spark, sf, nodes):
+    """Links with the components of all edges: the spanning links of the generic rule and the three dedicated matchers.
 
-def group_links(spark, sf):
-    """Links with the components of all edges: the spanning links of the generic rule and the three dedicated matchers."""
-    n = live_nodes(spark, sf)
+    The four do not read each other, and each is a chain of short jobs, so they are written side by side."""
+    n = live_nodes(spark, sf, nodes)
     ends = ["zone_id", "left_kind", "left_id", "right_kind", "right_id"]
-    return P.spanning_links(n).select(*ends).unionByName(dedicated_edges(spark, sf, n).select(*ends))
+    parts = [lambda: P.spanning_links(n), *dedicated_matchers(spark, sf, n)]
+    with ThreadPoolExecutor(len(parts)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(lambda part=part: materialize(part().select(*ends), "links"))) for part in parts]
+        return reduce(DataFrame.unionByName, [r.result() for r in running])
 
 
-def grouped(spark, sf):
-    return materialize(graph.with_group_ids(graph.group_members(group_links(spark, sf))), "groups")
+def grouped(spark, sf, nodes=None):
+    nodes = written_nodes(spark, sf) if nodes is None else nodes
+    return materialize(graph.with_group_ids(graph.group_members(group_links(spark, sf, nodes))), "groups")
 
 
-def reviewed(spark, sf, members=None):
-    g = grouped(spark, sf) if members is None else members
-    return S.members_with_review(g.select("group_id", "zone_id", "kind", "id"), node_facts(spark, sf), S.latest_verdicts(B.verdicts(spark, sf)))
+def reviewed(spark, sf, nodes=None, members=None):
+    nodes = written_nodes(spark, sf) if nodes is None else nodes
+    g = grouped(spark, sf, nodes) if members is None else members
+    mine = B.verdicts(spark, sf, nodes).join(g.select("kind", F.col("id").alias("evidence_id")), ["kind", "evidence_id"], "left_semi")
+    return S.members_with_review(g.select("group_id", "zone_id", "kind", "id"), node_facts(spark, sf, nodes), S.latest_verdicts(mine))
 
 
 @query("correlation_groups", GROUPED_SQL + " SELECT group_id, zone_id, kind, id, member_count FROM grp")
@@ -204,7 +216,7 @@ def standalone_decisions(spark, sf):
 def group_review_reasons(spark, sf):
     edges = materialize(all_edges(spark, sf), "edges")
     members = graph.with_group_ids(graph.group_members(edges))
-    r = materialize(reviewed(spark, sf, members), "reviewed")
+    r = materialize(reviewed(spark, sf, members=members), "reviewed")
     decided = S.annotate_groups(r)
     r = r.join(decided.select("group_id"), "group_id", "left_semi")
     return S.group_review_reasons(r, graph.group_edges(edges, members).select("group_id", "type"), decided)

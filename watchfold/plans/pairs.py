@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from watchfold.operators import assess, bayes, pairs as P
 from watchfold.operators.bandjoin import band_join, side
 from watchfold.plans import bindings as B
 from watchfold.plans.registry import query
+from watchfold.session import materialize
 from watchfold.sources.tables import load
 
 ABN_SQL = "(" + "state IN ('" + "','".join(assess.ABNORMAL_STATES) + "') OR state IN ('UNKNOWN_PERSON','UNAUTHORIZED'))"
@@ -40,41 +43,51 @@ EDGES_SQL = NODES + GENERIC_CTE + OP_CTE + IMG_CTE + FS_CTE + """, edges AS (
  UNION ALL SELECT zone_id, 'face', left_id, 'ssh', right_id, 'ZONE', dt, source_id, 'FACE_SSH_CONTEXT' FROM fsc)"""
 
 
-def live_nodes(spark, sf):
-    return B.nodes(spark, sf).withColumn("times", F.array("ts"))
+def written_nodes(spark, sf):
+    """The nodes, written once: the matchers and the review read them a dozen times, and a filter on a computed column would parse the events again."""
+    return materialize(B.nodes(spark, sf).select("zone_id", "kind", "id", "server_id", "rack_id", "state", "ts", "k", "user_id"), "nodes")
+
+
+def live_nodes(spark, sf, nodes=None):
+    return (B.nodes(spark, sf) if nodes is None else nodes).withColumn("times", F.array("ts"))
 
 
-def observations(spark, sf):
-    n = B.nodes(spark, sf).where("kind IN ('ppe', 'face')")
+def observations(spark, sf, nodes=None):
+    n = (B.nodes(spark, sf) if nodes is None else nodes).where("kind IN ('ppe', 'face')")
     us = F.unix_micros("ts")
     return n.select("kind", "id", "zone_id", F.concat(F.lit("C"), F.expr("user_id div 2")).alias("camera_id"), us.alias("us"),
                     (us + F.col("k") * 1_000_000).alias("received_us"), F.concat(F.lit("H"), "k").alias("source_sha256"), "state")
 
 
-def ssh_logs(spark, sf):
-    n = B.nodes(spark, sf).where("kind = 'ssh'")
+def ssh_logs(spark, sf, nodes=None):
+    n = (B.nodes(spark, sf) if nodes is None else nodes).where("kind = 'ssh'")
     return n.select("zone_id", "id", "state", F.when(F.col("k") < 5, F.expr("ts - INTERVAL 10 YEARS")).otherwise(F.col("ts")).alias("log_ts"),
                     F.expr("CASE WHEN k >= 90 THEN ts + INTERVAL 2 MINUTES END").alias("declared_ts"), F.col("k").between(5, 9).alias("timestamp_uncertain"))
 
 
-def image_matches(spark, sf):
-    return P.image_pairs(observations(spark, sf)).withColumn("source_id", F.concat(F.lit("PHYSICAL-"), "left_id", F.lit("-"), "right_id"))
+def image_matches(spark, sf, nodes=None):
+    return P.image_pairs(observations(spark, sf, nodes)).withColumn("source_id", F.concat(F.lit("PHYSICAL-"), "left_id", F.lit("-"), "right_id"))
+
+
+def face_ssh(spark, sf, nodes=None):
+    n = B.nodes(spark, sf) if nodes is None else nodes
+    return P.face_ssh_candidates(n.where("kind = 'face'"), ssh_logs(spark, sf, nodes))
 
 
-def face_ssh(spark, sf):
-    return P.face_ssh_candidates(B.nodes(spark, sf).where("kind = 'face'"), ssh_logs(spark, sf))
+def dedicated_matchers(spark, sf, n):
+    """The three dedicated matchers over the nodes `n`, each as a function that returns its edges."""
+    return [lambda: P.as_edges(P.operational_pairs(n), "OPERATIONAL", "maintenance", "environment"),
+            lambda: P.as_edges(image_matches(spark, sf, n), "PHYSICAL_IMAGE", "ppe", "face"),
+            lambda: P.as_edges(face_ssh(spark, sf, n), "FACE_SSH_CONTEXT", "face", "ssh")]
 
 
 def dedicated_edges(spark, sf, n):
-    """Edges of the three dedicated matchers."""
-    return (P.as_edges(P.operational_pairs(n), "OPERATIONAL", "maintenance", "environment")
-            .unionByName(P.as_edges(image_matches(spark, sf), "PHYSICAL_IMAGE", "ppe", "face"))
-            .unionByName(P.as_edges(face_ssh(spark, sf), "FACE_SSH_CONTEXT", "face", "ssh")))
+    return reduce(DataFrame.unionByName, [edges() for edges in dedicated_matchers(spark, sf, n)])
 
 
 def all_edges(spark, sf):
     """Union of the generic rule and the three dedicated matchers."""
-    n = live_nodes(spark, sf)
+    n = live_nodes(spark, sf, written_nodes(spark, sf))
     return P.generic_pairs(n).unionByName(dedicated_edges(spark, sf, n))
 
 
