@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from watchfold.operators import pairs as P
 from watchfold.operators.bandjoin import band_join, side
 from watchfold.plans import bindings as B, groups as G
 
@@ -40,3 +41,10 @@ def test_members_with_review_builds_the_nodes_once(spark, monkeypatch):
     calls = counted(monkeypatch)
     G.members_with_review(spark, SF)
     assert len(calls) == 1
+
+
+def test_review_reasons_need_no_generic_pairs(spark, monkeypatch):
+    calls = counted(monkeypatch)
+    monkeypatch.setattr(P, "generic_pairs", lambda *a, **k: 1 / 0)
+    G.group_review_reasons(spark, SF)
+    assert len(calls) == 1

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from watchfold.functions import ids
 from watchfold.operators import assess, bayes, graph, metrics, pairs as P, severity as S
 from watchfold.plans import bindings as B
-from watchfold.plans.pairs import (ABN_SQL, CAND_SQL, CLEARED_SQL, DOMAIN_SQL, EDGES_SQL, GENERIC_CTE, NODES, all_edges, candidates, dedicated_matchers, image_matches,
+from watchfold.plans.pairs import (ABN_SQL, CAND_SQL, CLEARED_SQL, DOMAIN_SQL, EDGES_SQL, GENERIC_CTE, NODES, all_edges, candidates, dedicated_matchers, face_ssh, image_matches,
                                    live_nodes, model_events, scenario_events, written_nodes)
 from watchfold.plans.registry import query
 from watchfold.session import materialize
@@ -214,12 +214,14 @@ def standalone_decisions(spark, sf):
   CASE WHEN en THEN 'ENVIRONMENTAL_CONDITION_REQUIRES_SOURCE_REVIEW' END, CASE WHEN fs THEN 'FACE_SSH_CONTEXTUAL_ASSOCIATION_UNVERIFIED' END) AS review_reasons, severity FROM fl LEFT JOIN ty USING (group_id) LEFT JOIN dec USING (group_id))
  SELECT group_id, review_reasons, severity, CASE WHEN review_reasons <> '' THEN 'EVIDENCE_REVIEW_REQUIRED' WHEN severity IN ('MEDIUM','HIGH') THEN 'REVIEW_REQUIRED' ELSE 'OBSERVATION_RECORDED' END AS status FROM rs""")
 def group_review_reasons(spark, sf):
-    edges = materialize(all_edges(spark, sf), "edges")
-    members = graph.with_group_ids(graph.group_members(edges))
-    r = materialize(reviewed(spark, sf, members=members), "reviewed")
-    decided = S.annotate_groups(r)
+    """Of the edge types only FACE_SSH_CONTEXT gives a reason, so its pairs alone are looked up in the groups."""
+    nodes = written_nodes(spark, sf)
+    members = grouped(spark, sf, nodes)
+    r = materialize(reviewed(spark, sf, nodes, members), "reviewed")
+    decided = materialize(S.annotate_groups(r), "decided")  # read twice below
     r = r.join(decided.select("group_id"), "group_id", "left_semi")
-    return S.group_review_reasons(r, graph.group_edges(edges, members).select("group_id", "type"), decided)
+    contexts = P.as_edges(face_ssh(spark, sf, nodes), "FACE_SSH_CONTEXT", "face", "ssh")
+    return S.group_review_reasons(r, graph.group_edges(contexts, members).select("group_id", "type"), decided)
 
 
 @query("physical_pair_review", EDGES_SQL + CLEARED_SQL + """, pr AS (SELECT im.left_id, im.right_id, p.state AS ps, lv.effective_status AS ov, f.state AS fstate FROM im JOIN nodes p ON p.kind='ppe' AND p.id = im.left_id JOIN nodes f ON f.kind='face' AND f.id = im.right_id LEFT JOIN lv ON lv.kind='ppe' AND lv.id = im.left_id),
