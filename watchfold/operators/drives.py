@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from watchfold.operators import ranks, series
+from watchfold.session import materialize
 
 HORIZON_DAYS = 7
 
@@ -161,8 +162,8 @@ def variance_summary(stats: DataFrame) -> DataFrame:
 
 def class_contrast(labelled: DataFrame, columns: list[str]) -> DataFrame:
     """NORMAL vs AT_RISK: exact median, mean, 95th percentile and nonzero share."""
-    long = (labelled.where(F.col("label_state").isin("NORMAL", "AT_RISK"))
-            .unpivot(["label_state"], [F.col(c).cast("double").alias(c) for c in columns], "column", "v"))
+    rows = materialize(labelled.where(F.col("label_state").isin("NORMAL", "AT_RISK")).select("label_state", *columns), "labelled")
+    long = (rows.unpivot(["label_state"], [F.col(c).cast("double").alias(c) for c in columns], "column", "v"))
     base = long.groupBy("label_state", "column").agg(F.avg("v").alias("mean"), (F.count_if(F.col("v") != 0) / F.count("v") * 100).alias("nonzero_pct"))
     pct = ranks.percentiles(long, ["label_state", "column"], "v", {"median": 0.5, "p95": 0.95}).drop("n")
     return base.join(pct, ["label_state", "column"])

@@ -7,11 +7,17 @@ Views that also feed streams take the table loader as an argument.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from watchfold.functions.columns import evaluate_once
 from watchfold.sources.tables import load
 
+# Orders dealt to one task, on average.
+DAYS_A_TASK = 250_000
+
+
 def k_value():
     """Number inside `props`. A function, because columns need a session and imports must not."""
     return F.get_json_object("props", "$.k").cast("int")
@@ -216,17 +222,25 @@ verdicts AS (SELECT * FROM (
 
 
 def entity_days(spark: SparkSession, sf: str) -> DataFrame:
-    """Drive-days: one row per customer and order date (largest order key wins)."""
-    picked = load(spark, sf, "orders").groupBy("o_custkey", "o_orderdate").agg(
-        F.max_by(F.struct("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"), "o_orderkey").alias("o"))
+    """Drive-days: one row per customer and order date (largest order key wins).
+
+    Customers are dealt over partitions whose number grows with the orders, so a task's memory does not; picks, registry and labels
+    by customer need no other shuffle. Each column is picked by itself (ties cannot differ, the order key is the key of the table):
+    numbers have buffers of fixed width, which are hashed in place of sorted, and a column that is not read is not picked."""
+    orders = load(spark, sf, "orders")
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(orders.count() / DAYS_A_TASK))
+    failure = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 450000), 1).otherwise(0)
+    of = lambda c, name: F.max_by(c, "o_orderkey").alias(name)
+    picked = orders.repartition(parts, "o_custkey").groupBy("o_custkey", "o_orderdate").agg(
+        of(failure, "failure"), of("o_totalprice", "o_totalprice"), of("o_orderpriority", "o_orderpriority"), of("o_orderstatus", "o_orderstatus"))
     return picked.select(
         F.col("o_custkey").alias("serial_number"),
         F.to_date("o_orderdate").alias("date"),
-        F.concat(F.lit("M"), F.col("o.o_orderstatus")).alias("model"),
-        F.when((F.col("o.o_orderpriority") == "1-URGENT") & (F.col("o.o_totalprice") > 450000), 1).otherwise(0).alias("failure"),
-        F.when(F.col("o.o_totalprice") >= 25000, F.col("o.o_totalprice")).alias("value"),
+        F.concat(F.lit("M"), F.col("o_orderstatus")).alias("model"),
+        F.coalesce("failure", F.lit(0)).alias("failure"),
+        F.when(F.col("o_totalprice") >= 25000, F.col("o_totalprice")).alias("value"),
         F.concat(F.year("o_orderdate"), F.lit("H"), F.when(F.month("o_orderdate") <= 6, 1).otherwise(2)).alias("period"),
-        F.col("o.o_orderpriority").alias("priority"),
+        F.col("o_orderpriority").alias("priority"),
     )
 
 
