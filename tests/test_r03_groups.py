@@ -43,6 +43,12 @@ def test_members_with_review_builds_the_nodes_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_annotated_groups_builds_the_nodes_once(spark, monkeypatch):
+    calls = counted(monkeypatch)
+    G.annotated_groups(spark, SF)
+    assert len(calls) == 1
+
+
 def test_review_reasons_need_no_generic_pairs(spark, monkeypatch):
     calls = counted(monkeypatch)
     monkeypatch.setattr(P, "generic_pairs", lambda *a, **k: 1 / 0)
