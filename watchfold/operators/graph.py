@@ -2,12 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from watchfold.functions.ids import short_sha
 from watchfold.session import Scratch
 
 MIN_GROUP_MEMBERS = 3
+# Edges that are contracted together in a task; bounds its memory, changes no result.
+CHUNK_EDGES = 100_000
+
+
+def _codes(array: pa.Array) -> np.ndarray:
+    """Numbers with the order and equality that Spark gives the values: structs field by field, nulls inside them first."""
+    if pa.types.is_struct(array.type):
+        codes = np.zeros(len(array), np.int64)
+        for field in map(_codes, array.flatten()):
+            codes = np.unique(codes * (field.max() + 1) + field, return_inverse=True)[1]
+        return codes
+    coded = array.dictionary_encode()
+    rank = np.zeros(len(coded.dictionary) + 1, np.int64)  # the last place is that of null
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(1, len(rank))
+    return rank[coded.indices.fill_null(len(rank) - 1).to_numpy()]
+
+
+def _contracted(chunk: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(node, root) for every end of the edges of a chunk; the root is the smallest node connected to it inside the chunk."""
+    ends = pa.concat_arrays([batch.column(k) for k in (0, 1) for batch in chunk])
+    _, place, node = np.unique(_codes(ends), return_index=True, return_inverse=True)
+    parent = list(range(len(place)))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    half = len(node) // 2
+    for a, b in zip(node[:half].tolist(), node[half:].tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    roots = np.array([root(k) for k in range(len(place))])
+    return pa.RecordBatch.from_arrays([ends.take(pa.array(place)), ends.take(pa.array(place[roots]))], ["node", "root"])
+
+
+def _contract(batches, chunk_edges: int):
+    """Edges of a task, chunk by chunk: a forest of stars with the same components inside each chunk."""
+    chunk, rows = [], 0
+    for batch in batches:
+        chunk.append(batch)
+        rows += batch.num_rows
+        if rows >= chunk_edges:
+            yield _contracted(chunk)
+            chunk, rows = [], 0
+    if rows:
+        yield _contracted(chunk)
+
+
+def local_components(edges: DataFrame, near: list[str], left: str = "src", right: str = "dst", chunk_edges: int = CHUNK_EDGES) -> DataFrame:
+    """`connected_components` of edges whose components mostly lie within one value of the columns `near`.
+
+    Tasks hold whole values of `near` where these are small (a large one is split), and contract their edges, a bounded chunk at a time, to one star
+    for each component that the chunk sees. Whatever `near` is, a node in two chunks links their stars: only these links, usually few, go
+    through the rounds of star contraction over the cluster, and the stars take over the result.
+    """
+    scratch = Scratch(edges.sparkSession, "lc")
+    dealt = edges.where(F.col(left) != F.col(right)).hint("rebalance", *near).sortWithinPartitions(*near).select(left, right)
+    kind = dealt.schema[left].dataType
+    stars = scratch.table(dealt.mapInArrow(partial(_contract, chunk_edges=chunk_edges), T.StructType([T.StructField("node", kind), T.StructField("root", kind)])))
+    links, (open_links,) = scratch.table(stars.withColumn("least", F.min("root").over(Window.partitionBy("node"))).where("root <> least")
+                                         .select(F.col("root").alias("src"), F.col("least").alias("dst")), F.count(F.lit(1)))
+    if not open_links:
+        return stars.withColumnRenamed("root", "component")
+    joined = connected_components(links).withColumnRenamed("node", "root")
+    return stars.join(joined, "root", "left").select("node", F.coalesce("component", "root").alias("component")).distinct()
 
 
 def connected_components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
@@ -51,7 +123,7 @@ def group_members(edges: DataFrame) -> DataFrame:
     Nodes stay structs throughout, so any character may stand in a zone, kind or id. `component` is the smallest member.
     """
     end = lambda side: F.struct("zone_id", F.col(f"{side}_kind").alias("kind"), F.col(f"{side}_id").alias("id"))
-    labels = connected_components(edges.select(end("left").alias("src"), end("right").alias("dst")))
+    labels = local_components(edges.select("zone_id", end("left").alias("src"), end("right").alias("dst")), ["zone_id"])
     return labels.select("node.*", "component")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchfold.functions.ids import pair_id
 from watchfold.operators.assess import detector_abnormal
@@ -13,6 +14,8 @@ from watchfold.operators.matching import greedy_one_to_one
 
 WINDOW_US = 900 * 1_000_000
 HASH_BLOCKS = 10
+# Length of a block of a zone's time line, in windows. Changes no result.
+BLOCK_WINDOWS = 96
 # Kind combinations with a dedicated matcher.
 SPECIALIZED = [("environment", "maintenance"), ("face", "ppe"), ("face", "ssh")]
 
@@ -100,14 +103,17 @@ def image_pairs(observations: DataFrame, window_us: int = WINDOW_US) -> DataFram
                              ["not_same_source", "time_difference_seconds", "receipt_difference_seconds", "newest_first"])
 
 
-def face_ssh_candidates(faces: DataFrame, logs: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
-    """Face x log evidence of one zone within the window: every candidate; how many to show is up to the reader.
-
-    A declared time replaces the log time; an uncertain or pre-2020 log time is not used."""
+def face_ssh_instants(faces: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(zone_id, id, us) of both sides. A declared time replaces the log time; an uncertain or pre-2020 log time is not used."""
     trusted = F.when(F.col("declared_ts").isNotNull(), F.col("declared_ts")) \
                .when(~F.coalesce(F.col("timestamp_uncertain"), F.lit(False)) & (F.year("log_ts") >= 2020), F.col("log_ts"))
     l = logs.where("state <> 'NO_ANOMALY_EVIDENCE'").select("zone_id", "id", F.unix_micros(trusted).alias("us")).where("us IS NOT NULL")
-    f = faces.select("zone_id", "id", F.unix_micros("ts").alias("us"))
+    return faces.select("zone_id", "id", F.unix_micros("ts").alias("us")), l
+
+
+def face_ssh_candidates(faces: DataFrame, logs: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
+    """Face x log evidence of one zone within the window: every candidate; how many to show is up to the reader."""
+    f, l = face_ssh_instants(faces, logs)
     keys = ["zone_id"]
     both = band_join(side(f, "left", keys), side(l, "right", keys), keys, "left_us", "right_us", window_us)
     return (both.select("zone_id", "left_id", "right_id", (F.abs(F.col("left_us") - F.col("right_us")) / 1e6).alias("time_difference_seconds"),
@@ -120,29 +126,43 @@ def as_edges(pairs: DataFrame, kind: str, left_kind: str, right_kind: str) -> Da
                         F.lit("ZONE").alias("scope"), "time_difference_seconds", "source_id", F.lit(kind).alias("type"))
 
 
-def spanning_links(nodes: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
-    """At most fifteen links per node with the same connected components as all generic pairs.
-
-    Nodes are cut into (zone, window-long time cell). Per cell and kind only the first and the
-    last instant are kept (a small partial aggregate). A node links to the first node of each
-    compatible kind in its own cell and in the next cell, and to the last one in the cell
-    before, when within the window. If a and b are a pair of neighbouring cells, a reaches the
-    first node of b's kind there, b reaches the last node of a's kind here, and these two are
-    themselves within the window; so a dense burst needs no quadratic number of links.
+def neighbour_links(rows: DataFrame, kinds: list[str], meet: Callable[[Column, Column], Column], window_us: int = WINDOW_US) -> DataFrame:
+    """Links with the components of all pairs of one zone whose kinds meet and whose instants lie within the window.
+
+    `rows`: zone_id, kind, id, us. Each instant links to the last instant before it and the first one after it of every kind that it
+    meets. Between the two ends of a pair, of all instants of both kinds those next to each other with different kinds are
+    linked, and an instant among its own kind shares its link with its neighbour; so the ends are connected, and a dense burst
+    needs no quadratic number of links. Zones are cut into blocks of `BLOCK_WINDOWS` windows, so that a hot zone spreads over tasks; an instant
+    within a window of the next block is copied there, which keeps all instants between the ends of a pair together.
     """
+    block = lambda us: time_cell(us, BLOCK_WINDOWS * window_us)
+    us, at = F.col("us"), F.struct("us", "id")
+    placed = rows.where(us.isNotNull()).select("zone_id", "kind", "id", "us", F.explode(F.sequence(block(us - window_us), block(us + window_us))).alias("block"))
+    order, by = ["us", "kind", "id"], Window.partitionBy("zone_id", "block")
+    # most instants of a quiet zone have no other near them, of whatever kind
+    alone = [F.coalesce(F.abs(us - f("us").over(by.orderBy(*order))) > window_us, F.lit(True)) for f in (F.lag, F.lead)]
+    placed = placed.withColumn("alone", alone[0] & alone[1]).where("NOT alone")
+    before = by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    after = by.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda kind, side: F.last(F.when(F.col("kind") == kind, at), ignorenulls=True).over(side)
+    seen = placed.withColumns({f"{name}{k}": last(kind, side) for name, side in (("before", before), ("after", after)) for k, kind in enumerate(kinds)})
+    end = lambda kind, c: F.when(meet(F.col("kind"), F.lit(kind)) & (F.abs(us - F.col(c)["us"]) <= window_us), F.struct(F.lit(kind).alias("right_kind"), F.col(c)["id"].alias("right_id")))
+    ends = F.array(*[end(kind, f"{name}{k}") for name in ("before", "after") for k, kind in enumerate(kinds)])
+    return seen.select("zone_id", F.col("kind").alias("left_kind"), F.col("id").alias("left_id"), F.inline(F.array_compact(F.array_distinct(ends))))
+
+
+def spanning_links(nodes: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
+    """At most two links per instant and kind with the same connected components as all generic pairs. A link may come more than once."""
     n = instants(eligible(nodes).select("zone_id", "kind", "id", "times"))
-    placed = n.withColumn("cell", time_cell(F.col("us"), window_us))
-    ends = placed.groupBy("zone_id", "cell", "kind").agg(
-        F.min(F.struct("us", "id")).alias("first"), F.max(F.struct("us", "id")).alias("last"))
-    target = F.explode(F.array(
-        F.struct(F.col("cell").alias("at"), F.col("first").alias("end")),
-        F.struct((F.col("cell") - 1).alias("at"), F.col("first").alias("end")),
-        F.struct((F.col("cell") + 1).alias("at"), F.col("last").alias("end"))))
-    reach = ends.select("zone_id", F.col("kind").alias("right_kind"), target.alias("t")).select(
-        "zone_id", F.col("t.at").alias("cell"), "right_kind", F.col("t.end.us").alias("right_us"), F.col("t.end.id").alias("right_id"))
-    links = placed.join(reach, ["zone_id", "cell"]).where(
-        compatible(F.col("kind"), F.col("right_kind")) & (F.abs(F.col("us") - F.col("right_us")) <= window_us))
-    return links.select("zone_id", F.col("kind").alias("left_kind"), F.col("id").alias("left_id"), "right_kind", "right_id").distinct()
+    kinds = sorted(r.kind for r in nodes.select("kind").distinct().collect() if r.kind is not None)
+    return neighbour_links(n, kinds, compatible, window_us)
+
+
+def face_ssh_links(faces: DataFrame, logs: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
+    """Links with the same connected components as all face x log candidates."""
+    f, l = face_ssh_instants(faces, logs)
+    rows = f.withColumn("kind", F.lit("face")).unionByName(l.withColumn("kind", F.lit("ssh")))
+    return neighbour_links(rows, ["face", "ssh"], lambda a, b: a != b, window_us)
 
 
 def containing(pairs: DataFrame, published: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from watchfold.functions import ids
 from watchfold.operators import assess, bayes, graph, metrics, pairs as P, severity as S
 from watchfold.plans import bindings as B
-from watchfold.plans.pairs import (ABN_SQL, CAND_SQL, CLEARED_SQL, DOMAIN_SQL, EDGES_SQL, GENERIC_CTE, NODES, all_edges, candidates, dedicated_matchers, face_ssh, image_matches,
-                                   live_nodes, model_events, scenario_events, written_nodes)
+from watchfold.plans.pairs import (ABN_SQL, CAND_SQL, CLEARED_SQL, DOMAIN_SQL, EDGES_SQL, GENERIC_CTE, NODES, all_edges, candidates, face_ssh, face_ssh_links, image_matches,
+                                   live_nodes, model_events, one_to_one_matchers, scenario_events, written_nodes)
 from watchfold.plans.registry import query
 from watchfold.session import materialize
 
@@ -34,12 +34,12 @@ def node_facts(spark, sf, nodes=None):
 
 
 def group_links(spark, sf, nodes):
-    """Links with the components of all edges: the spanning links of the generic rule and the three dedicated matchers.
+    """Links with the components of all edges: spanning links of the generic rule and of the face and log pairs, and the pairs that the one-to-one matchers pick.
 
     The four do not read each other, and each is a chain of short jobs, so they are written side by side."""
     n = live_nodes(spark, sf, nodes)
     ends = ["zone_id", "left_kind", "left_id", "right_kind", "right_id"]
-    parts = [lambda: P.spanning_links(n), *dedicated_matchers(spark, sf, n)]
+    parts = [lambda: P.spanning_links(n), *one_to_one_matchers(spark, sf, n), lambda: face_ssh_links(spark, sf, n)]
     with ThreadPoolExecutor(len(parts)) as pool:
         running = [pool.submit(inheritable_thread_target(spark)(lambda part=part: materialize(part().select(*ends), "links"))) for part in parts]
         return reduce(DataFrame.unionByName, [r.result() for r in running])
@@ -53,8 +53,8 @@ def grouped(spark, sf, nodes=None):
 def reviewed(spark, sf, nodes=None, members=None):
     nodes = written_nodes(spark, sf) if nodes is None else nodes
     g = grouped(spark, sf, nodes) if members is None else members
-    mine = B.verdicts(spark, sf, nodes).join(g.select("kind", F.col("id").alias("evidence_id")), ["kind", "evidence_id"], "left_semi")
-    return S.members_with_review(g.select("group_id", "zone_id", "kind", "id"), node_facts(spark, sf, nodes), S.latest_verdicts(mine))
+    mine = materialize(nodes.join(g.select("kind", "id"), ["kind", "id"], "left_semi"), "members")  # read for the facts and for the verdicts
+    return S.members_with_review(g.select("group_id", "zone_id", "kind", "id"), node_facts(spark, sf, mine), S.latest_verdicts(B.verdicts(spark, sf, mine)))
 
 
 @query("correlation_groups", GROUPED_SQL + " SELECT group_id, zone_id, kind, id, member_count FROM grp")

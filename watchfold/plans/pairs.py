@@ -44,8 +44,10 @@ EDGES_SQL = NODES + GENERIC_CTE + OP_CTE + IMG_CTE + FS_CTE + """, edges AS (
 
 
 def written_nodes(spark, sf):
-    """The nodes, written once: the matchers and the review read them a dozen times, and a filter on a computed column would parse the events again."""
-    return materialize(B.nodes(spark, sf).select("zone_id", "kind", "id", "server_id", "rack_id", "state", "ts", "k", "user_id"), "nodes")
+    """The nodes, written once: the matchers and the review read them a dozen times, and a filter on a computed column would parse the events again.
+
+    They lie in folders by kind, since a matcher reads one or two of the five kinds."""
+    return materialize(B.nodes(spark, sf).select("zone_id", "kind", "id", "server_id", "rack_id", "state", "ts", "k", "user_id"), "nodes", "kind")
 
 
 def live_nodes(spark, sf, nodes=None):
@@ -74,15 +76,19 @@ def face_ssh(spark, sf, nodes=None):
     return P.face_ssh_candidates(n.where("kind = 'face'"), ssh_logs(spark, sf, nodes))
 
 
-def dedicated_matchers(spark, sf, n):
-    """The three dedicated matchers over the nodes `n`, each as a function that returns its edges."""
+def one_to_one_matchers(spark, sf, n):
+    """The two matchers over the nodes `n` that pick pairs, each as a function that returns its edges."""
     return [lambda: P.as_edges(P.operational_pairs(n), "OPERATIONAL", "maintenance", "environment"),
-            lambda: P.as_edges(image_matches(spark, sf, n), "PHYSICAL_IMAGE", "ppe", "face"),
-            lambda: P.as_edges(face_ssh(spark, sf, n), "FACE_SSH_CONTEXT", "face", "ssh")]
+            lambda: P.as_edges(image_matches(spark, sf, n), "PHYSICAL_IMAGE", "ppe", "face")]
+
+
+def face_ssh_links(spark, sf, n):
+    return P.face_ssh_links(n.where("kind = 'face'"), ssh_logs(spark, sf, n))
 
 
 def dedicated_edges(spark, sf, n):
-    return reduce(DataFrame.unionByName, [edges() for edges in dedicated_matchers(spark, sf, n)])
+    contexts = P.as_edges(face_ssh(spark, sf, n), "FACE_SSH_CONTEXT", "face", "ssh")
+    return reduce(DataFrame.unionByName, [edges() for edges in one_to_one_matchers(spark, sf, n)], contexts)
 
 
 def all_edges(spark, sf):

@@ -47,15 +47,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write `df` once to the shared folder, in folders by the columns `by` (texts that are not empty), and read it back.
 
     The result has no lineage and survives the loss of executors. Iterative
     operators call this once per round, so plans do not grow.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
