@@ -30,9 +30,16 @@ def _codes(array: pa.Array) -> np.ndarray:
     return rank[coded.indices.fill_null(len(rank) - 1).to_numpy()]
 
 
+def _nullable(array: pa.Array) -> pa.Array:
+    """The array with fields that may be null: the two ends of an edge can differ in that."""
+    if not pa.types.is_struct(array.type):
+        return array
+    return pa.StructArray.from_arrays([_nullable(child) for child in array.flatten()], names=[field.name for field in array.type], mask=array.is_null())
+
+
 def _contracted(chunk: list[pa.RecordBatch]) -> pa.RecordBatch:
     """(node, root) for every end of the edges of a chunk; the root is the smallest node connected to it inside the chunk."""
-    ends = pa.concat_arrays([batch.column(k) for k in (0, 1) for batch in chunk])
+    ends = pa.concat_arrays([_nullable(batch.column(k)) for k in (0, 1) for batch in chunk])
     _, place, node = np.unique(_codes(ends), return_index=True, return_inverse=True)
     parent = list(range(len(place)))
 
@@ -73,6 +80,8 @@ def local_components(edges: DataFrame, near: list[str], left: str = "src", right
     scratch = Scratch(edges.sparkSession, "lc")
     dealt = edges.where(F.col(left) != F.col(right)).hint("rebalance", *near).sortWithinPartitions(*near).select(left, right)
     kind = dealt.schema[left].dataType
+    if isinstance(kind, T.StructType):
+        kind = T.StructType([T.StructField(f.name, f.dataType) for f in kind.fields])
     stars = scratch.table(dealt.mapInArrow(partial(_contract, chunk_edges=chunk_edges), T.StructType([T.StructField("node", kind), T.StructField("root", kind)])))
     links, (open_links,) = scratch.table(stars.withColumn("least", F.min("root").over(Window.partitionBy("node"))).where("root <> least")
                                          .select(F.col("root").alias("src"), F.col("least").alias("dst")), F.count(F.lit(1)))
